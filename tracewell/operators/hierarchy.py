@@ -271,6 +271,7 @@ def resolve_forest(
     path: bool = False,
     chunk_rows: int = CHUNK_ROWS,
     small_rows: int = SMALL_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
     """Root, depth, subtree count, loop flag (and path) of every node.
 
@@ -280,11 +281,15 @@ def resolve_forest(
     that carry it, as ``above_<mark>``.  With ``path`` also ``path``: the node
     ids from the root to the node.  Nodes on a loop or below one have root '',
     depth and n_below -1, and an empty path.  A null group is a group of its
-    own.  A node that is its own parent is a loop.  Ties of ``order`` within a
+    own.  A node that is its own parent is a loop.  ``unique`` says that ``df``
+    holds each node once and null for an empty parent.  Ties of ``order`` within a
     repeated node keep any one of the tied rows.  An empty table gives an empty
     result.  Other columns of ``df`` are not read.
     """
-    nodes = first_nodes(df, group, node, parent, order, marks)
+    if unique:
+        nodes = df.select(F.col(group).alias("grp0"), F.col(node).alias("node0"), F.col(parent).alias("parent0"), F.col(order).alias("ord"), *marks)
+    else:
+        nodes = first_nodes(df, group, node, parent, order, marks)
     gkey = F.when(F.col("grp0").isNull(), F.lit("n")).otherwise(F.concat(F.lit("g"), F.col("grp0").cast("string")))
     base = nodes.select(
         F.concat(gkey, F.lit(SEP), F.col("node0").cast("string")).alias("key"),
