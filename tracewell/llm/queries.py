@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import leakage, quality, tokens
+from tracewell.llm import conversations, leakage, quality, tokens
 from tracewell.session import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per message of each conversation kept."""
+    return conversations.conversations(load(spark, sf_dir, "messages"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(load(spark, sf_dir, "documents"))
@@ -39,7 +44,7 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_similar, p9_found, p9_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_found, p8_similar, p9_found, p9_stats)}
 
 ORACLE = {
     "p8_found": """
