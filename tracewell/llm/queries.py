@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import conversations, leakage, quality, tokens
+from tracewell.llm import conversations, leakage, privacy, quality, tokens
 from tracewell.session import load
 
 
@@ -13,6 +13,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(load(spark, sf_dir, "messages"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of personal data in message texts."""
+    found = privacy.find_personal(load(spark, sf_dir, "messages"), load(spark, sf_dir, "name_list"))
+    return found.select("row_id", "block_no", "kind", "start_pos")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return privacy.sanitise(load(spark, sf_dir, "messages"), load(spark, sf_dir, "name_list"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(load(spark, sf_dir, "documents"))
@@ -44,7 +55,7 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_found, p8_similar, p9_found, p9_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p6_clean, p7_ids, p8_found, p8_similar, p9_found, p9_stats)}
 
 ORACLE = {
     "p8_found": """
