@@ -107,13 +107,11 @@ def form_spans(text: str) -> list[tuple[int, int, str]]:
             plain_words = m["at"].strip().islower() and m["at"].strip().isalpha() and m["dot"] == "."
             if not plain_words:
                 spans.append((m.start(), m.end(), "email"))
-    if not DIGITS.search(text):
-        return spans
     if POSTCODE.search(text):
         for m in ADDRESS.finditer(text):
             if _free(spans, m.start(), m.end()):
                 spans.append((m.start(), m.end(), "address"))
-    for pattern, kind in ((ID_NUMBER, "id_number"), (PHONE, "phone")):
+    for pattern, kind in ((ID_NUMBER, "id_number"), (PHONE, "phone")) if DIGITS.search(text) else ():
         for m in pattern.finditer(text):
             if _free(spans, m.start(), m.end()):
                 spans.append((m.start(), m.end(), kind))
