@@ -272,6 +272,7 @@ def resolve_forest(
     chunk_rows: int = CHUNK_ROWS,
     small_rows: int = SMALL_ROWS,
     unique: bool = False,
+    size: str | None = None,
 ) -> DataFrame:
     """Root, depth, subtree count, loop flag (and path) of every node.
 
@@ -282,21 +283,22 @@ def resolve_forest(
     ids from the root to the node.  Nodes on a loop or below one have root '',
     depth and n_below -1, and an empty path.  A null group is a group of its
     own.  A node that is its own parent is a loop.  ``unique`` says that ``df``
-    holds each node once and null for an empty parent.  Ties of ``order`` within a
+    holds each node once and null for an empty parent.  ``size`` names a long
+    column of ``df``; then ``n_below`` is its sum over the node and all below.  Ties of ``order`` within a
     repeated node keep any one of the tied rows.  An empty table gives an empty
     result.  Other columns of ``df`` are not read.
     """
     if unique:
-        nodes = df.select(F.col(group).alias("grp0"), F.col(node).alias("node0"), F.col(parent).alias("parent0"), F.col(order).alias("ord"), *marks)
+        nodes = df.select(F.col(group).alias("grp0"), F.col(node).alias("node0"), F.col(parent).alias("parent0"), F.col(order).alias("ord"), *marks, *([size] if size else []))
     else:
-        nodes = first_nodes(df, group, node, parent, order, marks)
+        nodes = first_nodes(df, group, node, parent, order, [*marks, *([size] if size else [])])
     gkey = F.when(F.col("grp0").isNull(), F.lit("n")).otherwise(F.concat(F.lit("g"), F.col("grp0").cast("string")))
     base = nodes.select(
         F.concat(gkey, F.lit(SEP), F.col("node0").cast("string")).alias("key"),
         F.concat(gkey, F.lit(SEP), F.col("parent0").cast("string")).alias("pkey"),
         gkey.alias("grp"),
         "ord",
-        F.lit(1).cast("long").alias("sz"),
+        (F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else F.lit(1).cast("long")).alias("sz"),
         F.lit(1).cast("long").alias("w0"),
         *[F.coalesce(F.col(m).cast("long"), F.lit(0)).alias(f"w{i + 1}") for i, m in enumerate(marks)],
         *([F.array(F.col("node0").cast("string")).alias("seg")] if path else []),
@@ -317,7 +319,7 @@ def resolve_forest(
         *ids,
         F.when(ok, root_node).otherwise("").alias("root_id"),
         F.when(ok, F.col("a0")).otherwise(-1).cast("long").alias("depth"),
-        F.when(ok, F.col("total") - 1).otherwise(-1).cast("long").alias("n_below"),
+        F.when(ok, F.col("total") - (0 if size else 1)).otherwise(-1).cast("long").alias("n_below"),
         "looped",
         "dangling",
         *[
