@@ -82,13 +82,14 @@ def conversations(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
     member = components(links)
 
     # each component: a forest part with loop or with a parent outside is no conversation
-    linked = links.select(F.col("u").alias("row_id"), F.lit(True).alias("linked"))
-    tagged = nodes.select("session_id", "row_id", "is_msg", F.col("parent_id").isNotNull().alias("has_parent"))
+    linked = links.select(F.col("u").alias("row_id"), F.col("v").alias("above"))
+    tagged = nodes.select("session_id", "row_id", "append_ordinal", "is_msg", F.col("parent_id").isNotNull().alias("has_parent"))
     tagged = tagged.join(linked, "row_id", "left").join(member.withColumnRenamed("node", "row_id"), "row_id", "left")
-    parts = tagged.groupBy("session_id", F.coalesce("component", "row_id").alias("component")).agg(
+    tagged = written(tagged.withColumn("component", F.coalesce("component", "row_id")), "tagged")
+    parts = tagged.groupBy("session_id", "component").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count("linked").alias("links"),
-        F.count_if(F.col("has_parent") & F.col("linked").isNull()).alias("outside"),
+        F.count("above").alias("links"),
+        F.count_if(F.col("has_parent") & F.col("above").isNull()).alias("outside"),
         F.count_if("is_msg").alias("messages"),
     )
     broken_parts = parts.where("messages > 0 and (links >= n or outside > 0)").select("session_id")
@@ -100,12 +101,13 @@ def conversations(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
     odd = calls.join(results, ["session_id", "call"], "full_outer").where("c is null or r is null or none or call = ''").select("session_id")
     plain = msgs.groupBy("session_id").agg(_any(F.col("role").isNull()).alias("no_role"), _any(F.col("speaks") | (F.size("calls") > 0)).alias("filled"))
     bad = reduce(DataFrame.unionByName, [broken_parts, odd, plain.where("no_role or not filled").select("session_id")]).distinct()
-    good = nodes.join(bad, "session_id", "left_anti")
+    bad = written(bad, "bad")
+    good = tagged.join(bad, "session_id", "left_anti")
 
     # order: distance from the top, then instant
-    forest = resolve_forest(good, marks=["is_msg"], unique=True, chunk_rows=chunk_rows)
-    placed = forest.select("session_id", "entry_id", "depth", "above_is_msg")
-    turns = good.where("is_msg").join(placed, ["session_id", "entry_id"]).select(
+    forest = resolve_forest(good, "component", "row_id", "above", marks=["is_msg"], unique=True, chunk_rows=chunk_rows)
+    placed = forest.select("row_id", "depth", "above_is_msg")
+    turns = msgs.join(placed, "row_id").select(
         "session_id", "entry_id", "append_ordinal", "role", "at", "depth", (F.col("above_is_msg") == 0).alias("is_top"), (F.col("speaks") | (F.size("calls") > 0)).alias("replies")
     )
     order = [F.col("depth"), F.col("at").asc_nulls_last(), F.col("append_ordinal"), F.col("entry_id")]
