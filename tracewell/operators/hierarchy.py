@@ -289,9 +289,9 @@ def resolve_forest(
     result.  Other columns of ``df`` are not read.
     """
     if unique:
-        nodes = df.select(F.col(group).alias("grp0"), F.col(node).alias("node0"), F.col(parent).alias("parent0"), F.col(order).alias("ord"), *marks, *([size] if size else []))
+        nodes = df.select(F.col(group).alias("grp0"), F.col(node).alias("node0"), F.col(parent).alias("parent0"), F.col(order).alias("ord"), *dict.fromkeys([*marks, *([size] if size else [])]))
     else:
-        nodes = first_nodes(df, group, node, parent, order, [*marks, *([size] if size else [])])
+        nodes = first_nodes(df, group, node, parent, order, list(dict.fromkeys([*marks, *([size] if size else [])])))
     gkey = F.when(F.col("grp0").isNull(), F.lit("n")).otherwise(F.concat(F.lit("g"), F.col("grp0").cast("string")))
     base = nodes.select(
         F.concat(gkey, F.lit(SEP), F.col("node0").cast("string")).alias("key"),
