@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,14 +10,14 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 SAFE_MAX = 2**53 - 1
-DAY = r"^\d{4}-\d{2}-\d{2}$"
-INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+DAY = r"^\d{4}-\d{2}-\d{2}\z"
+INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})\z"
 #: Shapes of secrets that no label or text may show.
 SECRET_SHAPES = (
     r"(?i)(?:secret|token|password|credential)",
     r"(?i)(?:^|\s)bearer\s+\S+",
     r"-----BEGIN(?: [A-Z]+)? PRIVATE KEY-----",
-    r"(?:[A-Za-z0-9_-]+\.){2}[A-Za-z0-9_-]+",
+    r"(?<![A-Za-z0-9_-])(?:[A-Za-z0-9_-]++\.){2}[A-Za-z0-9_-]",
     r"\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bgithub_pat_[A-Za-z0-9_]{20,}\b",
     r"(?i)\bsk-[A-Za-z0-9_-]{6,}",
     r"(?i)[a-z][a-z0-9+.-]*://[^\s/@]+:[^\s/@]+@",
@@ -64,12 +65,13 @@ def is_instant(c: Column) -> Column:
 
 
 def bounded_token(c: Column, size: int = 128) -> Column:
-    return F.coalesce((F.octet_length(c) <= size) & c.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:/@+-]*$"), F.lit(False))
+    return F.coalesce((F.octet_length(c) <= size) & c.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:/@+-]*\z"), F.lit(False))
 
 
 def secret_like(c: Column) -> Column:
     """Does the text hold something shaped like a secret?"""
-    return reduce(lambda a, b: a | b, [c.rlike(p) for p in SECRET_SHAPES])
+    # a literal that a shape needs is looked for first: it is cheaper than the shape
+    return reduce(lambda a, b: a | b, [(F.contains(c, F.lit("://")) & c.rlike(p)) if "://" in p else c.rlike(p) for p in SECRET_SHAPES])
 
 
 def report_label(c: Column, fallback: str = "unknown", size: int = 128) -> Column:
@@ -83,6 +85,11 @@ def cut_bytes(c: Column, size: int) -> Column:
     return F.when(F.octet_length(c) <= size, c).otherwise(c.substr(F.lit(1), F.array_max(fits)))
 
 
+def once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(c)`` with c computed once, however often it is used."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def redact_text(c: Column, size: int = 200) -> Column:
     """One bounded line: control characters out, blanks collapsed, URLs and paths masked, secrets sealed.
 
@@ -91,10 +98,13 @@ def redact_text(c: Column, size: int = 200) -> Column:
     t = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, URL_SHAPE, "[URL]"), WINDOWS_PATH, "$1[PATH]"), POSIX_PATH, "$1[PATH]")
-    t = F.when(secret_like(t), "[REDACTED]").otherwise(t)
     room = size - len(TRUNCATED.encode())
-    cut = F.concat(cut_bytes(t, room), F.lit(TRUNCATED)) if room > 0 else cut_bytes(t, size)
-    return F.when(t == "", None).when(F.octet_length(t) <= size, t).otherwise(cut)
+
+    def bounded(x: Column) -> Column:
+        cut = F.concat(cut_bytes(x, room), F.lit(TRUNCATED)) if room > 0 else cut_bytes(x, size)
+        return F.when(x == "", None).when(F.octet_length(x) <= size, x).otherwise(cut)
+
+    return once(once(t, lambda x: F.when(secret_like(x), "[REDACTED]").otherwise(x)), bounded)
 
 
 def bounded_description(c: Column, size: int = 120) -> Column:
@@ -140,7 +150,7 @@ def provenance(kind: Column, has_amount: Column) -> Column:
 
 def source_label(c: Column) -> Column:
     """Four passthroughs, npm packages by name, anything else is other."""
-    return F.when(c.isin("user", "project", "builtin", "sdk"), c).when(c.rlike(r"^npm:@?[a-z0-9._/-]+$"), c).when(c.isNotNull(), "other")
+    return F.when(c.isin("user", "project", "builtin", "sdk"), c).when(c.rlike(r"^npm:@?[a-z0-9._/-]+\z"), c).when(c.isNotNull(), "other")
 
 
 def error_kind(stop: Column) -> Column:

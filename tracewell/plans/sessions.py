@@ -140,9 +140,9 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span in ms of sessions with two clocks or more, and their days."""
     m = load(spark, sf_dir, "messages")
-    ms = F.unix_millis("ts")
+    us = F.unix_micros("ts")
     days = F.array_join(F.array_sort(F.collect_set(gates.day_of(F.col("ts_raw")))), ",")
-    return m.groupBy("session_id").agg(F.when(F.count("ts") >= 2, F.max(ms) - F.min(ms)).alias("span_ms"), days.alias("days"))
+    return m.groupBy("session_id").agg(F.when(F.count("ts") >= 2, F.floor((F.max(us) - F.min(us)) / 1000)).alias("span_ms"), days.alias("days"))
 
 
 def status_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +335,7 @@ ORACLE = {
       SELECT h.session_id, count(*) AS shared FROM ids m JOIN h USING (session_id) WHERE EXISTS (SELECT 1 FROM ids t WHERE t.session_id = h.parent_session AND t.entry_id = m.entry_id) GROUP BY 1""",
     "missing_usage_owners": f"WITH {_E} SELECT session_id, owner_id FROM lines WHERE bucket = 'assistant' AND tokens IS NULL",
     "state_transitions": "SELECT session_id, append_ordinal, entry_id, entry_type AS kind, ts_raw, model FROM messages WHERE entry_type IN ('model_change', 'thinking_level_change')",
-    "session_span": """SELECT session_id, CASE WHEN count(ts) >= 2 THEN max(epoch_ms(ts)) - min(epoch_ms(ts)) END AS span_ms,
+    "session_span": """SELECT session_id, CASE WHEN count(ts) >= 2 THEN (max(epoch_us(ts)) - min(epoch_us(ts))) // 1000 END AS span_ms,
       coalesce(string_agg(DISTINCT CASE WHEN regexp_full_match(substr(ts_raw, 1, 10), '\\d{4}-\\d{2}-\\d{2}') THEN substr(ts_raw, 1, 10) END, ',' ORDER BY CASE WHEN regexp_full_match(substr(ts_raw, 1, 10), '\\d{4}-\\d{2}-\\d{2}') THEN substr(ts_raw, 1, 10) END), '') AS days FROM messages GROUP BY 1""",
     "status_verdict": f"""WITH {_E}, {_T} SELECT session_id, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'errors' WHEN count(*) FILTER (status = 'interrupted') > 0 THEN 'interrupted' ELSE 'clean' END AS verdict,
       count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'interrupted') AS interrupted, count(*) AS calls FROM t GROUP BY 1""",
