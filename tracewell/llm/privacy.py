@@ -41,7 +41,8 @@ TOKEN = re.compile(rf"{PART}(?:-{PART})*")
 # forms of e-mail addresses, plain and spelled out
 _AT = r"(?:@|\s?[(\[]\s?(?:at|AT|arroba)\s?[)\]]\s?|\s(?:AT|at|arroba)\s)"
 _DOT = r"(?:\.|\s?[(\[]\s?(?:dot|DOT|punkt|punto|point)\s?[)\]]\s?|\s(?:DOT|dot|punkt|punto|point)\s)"
-EMAIL = re.compile(rf"(?<![\w.+%@/-])[\w+%-]+(?:\.[\w+%-]+)*(?P<at>{_AT})[\w-]+(?:(?P<dot>{_DOT})[\w-]+)*(?:{_DOT}[^\W\d_]{{2,}})(?![\w@])")
+EMAIL = re.compile(rf"(?<![\w.+%@/-])[\w+%-]+(?:\.[\w+%-]+)*(?P<at>{_AT})[\w-]+(?:{_DOT}[\w-]+)*(?:{_DOT}[^\W\d_]{{2,}})(?![\w@])")
+SPELLED = re.compile(r"\s(?:DOT|dot|punkt|punto|point)\s|[(\[]")
 EMAIL_HINT = re.compile(r"@|[(\[]\s?(?:at|AT|arroba)\s?[)\]]|\s(?:AT|at|arroba)\s[\w-]+\s(?:DOT|dot|punkt|punto|point)\s")
 
 # forms of phone numbers, longest first
@@ -104,8 +105,8 @@ def form_spans(text: str) -> list[tuple[int, int, str]]:
             # host:path is a repository, not a mailbox
             if text[m.end() : m.end() + 1] == ":" and text[m.end() + 1 : m.end() + 2].strip():
                 continue
-            plain_words = m["at"].strip().islower() and m["at"].strip().isalpha() and m["dot"] == "."
-            if not plain_words:
+            # a plain "at" is a word like any other unless a spelled-out dot follows
+            if m["at"].strip() != "at" or SPELLED.search(text, m.end("at"), m.end()):
                 spans.append((m.start(), m.end(), "email"))
     if POSTCODE.search(text):
         for m in ADDRESS.finditer(text):

@@ -37,6 +37,8 @@ PREFIX = 32
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 RUN = re.compile(r"(?:(?!_)[\w'’])*")
+RUNS = re.compile(r"(?:(?!_)[\w'’])+")
+LONG = "\0long"
 BREAK = re.compile(r"\r\n|\r|\n")
 BULLET = re.compile(r"^\s*(?:[-*+•–—◦▪·]|#?\d{1,4}[.):]?|\(\w{1,4}\)|[a-zA-Z][.)]|[ivxIVX]+[.)])\s+")
 SPEAKER = re.compile(r"^\s*(?:[-*+•–—]\s+)?(?:\*\*)?\w{1,12}(?:\*\*)?\s*:\s")
@@ -47,6 +49,15 @@ CELL = re.compile(r"[|\t;,<]")
 END = frozenset(".!?。！？…:\"'”»)")
 
 
+def _seen(run: str) -> str:
+    """What a run is remembered by; all long ones are alike."""
+    return run.lower() if len(run) <= EDGE else LONG
+
+
+def _few(runs) -> list[str]:
+    return sorted(set(runs))[: FEW_WORDS + 1]
+
+
 class Fragment:
     """Counts of a piece of one line, closed under concatenation."""
 
@@ -66,10 +77,15 @@ class Fragment:
         self.solid = bool(stripped)
         self.prefix = text[:PREFIX]
         self.last = stripped[-1:]
-        self.head = RUN.match(text, 0, EDGE).group()
-        self.tail = RUN.match(text[: -EDGE - 1 : -1]).group()[::-1]
+        self.head = RUN.match(text, 0, EDGE + 1).group()
+        self.tail = RUN.match(text[: -EDGE - 2 : -1]).group()[::-1]
         self.whole = len(text) <= EDGE and self.head == text
-        self.seen = sorted({w.lower()[:EDGE] for w in found})[: FEW_WORDS + 1]
+        inner = RUNS.findall(text)
+        if self.head and inner:
+            inner.pop(0)
+        if self.tail and inner:
+            inner.pop()
+        self.seen = _few(map(_seen, inner))
         self.cells = len(CELL.findall(text))
         self.spaces = text.count(" ")
 
@@ -78,6 +94,14 @@ class Fragment:
         for k in ("chars", "words", "letters", "common", "kana", "han", "symbols", "digits", "cells", "spaces"):
             setattr(out, k, getattr(self, k) + getattr(other, k))
         seen = {*self.seen, *other.seen}
+        # a run of word characters is known once it is closed on both sides
+        if self.tail and other.head:
+            if not self.whole and not other.whole:
+                seen.add(_seen(self.tail + other.head))
+        elif self.tail and not self.whole:
+            seen.add(_seen(self.tail))
+        elif other.head and not other.whole:
+            seen.add(_seen(other.head))
         if self.tail and other.head:
             # the cut word (and apostrophes beside it) counts as it stands in the whole text
             for text, sign in ((self.tail, -1), (other.head, -1), (self.tail + other.head, 1)):
@@ -85,13 +109,12 @@ class Fragment:
                 out.words += sign * len(found)
                 out.letters += sign * sum(map(len, found))
                 out.common += sign * sum(1 for w in found if w.lower() in common)
-                seen |= {w.lower()[:EDGE] for w in found} if sign > 0 else set()
-        out.seen = sorted(seen)[: FEW_WORDS + 1]
+        out.seen = _few(seen)
         out.solid = self.solid or other.solid
         out.prefix = (self.prefix + other.prefix)[:PREFIX] if self.chars < PREFIX else self.prefix
         out.last = other.last or self.last
-        out.head = (self.head + other.head)[:EDGE] if self.whole else self.head
-        out.tail = (self.tail + other.tail)[-EDGE:] if other.whole else other.tail
+        out.head = (self.head + other.head)[: EDGE + 1] if self.whole else self.head
+        out.tail = (self.tail + other.tail)[-EDGE - 1 :] if other.whole else other.tail
         out.whole = self.whole and other.whole and self.chars + other.chars <= EDGE
         return out
 
@@ -111,7 +134,8 @@ class Fragment:
             return "prose"
         share = self.common / self.words if self.words else 0.0
         bullet = BULLET.match(self.prefix) is not None and SPEAKER.match(self.prefix) is None
-        few = len(self.seen) <= FEW_WORDS and self.words >= 10 * max(1, len(self.seen))
+        seen = {*self.seen, *(_seen(x) for x in (self.head, self.tail) if x)}
+        few = len(seen) <= FEW_WORDS and self.words >= 10 * max(1, len(seen))
         if not bullet and not few:
             start = self.prefix.lstrip()[:1]
             if share >= COMMON_SHARE or (share >= SENTENCE_SHARE and start.isupper() and self.last in ".!?" and self.words >= 5):
