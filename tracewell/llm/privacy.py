@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,6 +225,8 @@ def _finder(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value if shared is not None else None
+        # tells texts apart that share a row id
+        unit = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[tuple] = []
             for rid, content, texts in zip(batch.column("row_id").to_pylist(), batch.column("content"), batch.column("texts")):
@@ -232,24 +235,25 @@ def _finder(shared):
                     if not text:
                         continue
                     spans = form_spans(text)
-                    out += [(rid, no, kind, a + 1, b, None, None) for a, b, kind in spans]
+                    unit += 1
+                    out += [(rid, no, kind, a + 1, b, None, None, unit) for a, b, kind in spans]
                     if lexicon is not None:
                         if lexicon.keys().isdisjoint(re.findall(PART, text.lower())):
                             continue
                         done = 0
                         for given, family, a, b in name_pairs(text):
                             if a >= done and is_name(given, "given", lexicon) and is_name(family, "family", lexicon) and _free(spans, a, b):
-                                out.append((rid, no, "name", a + 1, b, None, None))
+                                out.append((rid, no, "name", a + 1, b, None, None, unit))
                                 done = b
                     else:
-                        out += [(rid, no, "name", a + 1, b, g.lower(), f.lower()) for g, f, a, b in name_pairs(text) if _free(spans, a, b)]
-            cols = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["row_id", "block_no", "kind", "start_pos", "end_pos", "given", "family"])
+                        out += [(rid, no, "name", a + 1, b, g.lower(), f.lower(), unit) for g, f, a, b in name_pairs(text) if _free(spans, a, b)]
+            cols = list(zip(*out)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["row_id", "block_no", "kind", "start_pos", "end_pos", "given", "family", "unit"])
 
     return run
 
 
-FOUND = "row_id long, block_no int, kind string, start_pos long, end_pos long, given string, family string"
+FOUND = "row_id long, block_no int, kind string, start_pos long, end_pos long, given string, family string, unit long"
 
 
 def text_units(messages: DataFrame) -> DataFrame:
@@ -272,9 +276,9 @@ def find_personal(messages: DataFrame, names: DataFrame, lexicon_terms: int = LE
         for r in terms.collect():
             lexicon.setdefault(r["term"], set()).add(r["slot"])
         shared = messages.sparkSession.sparkContext.broadcast(lexicon)
-        return rows.mapInArrow(_finder(shared), FOUND).drop("given", "family")
+        return rows.mapInArrow(_finder(shared), FOUND).drop("given", "family", "unit")
     found = rows.mapInArrow(_finder(None), FOUND)
-    forms = found.where("kind <> 'name'").drop("given", "family")
+    forms = found.where("kind <> 'name'").drop("given", "family", "unit")
     pairs = found.where("kind = 'name'")
     for slot in ("given", "family"):
         known = terms.where(F.col("slot") == slot).select(F.col("term").alias("part"))
@@ -282,8 +286,8 @@ def find_personal(messages: DataFrame, names: DataFrame, lexicon_terms: int = LE
         lacking = need.join(known, "part", "left_anti").select(slot).distinct()
         pairs = pairs.join(lacking, slot, "left_anti")
     # left to right within one text: a pair that starts inside its predecessor goes
-    before = Window.partitionBy("row_id", "block_no").orderBy("start_pos")
-    named = pairs.withColumn("_prev", F.lag("end_pos").over(before)).where("_prev is null or start_pos > _prev").drop("_prev", "given", "family")
+    before = Window.partitionBy("row_id", "unit").orderBy("start_pos")
+    named = pairs.withColumn("_prev", F.lag("end_pos").over(before)).where("_prev is null or start_pos > _prev").drop("_prev", "given", "family", "unit")
     return forms.unionByName(named.select(forms.columns))
 
 
