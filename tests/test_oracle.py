@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import canon, connect
-from tracewell.plans import corpus, evidence, sessions
+from tracewell.plans import corpus, evidence, reports, sessions
 
-QUERIES = corpus.QUERIES | sessions.QUERIES | evidence.QUERIES
-ORACLE = corpus.ORACLE | sessions.ORACLE | evidence.ORACLE
+QUERIES = corpus.QUERIES | sessions.QUERIES | evidence.QUERIES | reports.QUERIES
+ORACLE = corpus.ORACLE | sessions.ORACLE | evidence.ORACLE | reports.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

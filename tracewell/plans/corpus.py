@@ -89,6 +89,20 @@ c AS (SELECT session_id, a, count(*) AS n FROM anc GROUP BY ALL)
 SELECT l.session_id, l.entry_id, coalesce(up.root_id, '') AS root_id, CAST(coalesce(up.depth, -1) AS BIGINT) AS depth,
   CAST(CASE WHEN up.depth IS NULL THEN -1 ELSE coalesce(c.n, 0) END AS BIGINT) AS n_below
 FROM l LEFT JOIN up USING (session_id, entry_id) LEFT JOIN c ON c.session_id = l.session_id AND c.a = l.entry_id
+""",
+    "p4_found": """
+WITH RECURSIVE t AS (
+  SELECT r.record_id, j.id, j.parent, j.key, j.type FROM (SELECT record_id, payload FROM run_records WHERE json_valid(payload)) r, json_tree(r.payload) j),
+w AS (
+  SELECT record_id, id, type, '' AS path, '' AS elem, false AS is_elem, '' AS parent_path FROM t WHERE parent IS NULL
+  UNION ALL
+  SELECT record_id, id, type, path, CASE WHEN is_elem THEN path ELSE up END, is_elem, up FROM (
+    SELECT c.record_id, c.id, c.type, w.elem AS up,
+      w.path || CASE WHEN w.type = 'ARRAY' THEN '[' || c.key || ']' WHEN w.path = '' THEN c.key ELSE '.' || c.key END
+        || CASE WHEN c.type = 'OBJECT' AND w.type = 'OBJECT' AND c.key IN ('content', 'results', 'completions', 'children', 'runs', 'attempts') THEN '[0]' ELSE '' END AS path,
+      c.type = 'OBJECT' AND (w.type = 'ARRAY' OR c.key IN ('content', 'results', 'completions', 'children', 'runs', 'attempts')) AS is_elem
+    FROM w JOIN t c ON c.record_id = w.record_id AND c.parent = w.id))
+SELECT record_id, path AS child_path, parent_path FROM w WHERE is_elem
 """,
     "p5_found": _P5_KEYS + "SELECT delivery_id FROM n WHERE rn > 1",
     "p5_kept": _P5_KEYS + "SELECT delivery_id, session_id, tool_call_id, run_id, tool_name, is_error FROM n WHERE rn = 1",
