@@ -48,8 +48,11 @@ def preset_bounds(days: DataFrame, preset: int | None) -> DataFrame:
 
 
 def in_range(df: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Rows whose day lies between the bounds, both included; undated rows never match. ``bounds`` is one row."""
-    return df.join(F.broadcast(bounds), (F.col("day") >= F.col("from_day")) & (F.col("day") <= F.col("to_day"))).drop("from_day", "to_day")
+    """Rows whose day lies between the bounds, both included; undated rows never match.
+
+    ``bounds`` is one row, read as scalars: a filter, not a join.
+    """
+    return df.where((F.col("day") >= bounds.select("from_day").scalar()) & (F.col("day") <= bounds.select("to_day").scalar()))
 
 
 def totals(df: DataFrame) -> DataFrame:
@@ -58,10 +61,10 @@ def totals(df: DataFrame) -> DataFrame:
 
 def membership(dated: DataFrame, bounds: DataFrame) -> DataFrame:
     """member, out or unknown: a truncated window that starts after the range's start cannot rule a session out."""
-    got = dated.join(F.broadcast(bounds)).groupBy("session_id").agg(
-        F.count_if((F.col("day") >= F.col("from_day")) & (F.col("day") <= F.col("to_day"))).alias("days_in"), F.min("day").alias("first_kept"), F.bool_or("truncated").alias("truncated"), F.first("from_day").alias("from_day")
-    )
-    verdict = F.when(F.col("days_in") > 0, "member").when(F.col("truncated") & (F.col("from_day") < F.col("first_kept")), "unknown").otherwise("out")
+    start, end = bounds.select("from_day").scalar(), bounds.select("to_day").scalar()
+    inside = dated.withColumn("_in", (F.col("day") >= start) & (F.col("day") <= end))
+    got = inside.groupBy("session_id").agg(F.count_if("_in").alias("days_in"), F.min("day").alias("first_kept"), F.bool_or("truncated").alias("truncated"))
+    verdict = F.when(F.col("days_in") > 0, "member").when(F.col("truncated") & (start < F.col("first_kept")), "unknown").otherwise("out")
     return got.select("session_id", "days_in", "truncated", verdict.alias("verdict"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import gates
+from tracewell.operators.prefix import running_sums
 
 
 # -- sub-runs ---------------------------------------------------------------
@@ -105,10 +106,14 @@ def delta_after(wal: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def pair_fifo(wal: DataFrame, start: str, end: str, key: str = "writer_id") -> DataFrame:
-    """The n-th start of a key pairs with its n-th end; starts left over are open intervals."""
-    w = Window.partitionBy(key).orderBy("ts", "writer_sequence")
-    starts = wal.where(F.col("kind") == start).select(key, F.col("ts").alias("started_at"), F.row_number().over(w).alias("n"))
-    ends = wal.where(F.col("kind") == end).select(key, F.col("ts").alias("ended_at"), F.row_number().over(w).alias("n"))
+    """The n-th start of a key pairs with its n-th end; starts left over are open intervals.
+
+    Numbered by distributed running sums, so a writer with a third of all
+    records is not gathered in one task.
+    """
+    order = [F.col("ts"), F.col("writer_sequence")]
+    starts = running_sums(wal.where(F.col("kind") == start).select(key, "ts", "writer_sequence"), [key], order, {"n": F.lit(1)}).select(key, "n", F.col("ts").alias("started_at"))
+    ends = running_sums(wal.where(F.col("kind") == end).select(key, "ts", "writer_sequence"), [key], order, {"n": F.lit(1)}).select(key, "n", F.col("ts").alias("ended_at"))
     return starts.join(ends, [key, "n"], "left").withColumn("open", F.col("ended_at").isNull())
 
 

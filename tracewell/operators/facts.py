@@ -124,9 +124,8 @@ def tool_summary(tool_rows: DataFrame) -> DataFrame:
         F.max("ts_raw").alias("last_used"),
         F.count_distinct("session_id").alias("sessions"),
     )
-    # the totals are one row
-    total = got.agg(F.sum("calls").alias("all_calls"))
-    return got.crossJoin(F.broadcast(total)).select("*", F.round(F.col("calls") * 100 / F.col("all_calls"), 1).cast("decimal(5,1)").alias("percent")).drop("all_calls")
+    total = got.agg(F.sum("calls")).scalar()
+    return got.withColumn("percent", F.round(F.col("calls") * 100 / total, 1).cast("decimal(5,1)"))
 
 
 def ledger(entries: DataFrame) -> DataFrame:
