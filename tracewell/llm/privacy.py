@@ -196,7 +196,10 @@ def disclosure(rows: DataFrame, names: DataFrame) -> DataFrame:
     name).  First the listed names are weighed by how often they stand beside
     each other; the reliable ones are the seeds that weigh all other terms.
     """
-    listed = {r["name"].lower(): r["name_kind"] for r in names.where("name is not null").limit(LEXICON_TERMS).collect()}
+    reference = names.where("name is not null").select("name", "name_kind").distinct().limit(LEXICON_TERMS + 1).collect()
+    if len(reference) > LEXICON_TERMS:
+        raise ValueError(f"more than {LEXICON_TERMS} reference names")
+    listed = {r["name"].lower(): r["name_kind"] for r in reference}
     counted = rows.select("content", "texts").mapInArrow(_counter(listed), "term string, other string, slot string, n long")
     table = written(counted.groupBy("term", "other", "slot").agg(F.sum("n").alias("n")), "terms")
     total = table.where("slot = ''").select("term", F.col("n").alias("total"))
@@ -206,10 +209,9 @@ def disclosure(rows: DataFrame, names: DataFrame) -> DataFrame:
     seeds = listing.join(total, "term").join(own, "term", "left").where((F.coalesce("near", F.lit(0)) + 1) / (F.col("total") + 2) >= SLOT_SHARE).select("term", "listed")
     seeds = written(seeds, "seeds")
     by_seed = beside.join(seeds.select(F.col("term").alias("other"), F.lit(True).alias("seed")).distinct(), "other").groupBy("term", "slot").agg(F.sum("n").alias("near"))
-    base = table.where("slot = ''").agg(F.sum("n").alias("all_terms")).crossJoin(by_seed.agg(F.sum("near").alias("all_near")))  # one row by one row
-    weighed = by_seed.join(total, "term").join(F.broadcast(base)).select(
-        "term", "slot", "near", F.col("total").alias("n"), F.try_divide("near", "total").alias("share"), F.log2(F.try_divide(F.col("near") * F.col("all_terms"), F.col("total") * F.col("all_near"))).alias("bits")
-    )
+    all_terms, all_near = table.where("slot = ''").agg(F.sum("n")).scalar(), by_seed.agg(F.sum("near")).scalar()
+    bits = F.log2(F.try_divide(F.col("near") * all_terms, F.col("total") * all_near))
+    weighed = by_seed.join(total, "term").select("term", "slot", "near", F.col("total").alias("n"), F.try_divide("near", "total").alias("share"), bits.alias("bits"))
     known = seeds.select("term", F.col("listed").alias("slot"), F.lit(True).alias("listed"))
     return weighed.join(known, ["term", "slot"], "full_outer")
 
