@@ -26,8 +26,10 @@ CHUNK = 65_536
 FAN = 64
 #: Least share of common words among a prose line's words.
 COMMON_SHARE = 0.16
-#: The same for a line that starts with a capital and ends like a sentence.
+#: The same for a line that starts or ends like a sentence.
 SENTENCE_SHARE = 0.08
+#: Words of more letters on average are no words.
+LONG_WORDS = 12
 #: Least share of kana among a line's Japanese characters.
 KANA_SHARE = 0.15
 #: A line of at most so many different words, each used ten times, is endless repetition.
@@ -40,7 +42,7 @@ RUN = re.compile(r"(?:(?!_)[\w'’])*")
 RUNS = re.compile(r"(?:(?!_)[\w'’])+")
 LONG = "\0long"
 BREAK = re.compile(r"\r\n|\r|\n")
-BULLET = re.compile(r"^\s*(?:[-*+•–—◦▪·]|#?\d{1,4}[.):]?|\(\w{1,4}\)|[a-zA-Z][.)]|[ivxIVX]+[.)])\s+")
+BULLET = re.compile(r"^\s*(?:[-*+•–—◦▪·]|#\d{1,4}[.):]?|\d{1,4}[.):]|\(\w{1,4}\)|[a-zA-Z][.)]|[ivxIVX]+[.)])\s+")
 SPEAKER = re.compile(r"^\s*(?:[-*+•–—]\s+)?(?:\*\*)?\w{1,12}(?:\*\*)?\s*:\s")
 KANA = re.compile(r"[぀-ヿ]")
 HAN = re.compile(r"[一-鿿]")
@@ -136,9 +138,9 @@ class Fragment:
         bullet = BULLET.match(self.prefix) is not None and SPEAKER.match(self.prefix) is None
         seen = {*self.seen, *(_seen(x) for x in (self.head, self.tail) if x)}
         few = len(seen) <= FEW_WORDS and self.words >= 10 * max(1, len(seen))
-        if not bullet and not few:
-            start = self.prefix.lstrip()[:1]
-            if share >= COMMON_SHARE or (share >= SENTENCE_SHARE and start.isupper() and self.last in ".!?" and self.words >= 5):
+        if not bullet and not few and self.letters <= LONG_WORDS * self.words:
+            like = self.prefix.lstrip()[:1].isupper() or self.last in (".", "!", "?")
+            if share >= COMMON_SHARE or (share >= SENTENCE_SHARE and like and self.words >= 5 and self.symbols <= 0.1 * self.letters):
                 return "prose"
         if few:
             return "junk"
