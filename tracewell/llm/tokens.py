@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,22 +94,87 @@ def _encoder(path: str):
     return run
 
 
-def pretokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, positions): each distinct pre-token of a document with all its positions."""
-    words = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    spread = docs.where(F.length(text) > 0).select(F.col(key), F.posexplode(words).alias("pos", "word"))
-    return spread.groupBy(key, "word").agg(F.collect_list("pos").alias("positions"))
+def _group_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_key, words) to (doc_key, word, positions), by columns: a document is one row, so nothing is shuffled."""
+    for batch in batches:
+        lists = batch.column(1)
+        flat = lists.flatten()
+        if not len(flat):
+            continue
+        size = lists.value_lengths().to_numpy()
+        doc = np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        coded = flat.dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        group = doc * len(coded.dictionary) + code
+        order = np.argsort(group, kind="stable")
+        sorted_group = group[order]
+        first = np.flatnonzero(np.r_[True, sorted_group[1:] != sorted_group[:-1]])
+        offsets = pa.array(np.r_[first, len(flat)].astype(np.int32))
+        out = pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(doc[order[first]])), coded.dictionary.take(pa.array(code[order[first]])), pa.ListArray.from_arrays(offsets, pa.array(pos[order].astype(np.int32)))],
+            names=["doc_key", "word", "positions"],
+        )
+        for at in range(0, out.num_rows, 50_000):
+            yield out.slice(at, 50_000)
+
+
+def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_key, positions, wids) sorted by doc_key to (doc_key, ids).
+
+    A document that a batch cuts is carried over to the next; of a batch all
+    documents are put in order at once.
+    """
+
+    def finish(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        keys = t["doc_key"].combine_chunks()
+        places, wids = t["positions"].combine_chunks(), t["wids"].combine_chunks()
+        new = np.r_[True, pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)]
+        doc = np.cumsum(new) - 1
+        times = places.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(times)), times)
+        order = row[np.lexsort((places.flatten().to_numpy(), doc[row]))]
+        ids = wids.take(pa.array(order))
+        per_doc = np.bincount(doc[order], weights=ids.value_lengths().to_numpy(), minlength=doc[-1] + 1).astype(np.int64)
+        offsets = pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(np.flatnonzero(new))), pa.ListArray.from_arrays(offsets, ids.flatten())], names=["doc_key", "ids"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0)
+        last = keys[batch.num_rows - 1]
+        # rows of the last document stay for the next batch
+        cut = pc.index(keys, last).as_py()
+        if cut == 0 and held and held[-1].column(0)[held[-1].num_rows - 1] == last:
+            held.append(batch)
+            continue
+        done = [*held, batch.slice(0, cut)] if cut else held
+        if sum(b.num_rows for b in done):
+            yield finish(pa.Table.from_batches([b for b in done if b.num_rows]))
+        held = [batch.slice(cut)]
+    if held:
+        yield finish(pa.Table.from_batches(held))
+
+
+def pretokens(docs: DataFrame) -> DataFrame:
+    """(doc_key, word, positions): each distinct pre-token of a document with all its positions."""
+    words = F.regexp_extract_all(F.col("doc_text"), F.lit(PATTERN), F.lit(0))
+    kind = dict(docs.dtypes)["doc_key"]
+    return docs.where(F.length("doc_text") > 0).select("doc_key", words.alias("words")).mapInArrow(_group_words, f"doc_key {kind}, word string, positions array<int>")
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS_DIR, vocabulary: str = VOCABULARY, head_share: int = HEAD_SHARE) -> DataFrame:
     """(key, ids): the ids of each text without special tokens; [] for an empty or null text.
 
-    ``key`` should be unique and not null; rows that share a key would be mixed.
+    ``key`` must be unique and not null; rows that share a key would be mixed.
     Special tokens' strings in a text are ordinary text.  Other columns are not read.
     """
     path = f"{tokenizers.rstrip('/')}/{vocabulary}"
     docs = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text"))
-    pre = written(pretokens(docs, "doc_key", "doc_text"), "pretokens")
+    pre = written(pretokens(docs), "pretokens")
     counts = pre.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     table = written(counts.select("word", "n").mapInArrow(_counted(path), "word string, n long, wids array<int>"), "vocabulary")
     rows = pre.count()
@@ -118,11 +185,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
     hot = near.where("hids is not null").select("doc_key", "positions", F.col("hids").alias("wids"))
     rest = near.where("hids is null").drop("hids").join(tail, "word").select("doc_key", "positions", "wids")
     spread = hot.unionByName(rest)
-    # one sortable value per (document, word): its positions; flattened by position at the end
-    placed = spread.groupBy("doc_key").agg(F.collect_list(F.struct("positions", "wids")).alias("parts"))
-    items = F.flatten(F.transform("parts", lambda p: F.transform(p["positions"], lambda q: F.struct(q.alias("pos"), p["wids"].alias("wids")))))
-    ids = F.flatten(F.transform(F.array_sort(items), lambda x: x["wids"]))
-    got = placed.select("doc_key", ids.alias("ids"))
+    kind = dict(docs.dtypes)["doc_key"]
+    got = spread.select("doc_key", "positions", "wids").repartition("doc_key").sortWithinPartitions("doc_key").mapInArrow(_reassemble, f"doc_key {kind}, ids array<int>")
     empty = F.array().cast("array<int>")
     blank = docs.where("doc_text is null or length(doc_text) = 0").select(F.col("doc_key").alias(key), empty.alias("ids"))
     return got.select(F.col("doc_key").alias(key), "ids").unionByName(blank)
