@@ -44,7 +44,8 @@ def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of sub-run results, linked to their parents."""
     rows = nested.shred_records(load(spark, sf_dir, "run_records"))
-    return nested.field_tables(rows, "results", {"agent": "agent:string", "run_id": "runId:string", "state": "state:string", "success": "success:boolean", "position": "index:bigint"})
+    flat = nested.field_tables(rows, "results", {"agent": "agent:string", "run_id": "runId:string", "state": "state:string", "success": "success:boolean", "position": "index:bigint"})
+    return flat.drop("object_id", "parent_object_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,22 @@ WITH k AS (
 n AS (SELECT *, row_number() OVER (PARTITION BY s, t, r ORDER BY delivery_id) AS rn FROM k)
 """
 
+#: Every object of every payload with its path, by recursion over the JSON tree.
+NESTED_SQL = """
+t AS (
+  SELECT r.record_id, j.id, j.parent, j.key, j.type, j.value FROM (SELECT record_id, payload FROM run_records WHERE json_valid(payload)) r, json_tree(r.payload) j),
+w AS (
+  SELECT record_id, id, type, '' AS path, '' AS elem, false AS is_elem, '' AS parent_path, '' AS field, NULL::BIGINT AS ordinal, value FROM t WHERE parent IS NULL
+  UNION ALL
+  SELECT record_id, id, type, path, CASE WHEN is_elem THEN path ELSE up END, is_elem, up, field, ordinal, value FROM (
+    SELECT c.record_id, c.id, c.type, c.value, w.elem AS up, CASE WHEN w.type = 'OBJECT' THEN c.key ELSE w.field END AS field,
+      CASE WHEN w.type = 'ARRAY' THEN CAST(c.key AS BIGINT) ELSE 0 END AS ordinal,
+      w.path || CASE WHEN w.type = 'ARRAY' THEN '[' || c.key || ']' WHEN w.path = '' THEN c.key ELSE '.' || c.key END
+        || CASE WHEN c.type = 'OBJECT' AND w.type = 'OBJECT' AND c.key IN ('content', 'results', 'completions', 'children', 'runs', 'attempts') THEN '[0]' ELSE '' END AS path,
+      c.type = 'OBJECT' AND (w.type = 'ARRAY' OR c.key IN ('content', 'results', 'completions', 'children', 'runs', 'attempts')) AS is_elem
+    FROM w JOIN t c ON c.record_id = w.record_id AND c.parent = w.id))
+"""
+
 ORACLE = {
     "p2_found": """
 WITH RECURSIVE f AS (
@@ -90,20 +107,9 @@ SELECT l.session_id, l.entry_id, coalesce(up.root_id, '') AS root_id, CAST(coale
   CAST(CASE WHEN up.depth IS NULL THEN -1 ELSE coalesce(c.n, 0) END AS BIGINT) AS n_below
 FROM l LEFT JOIN up USING (session_id, entry_id) LEFT JOIN c ON c.session_id = l.session_id AND c.a = l.entry_id
 """,
-    "p4_found": """
-WITH RECURSIVE t AS (
-  SELECT r.record_id, j.id, j.parent, j.key, j.type FROM (SELECT record_id, payload FROM run_records WHERE json_valid(payload)) r, json_tree(r.payload) j),
-w AS (
-  SELECT record_id, id, type, '' AS path, '' AS elem, false AS is_elem, '' AS parent_path FROM t WHERE parent IS NULL
-  UNION ALL
-  SELECT record_id, id, type, path, CASE WHEN is_elem THEN path ELSE up END, is_elem, up FROM (
-    SELECT c.record_id, c.id, c.type, w.elem AS up,
-      w.path || CASE WHEN w.type = 'ARRAY' THEN '[' || c.key || ']' WHEN w.path = '' THEN c.key ELSE '.' || c.key END
-        || CASE WHEN c.type = 'OBJECT' AND w.type = 'OBJECT' AND c.key IN ('content', 'results', 'completions', 'children', 'runs', 'attempts') THEN '[0]' ELSE '' END AS path,
-      c.type = 'OBJECT' AND (w.type = 'ARRAY' OR c.key IN ('content', 'results', 'completions', 'children', 'runs', 'attempts')) AS is_elem
-    FROM w JOIN t c ON c.record_id = w.record_id AND c.parent = w.id))
-SELECT record_id, path AS child_path, parent_path FROM w WHERE is_elem
-""",
+    "p4_found": f"WITH RECURSIVE {NESTED_SQL} SELECT record_id, path AS child_path, parent_path FROM w WHERE is_elem",
+    "p4_results": f"""WITH RECURSIVE {NESTED_SQL} SELECT record_id, path AS child_path, parent_path, CAST(ordinal AS INT) AS ordinal, value ->> '$.agent' AS agent, value ->> '$.runId' AS run_id, value ->> '$.state' AS state,
+      TRY_CAST(value ->> '$.success' AS BOOLEAN) AS success, TRY_CAST(value ->> '$.index' AS BIGINT) AS position FROM w WHERE is_elem AND field = 'results'""",
     "p5_found": _P5_KEYS + "SELECT delivery_id FROM n WHERE rn > 1",
     "p5_kept": _P5_KEYS + "SELECT delivery_id, session_id, tool_call_id, run_id, tool_name, is_error FROM n WHERE rn = 1",
 }

@@ -129,9 +129,22 @@ def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FE = "e AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY session_id, entry_id ORDER BY append_ordinal) = 1)"
 _W = "w AS (SELECT user_id AS writer_id, event_id AS writer_sequence, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS amount FROM events)"
 
+from tracewell.plans.corpus import NESTED_SQL  # noqa: E402
 from tracewell.plans.sessions import _E, _T  # noqa: E402  the SQL of entries and tools
 
+_STATUS = """CASE WHEN lower(value ->> '$.success') = 'true' THEN 'succeeded' WHEN lower(value ->> '$.success') = 'false' THEN 'failed'
+    WHEN value ->> '$.state' IN ('complete', 'completed', 'succeeded') THEN 'succeeded' WHEN value ->> '$.state' IN ('failed', 'error') THEN 'failed'
+    WHEN value ->> '$.state' IN ('running', 'queued', 'pending', 'started') THEN 'running'
+    WHEN value ->> '$.state' IN ('cancelled', 'canceled', 'interrupted', 'stopped', 'aborted', 'killed') THEN 'interrupted' ELSE 'unknown' END"""
+_R = f"""{NESTED_SQL}, r AS (SELECT record_id, path AS child_path, parent_path, field, ordinal, value ->> '$.agent' AS agent, value ->> '$.runId' AS run_id, {_STATUS} AS status
+  FROM w WHERE is_elem AND field IN ('results', 'completions', 'children'))"""
+
 ORACLE = {
+    "runs_all": f"WITH RECURSIVE {_R} SELECT * FROM r",
+    "run_parents": f"""WITH RECURSIVE {_R} SELECT CASE WHEN r.parent_path = '' THEN 'none' WHEN p.status IS NULL THEN 'unknown' WHEN p.status = 'failed' THEN 'outside-range' ELSE 'in-range' END AS verdict, count(*) AS runs
+      FROM r LEFT JOIN r p ON p.record_id = r.record_id AND p.child_path = r.parent_path GROUP BY 1""",
+    "run_containers": f"""WITH RECURSIVE {_R}, g AS (SELECT record_id, parent_path, count(*) AS children, count(*) FILTER (status = 'failed') AS failed FROM r WHERE parent_path <> '' GROUP BY ALL HAVING count(*) >= 2)
+      SELECT record_id, parent_path, CAST(row_number() OVER (PARTITION BY record_id ORDER BY parent_path) AS INT) AS container_no, children, failed FROM g""",
     "subagent_activity": f"""WITH {_E}, {_T} SELECT session_id, count(*) AS calls, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'interrupted') AS interrupted,
       count(*) FILTER (tool = 'subagent_wait') AS waits FROM t WHERE tool IN ('subagent', 'subagent_wait') GROUP BY 1""",
     "child_projection": f"""WITH {_E}, {_T}, a AS (SELECT session_id, count(*) AS messages, CAST(sum(total_tokens) AS BIGINT) AS tokens, CASE WHEN count(DISTINCT model) = 1 THEN max(model) END AS model FROM e WHERE entry_type = 'message' AND role = 'assistant' GROUP BY 1),
