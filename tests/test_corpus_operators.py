@@ -191,3 +191,11 @@ def test_running_sums(spark):
     for r in got:
         assert (r.n, r.s) == (r.i + 1, sum(j % 3 for j in range(r.i + 1)))
     assert len(got) == len(rows)
+
+
+def test_written_tables_are_released(spark):
+    from tracewell.session import release, written
+
+    release(spark)
+    df = written(spark.range(5), "x")
+    assert df.count() == 5 and release(spark) == 1 and release(spark) == 0

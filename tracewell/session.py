@@ -47,6 +47,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables written by this driver, for ``release``.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables ``written`` by this driver; call it once their results have been used."""
+    jvm = spark.sparkContext._jvm
+    gone = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -55,6 +69,7 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(T._parse_datatype_json_string(df.schema.json())).parquet(path)
 
