@@ -1,6 +1,5 @@
 """Comparison of a query with its SQL on the same tables."""
 
-import decimal
 import os
 
 import duckdb
@@ -20,10 +19,12 @@ def plain(x):
         return tuple(plain(y) for y in x)
     if x is None or (not isinstance(x, str) and pd.isna(x)):
         return None
-    if isinstance(x, decimal.Decimal) or (not isinstance(x, (str, bool)) and type(x).__name__ not in ("bool", "bool_")):
-        f = float(x)
-        return int(f) if f == int(f) else f
-    return bool(x) if type(x).__name__ == "bool_" else x
+    if type(x).__name__ in ("bool", "bool_"):
+        return bool(x)
+    if isinstance(x, str):
+        return x
+    f = float(x)
+    return int(f) if f == int(f) else f
 
 
 def canon(df: pd.DataFrame) -> list[str]:
