@@ -59,6 +59,29 @@ def test_forest(spark, seed, chain, chunk, small):
     assert {(r.session_id, r.entry_id): (r.root_id, r.depth, r.n_below, tuple(r.path)) for r in got} == want
 
 
+def test_forest_by_pointer_doubling(spark):
+    """The exact way for a quotient that does not shrink, with weights of edges and nodes."""
+    from tracewell.operators.hierarchy import _double
+
+    parent = {f"e{i}": f"e{i - 1}" if i else None for i in range(30)} | {"f": "e12", "x": "y", "y": "x", "z": "x", "alone": None}
+    w = {k: 1 + i % 3 for i, k in enumerate(parent)}
+    sz = {k: 1 + i % 5 for i, k in enumerate(parent)}
+    df = spark.createDataFrame([(k, p, sz[k], w[k], [k]) for k, p in parent.items()], "key string, pkey string, sz long, w0 long, seg array<string>")
+    got = {r.key: r for r in _double(df, 1, True, len(parent)).collect()}
+    total = dict(sz)
+    for k in parent:
+        chain, c = [], k
+        while parent[c] is not None and len(chain) < 99:
+            chain.append(c)
+            c = parent[c]
+        assert got[k].looped == (len(chain) == 99)
+        if not got[k].looped:
+            assert (got[k].root, got[k].a0, got[k].r0, got[k].prefix) == (c, sum(w[x] for x in chain), w[c], chain[::-1])
+            for x in chain:
+                total[parent[x]] += sz[k]
+    assert all(got[k].total == total[k] for k in parent if not got[k].looped)
+
+
 def test_forest_marks_sizes_descendants_and_empty(spark):
     rows = [("s", "a", None, 1, 1, 5, "x"), ("s", "b", "a", 2, 0, 7, "x"), ("s", "c", "b", 3, 1, 11, "x"), ("s", "d", "gone", 4, 1, 13, "x")]
     df = spark.createDataFrame(rows, NODES + ", mark int, w long, key string")
