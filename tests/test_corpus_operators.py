@@ -55,7 +55,10 @@ def forest_rows(seed, chain=False):
 def test_forest(spark, seed, chain, chunk, small):
     rows = forest_rows(seed, chain)
     want = brute_forest(rows)
+    # small partitions must not be merged, or every chain is local
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(chunk > 100).lower())
     got = resolve_forest(spark.createDataFrame(rows, NODES), path=True, chunk_rows=chunk, small_rows=small).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert {(r.session_id, r.entry_id): (r.root_id, r.depth, r.n_below, tuple(r.path)) for r in got} == want
 
 

@@ -8,7 +8,7 @@ its chain loops locally.  Fragment tops whose parent lies in another partition
 form a smaller quotient forest, whose edges weigh as much as the contracted
 chains; it is solved by the same step with wider ranges, until nothing crosses
 partitions.  Then fragment results are expanded: root, depth and path are
-prefixed, subtree totals are attached at the exits' parents and summed once
+prefixed, subtree totals are attached at the exits' parents and summed
 more in the touched partitions only.  A loop inside a partition shows in the
 first step, a loop across partitions shows as a loop of the quotient.
 
@@ -226,12 +226,12 @@ def _solve(df: DataFrame, weights: int, path: bool, chunk_rows: int, small_rows:
     # the own weight of a quotient root is that of its row
     own = frags.where("is_top").select(F.col("key").alias("q_root"), F.col("ext").isNotNull().alias("own_open"), *[F.col(f"w{k}").alias(f"own{k}") for k in range(weights)])
     q = q.join(own, "q_root", "left")
-    # totals: attach solved subtrees at the rows they hang from, in touched chunks only
+    # totals: attach solved subtrees at the rows they hang from, and sum the touched fragments once more
     attach = links.select("key", "ext").join(solved.select("key", F.col("total").alias("more")), "key").groupBy(F.col("ext").alias("key")).agg(F.sum("more").alias("more"))
-    touched = frags.join(attach, "key", "left_semi").select("grp", "chunk").distinct()
-    cond = [F.col("f.grp").eqNullSafe(F.col("t.grp")), F.col("f.chunk") == F.col("t.chunk")]
-    again = frags.alias("f").join(touched.alias("t"), cond, "left_semi").join(attach, "key", "left").withColumn("sz", F.col("sz") + F.coalesce("more", F.lit(0)))
-    retotal = again.select("key", "pkey", "grp", "chunk", "sz", "w0").repartition("grp", "chunk").mapInArrow(_totals, "key string, total long").withColumnRenamed("total", "total2")
+    touched = frags.join(attach, "key", "left_semi").select("top").distinct()
+    again = frags.where("not looped").join(touched, "top", "left_semi").join(attach, "key", "left").withColumn("sz", F.col("sz") + F.coalesce("more", F.lit(0)))
+    inner = again.select("key", F.when(~F.col("is_top"), F.col("pkey")).alias("pkey"), "sz", "w0", "top").repartition("top")
+    retotal = inner.mapInArrow(_totals, "key string, total long").withColumnRenamed("total", "total2")
     return (
         frags.join(q, "top", "left")
         .join(retotal, "key", "left")
