@@ -9,7 +9,7 @@ form a smaller quotient forest, whose edges weigh as much as the contracted
 chains; it is solved by the same step with wider ranges, until nothing crosses
 partitions.  Then fragment results are expanded: root, depth and path are
 prefixed, subtree totals are attached at the exits' parents and summed
-more in the touched partitions only.  A loop inside a partition shows in the
+more in the touched fragments only.  A loop inside a partition shows in the
 first step, a loop across partitions shows as a loop of the quotient.
 
 If a quotient does not shrink (chains that alternate between distant ranges),
