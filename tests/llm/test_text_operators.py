@@ -1,5 +1,6 @@
 """Text operators against brute force and round trips, with edge cases."""
 
+import math
 import random
 
 import pytest
@@ -62,6 +63,58 @@ def test_near_fingerprints_are_found():
         assert n in index.near(np.array([h], dtype=np.uint64))[1]
 
 
+def brute_near(docs, items):
+    """All pairs whose best window similarity is at least SIMILAR, by sets of word tuples."""
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    texts = {i: shingles(leakage.words_of(t)) for i, t in items if t is not None}
+    held = {}
+    for s in texts.values():
+        for x in set(s):
+            held[x] = held.get(x, 0) + 1
+    weigh = lambda xs: sum(round(8 * (1 + math.log2(len(texts) / held.get(x, 1)))) for x in xs)
+    out = {}
+    for d, text in docs:
+        s = shingles(leakage.words_of(text))
+        for i, t in texts.items():
+            if len(s) < 8 or len(t) < 8 or not set(s) & set(t):
+                continue
+            size = min(len(t), len(s))
+            pairs = [(s[a : a + 8], t[b : b + 8]) for a in range(len(s) - 7) for b in range(len(t) - 7)] + [(s[a : a + size], t) for a in range(len(s) - size + 1)]
+            best = max(weigh(set(x) & set(y)) / weigh(set(x) | set(y)) for x, y in pairs)
+            if best >= leakage.SIMILAR:
+                out[d, i] = round(best, 9)
+    return out
+
+
+def test_near_leaks_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(7)
+    vocab = [f"w{i}" for i in range(400)]
+    phrase = [rnd.choice(vocab) for _ in range(8)]
+    items = [(i, " ".join([rnd.choice(vocab) for _ in range(n)] + phrase)) for i, n in enumerate((4, 5, 22, 34, 52, 77))] + [(90, "too short"), (91, None)]
+    docs = []
+    for i, text in items[:6]:
+        words = text.split()
+        copies = [words[:k] + ["changed"] + words[k + 1 :] for k in range(0, len(words), 5)] + [words[:k] + words[k + 1 :] for k in (0, len(words) // 2, len(words) - 1)]
+        copies += [[("changed" if k % 11 == 10 else w) for k, w in enumerate(words)], words[:11] + ["changed"], words[3:] + words[:3]]
+        # twelve words of an item and the phrase all items share, whose last word is changed
+        copies += [words[-k : 11 - k] + ["changed"] for k in (13, 14)]
+        for c in copies:
+            pad = [rnd.choice(vocab) for _ in range(rnd.choice((0, 9, 20)))]
+            docs.append((len(docs), " ".join(pad + c + pad)))
+    want = brute_near(docs, items)
+    df, it = spark.createDataFrame([(*d, "x") for d in docs], DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leakage.leaks(df, it).collect()}
+    assert {k: round(r.similarity, 9) for k, r in got.items()} == want
+    assert sum(not r.exact for r in got.values()) > 5
+    exact = {k for k, r in got.items() if r.exact}
+    assert exact == {(r.doc_id, r.item_id) for r in leakage.leaks(df, it, near=False).where("exact").collect()}
+    rows = [(i, t) for i, t in items if t is not None]
+    index = leakage.ItemIndex(rows, *leakage.shingle_weights(rows))
+    whole = [index.search_near(t, {}) for _, t in docs]
+    monkeypatch.setattr(leakage, "SHARED", 3)
+    assert [index.search_near(t, {}) for _, t in docs] == whole
+
+
 def test_quality_chunks_and_verdicts(spark, sf_dir):
     common = quality.common_word_list(load(spark, sf_dir, "common_words"))
     prose = "".join(f"The answer {i} is short: the parent link points nowhere, and that is what we saw in it. " for i in range(30))

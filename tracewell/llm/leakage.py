@@ -1,14 +1,20 @@
 """Evaluation texts leaking into training text.
 
-Method: a SimHash of every window of ``WINDOW`` words (the size of the passage
-an item is recognised by), over its five-word shingles, each weighted by how
-few items hold it.  The items' window fingerprints are cut into
+Equal passages: a SimHash of every window of ``WINDOW`` words (the size of the
+passage an item is recognised by), over its five-word shingles, each weighted by
+how few items hold it.  The items' window fingerprints are cut into
 ``RADIUS + 1`` blocks: two fingerprints within ``RADIUS`` bits agree in at least
 one block, so looking every block up finds all of them.  Candidates are verified
 by exact weighted-shingle similarity, and those of equal words by the words.
 
+Near leaks: no radius holds all windows of similarity ``SIMILAR``, so these are
+not looked up by fingerprint.  Two windows that similar share shingles; the
+shared ones bound the similarity from above, and every pair of windows whose
+bound reaches ``SIMILAR`` is verified.  Compared are windows of ``WINDOW`` words
+with each other and windows of an item's size with the whole item.
+
 The items are the stated query set: their index is built once and sent to the
-executors in blocks of at most ``BLOCK_WINDOWS`` windows (about 130 bytes each),
+executors in blocks of at most ``BLOCK_WINDOWS`` windows (about 200 bytes each),
 however many items there are.  The corpus is read once per block and never
 shuffled; only found pairs are.
 """
@@ -32,6 +38,8 @@ SIMILAR = 0.8
 BLOCK_WINDOWS = 500_000
 #: Words of a very long text that are taken at once; windows overlap the seams.
 SLICE = 65_536
+#: Shared shingles, and window pairs, that are compared at once.
+SHARED = 8_192
 
 WORD = re.compile(r"[^\W_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -97,12 +105,19 @@ class ItemIndex:
         self.weight = np.array([weights[int(k)] for k in self.known], dtype=np.int32)
         self.top = top
         hashes, owner, start, shing = [], [], [], []
+        self.sets: list[np.ndarray] = []
+        codes, holder, at = [], [], []
         for n, (item, text) in enumerate(items):
             words = words_of(text)
             self.ids.append(item)
             self.words.append(words)
             s = shingle_codes(word_codes(words, cache))
             h = window_hashes(s, self.weigh(s))
+            self.sets.append(np.unique(s))
+            if len(h):
+                codes.append(s)
+                holder.append(np.full(len(s), n))
+                at.append(np.arange(len(s)))
             hashes.append(h)
             owner.append(np.full(len(h), n))
             start.append(np.arange(len(h)))
@@ -112,6 +127,15 @@ class ItemIndex:
         self.owner = np.concatenate([np.empty(0, np.int64), *owner]).astype(np.int64)
         self.start = np.concatenate([np.empty(0, np.int64), *start]).astype(np.int64)
         self.shingles = np.concatenate(shing) if shing else np.empty((0, WINDOW - SHINGLE + 1), np.uint64)
+        # where each shingle stands in the items, by shingle
+        codes = np.concatenate([np.empty(0, np.uint64), *codes])
+        order = np.argsort(codes, kind="stable")
+        self.codes = codes[order]
+        self.holder = np.concatenate([np.empty(0, np.int64), *holder]).astype(np.int64)[order]
+        self.at = np.concatenate([np.empty(0, np.int64), *at]).astype(np.int64)[order]
+        sizes = np.array([len(h) for h in hashes], dtype=np.int64)
+        self.windows, self.first_window = sizes, np.cumsum(sizes) - sizes
+        self.total = np.array([int(self.weigh(x).sum()) for x in self.sets], dtype=np.int64)
         self.width = 64 // (RADIUS + 1)
         self.order, self.first = [], []
         for b in range(RADIUS + 1):
@@ -158,6 +182,85 @@ class ItemIndex:
         both = np.minimum(a, b)
         return both / np.maximum(wm.sum(1) + wt.sum(1) - both, 1)
 
+    def shared(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (position in s, entry of ``codes``) of equal shingles."""
+        lo = np.searchsorted(self.codes, s, "left")
+        n = np.searchsorted(self.codes, s, "right") - lo
+        rep = np.repeat(np.arange(len(s)), n)
+        return rep, np.repeat(lo, n) + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+
+    def passages(self, s: np.ndarray, pos: np.ndarray, post: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start in s, window of the index, similarity) of all window pairs at least SIMILAR."""
+        per = WINDOW - SHINGLE + 1
+        weights = self.weigh(s).astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(weights)])
+        own = sums[per:] - sums[:-per]
+        view = np.lib.stride_tricks.sliding_window_view(s, per)
+        step = np.arange(per)
+        start = 0
+        while start < len(own) and (lo := int(np.searchsorted(pos, start))) < len(pos):
+            # the next window starts, as many as SHARED shared shingles allow, but at least one
+            start = max(start, int(pos[lo]) - per + 1)
+            end = max(start + 1, int(pos[lo + SHARED]) - per + 1) if lo + SHARED < len(pos) else len(own)
+            hi = int(np.searchsorted(pos, end + per - 1))
+            p, e = pos[lo:hi], post[lo:hi]
+            a = p[:, None, None] - step[None, :, None]
+            b = self.at[e][:, None, None] - step[None, None, :]
+            ok = (a >= start) & (a < min(end, len(own))) & (b >= 0) & (b < self.windows[self.holder[e]][:, None, None])
+            key = (a * len(self.hash) + b + self.first_window[self.holder[e]][:, None, None])[ok]
+            pairs, back = np.unique(key, return_inverse=True)
+            bound = np.bincount(back, weights=np.broadcast_to(weights[p][:, None, None], ok.shape)[ok], minlength=len(pairs))
+            x, w = pairs // len(self.hash), pairs % len(self.hash)
+            may = bound >= SIMILAR * own[x] - 1e-6
+            x, w = x[may], w[may]
+            for i in range(0, len(x), SHARED):
+                sim = self.similarity(view[x[i : i + SHARED]], w[i : i + SHARED])
+                good = sim >= SIMILAR
+                yield x[i : i + SHARED][good], w[i : i + SHARED][good], sim[good]
+            start = end
+
+    def whole(self, s: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
+        """Similarities at least SIMILAR of item n and the windows of its size, given the shared positions; a shorter text is one window."""
+        size = min(int(self.windows[n]) + WINDOW - SHINGLE, len(s))
+        sums = np.concatenate([[0], np.cumsum(self.weigh(s[pos]).astype(np.int64))])
+        a = np.arange(max(0, int(pos[0]) - size + 1), min(len(s) - size, int(pos[-1])) + 1)
+        bound = sums[np.searchsorted(pos, a + size)] - sums[np.searchsorted(pos, a)]
+        a = a[bound >= SIMILAR * self.total[n] - 1e-6]
+        view = np.lib.stride_tricks.sliding_window_view(s, size)
+        out = [np.empty(0)]
+        rows = max(1, (1 << 18) // size)
+        for i in range(0, len(a), rows):
+            mine = np.sort(view[a[i : i + rows]], axis=1)
+            w = self.weigh(mine.ravel()).reshape(mine.shape).astype(np.int64)
+            w[:, 1:][mine[:, 1:] == mine[:, :-1]] = 0
+            both = (w * np.isin(mine, self.sets[n])).sum(1)
+            sim = both / (w.sum(1) + self.total[n] - both)
+            out.append(sim[sim >= SIMILAR])
+        return np.concatenate(out)
+
+    def search_near(self, text: str | None, cache: dict[str, int]) -> dict[int, tuple[bool, float, int]]:
+        """As ``search``, with all window pairs at least SIMILAR."""
+        found: dict[int, tuple[bool, float, int]] = {}
+        words = words_of(text)
+        s = shingle_codes(word_codes(words, cache))
+        pos, post = self.shared(s)
+        if len(s) < WINDOW - SHINGLE + 1 or not len(pos):
+            return found
+        for start, win, sim in self.passages(s, pos, post):
+            for p, w, x in zip(start.tolist(), win.tolist(), sim.tolist()):
+                n, i = int(self.owner[w]), int(self.start[w])
+                exact = words[p : p + WINDOW] == self.words[n][i : i + WINDOW]
+                old = found.get(self.ids[n], (False, 0.0, 0))
+                found[self.ids[n]] = (old[0] or exact, max(old[1], x), old[2] + 1)
+        holder = self.holder[post]
+        most = np.bincount(holder, weights=self.weigh(s[pos]), minlength=len(self.ids))
+        for n in np.flatnonzero((most > 0) & (most >= SIMILAR * self.total - 1e-6) & (self.windows > 1)).tolist():
+            sim = self.whole(s, np.unique(pos[holder == n]), n)
+            if len(sim):
+                old = found.get(self.ids[n], (False, 0.0, 0))
+                found[self.ids[n]] = (old[0], max(old[1], float(sim.max())), old[2] + len(sim))
+        return found
+
     def search(self, text: str | None, cache: dict[str, int]) -> dict[int, tuple[bool, float, int]]:
         """item -> (twelve equal words?, best similarity, windows) of one text."""
         found: dict[int, tuple[bool, float, int]] = {}
@@ -192,14 +295,15 @@ def shingle_weights(items: list[tuple[int, str]]) -> tuple[dict[int, int], int]:
     return {s: weigh(d) for s, d in df.items()}, weigh(1)
 
 
-def _finder(shared):
+def _finder(shared, near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        search = index.search_near if near else index.search
         cache: dict[str, int] = {}
         for batch in batches:
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += [(key, item, *v) for item, v in index.search(text.as_py(), cache).items()]
+                rows += [(key, item, *v) for item, v in search(text.as_py(), cache).items()]
                 if len(cache) > 500_000:
                     cache.clear()
             cols = list(zip(*rows)) or [()] * 5
@@ -208,11 +312,14 @@ def _finder(shared):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS, near: bool = True) -> DataFrame:
     """(doc_id, item_id, exact, similarity, windows): documents holding a passage of an item.
 
     ``exact``: at least ``WINDOW`` consecutive words are equal; else the best
-    weighted-shingle similarity of a window is at least ``SIMILAR``.  Null and
+    weighted-shingle similarity of a window of ``WINDOW`` words and one of the
+    item, or of a window of the item's size and the item, is at least
+    ``SIMILAR``.  Without ``near`` only the exact ones are sure to be found, by
+    fingerprints.  ``windows`` counts the window pairs at least that similar.  Null and
     empty texts, and texts of fewer words than a window, hold and leak nothing.
     Repeated rows of a doc_id count as one document.
     """
@@ -233,6 +340,6 @@ def leaks(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS)
     out = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(ItemIndex(block, weights, top))
-        got = corpus.mapInArrow(_finder(shared), "doc_id long, item_id long, exact boolean, similarity double, windows long")
+        got = corpus.mapInArrow(_finder(shared, near), "doc_id long, item_id long, exact boolean, similarity double, windows long")
         out = got if out is None else out.unionByName(got)
     return out.groupBy("doc_id", "item_id").agg(F.max("exact").alias("exact"), F.max("similarity").alias("similarity"), F.sum("windows").alias("windows"))

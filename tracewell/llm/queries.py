@@ -31,7 +31,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold twelve consecutive words of an item."""
-    found = leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+    found = leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), near=False)
     return found.where("exact").select("doc_id", "item_id")
 
 
