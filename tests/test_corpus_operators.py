@@ -188,6 +188,39 @@ def test_rescue_and_promotion(spark):
     assert json.loads(new[0].rescued) == {"version": "3"} and json.loads(new[1].rescued) == {"extra.n": "no"}
 
 
+def test_renames_and_castable_values_are_replayed(spark):
+    def lines(key, values, **kw):
+        return [json.dumps({"type": "message", "message": {"role": "assistant", key: v} | kw}) for v in values]
+
+    m = [f"m{i % 3}" for i in range(6)]
+    files = [  # producer, seq, lines
+        ("chain", 1, lines("model", m)), ("chain", 2, lines("modelId", m)), ("chain", 5, lines("model_id", m)), ("chain", 7, lines("model", m)),
+        ("back", 1, lines("provider_name", ["a", "b"])), ("back", 2, lines("provider", ["a", "b"])),
+        ("only", 1, lines("modelId", m, isError="true", usage={"totalTokens": "12", "cost": {"total": "n/a"}}, extra=1)),
+        ("only", 2, lines("modelId", m[:1], model="kept", isError=0, toolName=["x", "y"], toolCallId=["c"], stopReason=5, responseModel=True)),
+        ("listed", 1, lines("old", ["z"])),
+    ]
+    rows = [(f, p, seq, i, raw) for f, (p, seq, ls) in enumerate(files) for i, raw in enumerate(ls)]
+    df = spark.createDataFrame(rows, "file_id long, producer string, file_seq int, line_no int, raw string")
+    ingested = drift.ingest(df).cache()
+    every = drift.files_of(ingested)
+    got = drift.consolidate(ingested, drift.change_report(ingested, every), every, known={"message.old": "message.responseModel"}).orderBy("file_id", "line_no").collect()
+    assert len(got) == len(rows)
+    by = {f: [r for r in got if r.file_id == f] for f in range(len(files))}
+    for f in (0, 1, 2, 3, 6):
+        assert [r.v_message__model for r in by[f]] == m
+    assert [r.v_message__provider for r in by[4]] == ["a", "b"]
+    assert all(r.rescued is None for f in (0, 1, 2, 3, 4, 5, 8) for r in by[f])
+    assert (by[6][0].v_message__isError, by[6][0].v_message__usage__totalTokens) == (True, 12.0)
+    assert json.loads(by[6][0].rescued) == {"message.extra": 1, "message.usage.cost.total": "n/a"}
+    (r,) = by[7]
+    assert (r.v_message__model, r.v_message__isError, r.v_message__stopReason, r.v_message__responseModel) == ("kept", False, "5", "true")
+    assert json.loads(r.rescued) == {"message.modelId": "m0", "message.toolName": ["x", "y"]} and r.v_message__toolCallId == "c"
+    assert by[8][0].v_message__responseModel == "z"
+    none = df.limit(0)
+    assert drift.consolidate(drift.ingest(none), drift.drift(none), drift.files_of(drift.ingest(none))).count() == 0
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randint(0, 120), rnd.randint(0, 120)) for _ in range(70)] + [(500 + i, 501 + i) for i in range(60)] + [(5, 5), (None, 3), (3, None)]

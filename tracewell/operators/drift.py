@@ -6,6 +6,8 @@ paths, values of another type) is preserved as JSON in ``rescued``.  ``promote``
 replays approved fields from the rescue column into typed columns.
 ``change_report`` derives each file's shape from the typed and the rescued
 values and reports every change against the previous file of the producer.
+``consolidate`` replays what the report found: renamed fields and castable values
+of another type into the typed columns.
 
 Shapes are aggregated map-side to one row per (file, path, type, kind).  Values
 are only read again for paths that end or start in a file, to tell a renamed
@@ -17,8 +19,10 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,6 +186,141 @@ def promote(ingested: DataFrame, approved: Mapping[str, str], into: Mapping[str,
     return got
 
 
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+_BOOLEANS = {"true": True, "t": True, "yes": True, "y": True, "1": True, "false": False, "f": False, "no": False, "n": False, "0": False}
+
+
+def cast_value(v, kind: str):
+    """A value as the type of its column, None if it has no such reading.
+
+    Numbers and booleans read as strings, strings of a finite number as numbers,
+    strings of a truth value and 0 or 1 as booleans, an array of one scalar as
+    that scalar; no other array is a scalar.
+    """
+    have = json_type(v)
+    if have == "array" and kind == "array":
+        return json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    if have == "array":
+        return cast_value(v[0], kind) if len(v) == 1 and isinstance(v[0], (str, int, float)) else None
+    if kind == "string":
+        return v if have == "string" else json.dumps(v)
+    if kind == "number" and have != "boolean":
+        if have == "string" and not _NUMBER.fullmatch(v.strip()):
+            return None
+        try:
+            x = float(v)
+        except OverflowError:
+            return None
+        return x if math.isfinite(x) else None
+    if kind == "boolean":
+        return v if have == "boolean" else _BOOLEANS.get(v.strip().lower() if have == "string" else str(v))
+    return None
+
+
+def rename_maps(changes: DataFrame, files: DataFrame, target: Mapping[str, str] = TARGET) -> DataFrame:
+    """(file_id, renames): for each file the JSON of path -> target path, through chains of renames.
+
+    A field lives from the file it starts in to the file it ends in; a rename
+    joins two lives.  A life joined with lives of exactly one target path is a
+    name of it, whether the target's name came before or after.  Changes are
+    gathered by producer; files per producer do not grow.
+    """
+    targets = set(target)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        up: dict[tuple[str, int], tuple[str, int]] = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        life: dict[str, int] = {}
+        seen: list[tuple[int, dict[str, int]]] = []
+        for (_, file_id), part in rows.sort_values(["file_seq", "file_id"]).groupby(["file_seq", "file_id"]):
+            ends = [(c, f, o, life.get(o, 0)) for c, f, o in zip(part["change"], part["field_path"], part["old_path"])]
+            for change, path, _, _ in ends:
+                if change in ("added", "renamed"):
+                    life[path] = life.get(path, 0) + 1
+            for change, path, old, was in ends:
+                if change == "renamed":
+                    life.setdefault(old, 0)
+                    up[find((path, life[path]))] = find((old, was))
+            seen.append((file_id, dict(life)))
+        # a path that is no event yet lives its first life already
+        names: dict[tuple[str, int], set[str]] = {}
+        for x in list(up):
+            if x[0] in targets:
+                names.setdefault(find(x), set()).add(x[0])
+        out = []
+        for file_id, now in seen:
+            own = {p: next(iter(names[find(x)])) for p in life if p not in targets and (x := (p, now.get(p, 0))) in up and len(names.get(find(x), ())) == 1}
+            out.append((file_id, json.dumps(own, sort_keys=True)))
+        return pd.DataFrame(out, columns=["file_id", "renames"])
+
+    kind = dict(files.dtypes)["file_id"]
+    return files.join(changes, "file_id", "left").groupBy("producer").applyInPandas(run, f"file_id {kind}, renames string")
+
+
+def _consolidator(names: Sequence[str], target: Mapping[str, str], common: Mapping[str, str]):
+    column = {p: names.index(column_name(p)) for p in target}
+    at, maps = names.index("rescued"), names.index("renames")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed: dict[str | None, dict[str, str]] = {None: {}}
+        for batch in batches:
+            new: dict[str, list] = {}
+            left = []
+            for i, (text, renames) in enumerate(zip(batch.column(at).to_pylist(), batch.column(maps).to_pylist())):
+                if not text:
+                    left.append(text)
+                    continue
+                if renames not in parsed:
+                    if len(parsed) > 10_000:
+                        parsed = {None: {}}
+                    parsed[renames] = json.loads(renames)
+                own, flat = parsed[renames], json.loads(text)
+                # the field's own name first, then its names in this file, then those known elsewhere
+                for path in sorted(flat, key=lambda p: (p not in target, p not in own, p)):
+                    dest = path if path in target else own.get(path) or common.get(path)
+                    if dest not in target or (v := cast_value(flat[path], target[dest])) is None:
+                        continue
+                    values = new.get(dest)
+                    if values is None:
+                        values = new[dest] = batch.column(column[dest]).to_pylist()
+                    if values[i] is None:
+                        values[i] = v
+                        del flat[path]
+                left.append(json.dumps(flat, sort_keys=True, ensure_ascii=True, separators=(",", ":")) if flat else None)
+            arrays = [batch.column(i) for i in range(batch.num_columns)]
+            arrays[at] = pa.array(left, pa.string())
+            for p, values in new.items():
+                arrays[column[p]] = pa.array(values, ARROW_TYPES[target[p]])
+            del arrays[maps]
+            yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n != "renames"])
+
+    return run
+
+
+def consolidate(ingested: DataFrame, changes: DataFrame, files: DataFrame, target: Mapping[str, str] = TARGET, known: Mapping[str, str] | None = None) -> DataFrame:
+    """Replay renamed and castable rescued values into the typed columns of ``target``.
+
+    A path is a name of the target path it was renamed from or to in its own
+    producer; else of the one target path it is a name of at all other
+    producers; else of what ``known`` says.  A value already in the column is
+    kept, and the other one stays rescued.  Longer arrays in fields of scalars,
+    texts that read as no number and paths of no target stay rescued.
+    """
+    own = written(rename_maps(changes, files, target), "own")
+    pairs = own.select(F.explode(F.from_json("renames", "map<string,string>")).alias("path", "dest"))
+    # bounded by the schema, not by the rows
+    agreed = pairs.groupBy("path").agg(F.min("dest").alias("a"), F.max("dest").alias("b")).where("a = b").select("path", "a").collect()
+    common = {**(known or {}), **dict(map(tuple, agreed))}
+    rows = ingested.join(own, "file_id", "left")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "renames")
+    return rows.mapInArrow(_consolidator(rows.columns, target, common), schema)
+
+
 def observations(ingested: DataFrame, target: Mapping[str, str] = TARGET, keys: Sequence[str] = ("file_id",)) -> DataFrame:
     """(keys, kind, path, type, value): every value of the typed columns and of the rescue column."""
     typed = F.array(*[F.when(F.col(column_name(p)).isNotNull(), F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.col(column_name(p)).cast("string").alias("value"))) for p, t in target.items()])
@@ -276,8 +415,12 @@ def change_report(ingested: DataFrame, files: DataFrame, target: Mapping[str, st
     return out.unionByName(renames.select("file_id", F.lit("renamed").alias("change"), F.col("new_path").alias("field_path"), "old_path"))
 
 
+def files_of(ingested: DataFrame) -> DataFrame:
+    """(file_id, producer, file_seq), one row per file."""
+    return ingested.groupBy("file_id").agg(F.first("producer").alias("producer"), F.first("file_seq").alias("file_seq"))
+
+
 def drift(lines: DataFrame, target: Mapping[str, str] = TARGET) -> DataFrame:
     """The change report of raw lines (file_id, producer, file_seq, line_no, raw)."""
     ingested = written(ingest(lines, target), "ingested")
-    files = ingested.groupBy("file_id").agg(F.first("producer").alias("producer"), F.first("file_seq").alias("file_seq"))
-    return change_report(ingested, files, target)
+    return change_report(ingested, files_of(ingested), target)

@@ -21,13 +21,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistent table: typed columns, renamed fields replayed into them, the rest as JSON."""
-    ingested = drift.ingest(load(spark, sf_dir, "log_lines"))
-    return drift.promote(
-        ingested,
-        {"message.latencyMs": "number", "message.details.retryCount": "number", "message.servedModel": "string", "message.response_model": "string", "workdir": "string"},
-        {"message.servedModel": "message.responseModel", "message.response_model": "message.responseModel", "workdir": "cwd"},
-    )
+    """The consistent table: typed columns, renamed and castable fields replayed into them, the rest as JSON."""
+    target = drift.TARGET | {"message.latencyMs": "number", "message.details.retryCount": "number"}
+    ingested = written(drift.ingest(load(spark, sf_dir, "log_lines"), target), "ingested")
+    files = drift.files_of(ingested)
+    known = {"message.servedModel": "message.responseModel", "message.response_model": "message.responseModel", "workdir": "cwd"}
+    return drift.consolidate(ingested, drift.change_report(ingested, files, target), files, target, known)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
