@@ -120,3 +120,22 @@ def test_intervals_stream(spark, tmp_path):
 
 def test_eviction():
     assert live.evict([("a", 100.0, 60), ("b", 200.0, 60), ("c", -2e6, 1)], 200.0, most_bytes=100) == ["c", "a"]
+
+
+def test_caps_of_dated_projections(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracewell.plans import sessions
+
+    rows = [("s", f"2026-01-0{d}", "assistant", "p", f"m{m}", 10 * d + m, 1) for d in (1, 2, 3) for m in range(3)]
+    lines = spark.createDataFrame(rows, "session_id string, day string, bucket string, provider string, model string, append_ordinal long, tokens long").withColumn("cost", F.lit(0).cast("decimal(28,12)"))
+    small = dated.dated_models(lines, models=2, flagged=True).collect()
+    assert len(small) == 6 and all(r.truncated for r in small) and {r.model for r in small} == {"m0", "m1"}
+    bounds = spark.createDataFrame([("2026-01-01", "2026-01-30")], "from_day string, to_day string")
+    (r,) = dated.membership(dated.dated_usage(lines, days=1), bounds).collect()
+    assert (r.days_in, r.truncated) == (1, True)
+    monkeypatch.setattr(sessions, "_lines", lambda spark, sf_dir: lines)
+    kept = sessions.QUERIES["dated_models_kept"](spark, "").collect()
+    assert len(kept) == 9 and not any(r.truncated for r in kept)
+    (r,) = sessions.QUERIES["history_membership_kept"](spark, "").collect()
+    assert (r.days_in, r.truncated, r.verdict) == (3, False, "member")

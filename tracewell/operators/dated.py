@@ -22,9 +22,14 @@ def dated_usage(lines: DataFrame, days: int = DAYS_KEPT) -> DataFrame:
     return ranked.where(F.col("_rank") <= days).drop("_rank")
 
 
-def dated_models(lines: DataFrame, models: int = MODELS_PER_DAY) -> DataFrame:
-    """(session, day, provider, model): at most ``models`` models a day, in order of first appearance."""
+def dated_models(lines: DataFrame, models: int = MODELS_PER_DAY, flagged: bool = False) -> DataFrame:
+    """(session, day, provider, model): at most ``models`` models a day, in order of first appearance.
+
+    With ``flagged``, ``truncated`` tells the days that have more.
+    """
     rows = lines.where("day is not null and bucket = 'assistant'").groupBy("session_id", "day", "provider", "model").agg(F.count(F.lit(1)).alias("generations"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.min("append_ordinal").alias("_first"))
+    if flagged:
+        rows = rows.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy("session_id", "day")) > models)
     w = Window.partitionBy("session_id", "day").orderBy("_first")
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= models).drop("_rank", "_first")
 

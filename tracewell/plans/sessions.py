@@ -46,6 +46,11 @@ def dated_models_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated.dated_models(_lines(spark, sf_dir), models=2)
 
 
+def dated_models_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of each day up to the production cap of 64, with the flag of days that have more."""
+    return dated.dated_models(_lines(spark, sf_dir), flagged=True)
+
+
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generations, tokens and cost by model."""
     return (
@@ -78,10 +83,15 @@ def model_range_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a session belong to the last 30 days, given windows of two days."""
+    """Does a session belong to the last 30 days, given windows of one day."""
     return dated.membership(dated.dated_usage(_lines(spark, sf_dir), days=1), _bounds(spark, sf_dir, 30))
 
 
+def history_membership_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a session belong to the last 30 days, given the production window of 366 days."""
+    return dated.membership(_dated(spark, sf_dir), _bounds(spark, sf_dir, 30))
+
+
 def tool_result_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls with the status of their first bound result."""
     return facts.tools(facts.first_entries(tables.entries(spark, sf_dir))).select("session_id", "append_ordinal", "pos", "call_id", "tool", "status")
@@ -304,6 +314,8 @@ ORACLE = {
     "daily_fold": f"WITH {_E} SELECT day, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS {D}) AS cost, CAST(sum(generations) AS BIGINT) AS generations, count(*) AS sessions FROM dated GROUP BY 1",
     "dated_models_capped": f"""WITH {_E}, x AS (SELECT session_id, day, provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, min(append_ordinal) AS o FROM lines WHERE day IS NOT NULL AND bucket = 'assistant' GROUP BY ALL)
       SELECT * EXCLUDE (o) FROM x QUALIFY row_number() OVER (PARTITION BY session_id, day ORDER BY o) <= 2""",
+    "dated_models_kept": f"""WITH {_E}, x AS (SELECT session_id, day, provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, min(append_ordinal) AS o FROM lines WHERE day IS NOT NULL AND bucket = 'assistant' GROUP BY ALL)
+      SELECT * EXCLUDE (o), count(*) OVER (PARTITION BY session_id, day) > 64 AS truncated FROM x QUALIFY row_number() OVER (PARTITION BY session_id, day ORDER BY o) <= 64""",
     "model_summary": f"WITH {_E} SELECT provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, count(tokens) AS with_usage FROM lines WHERE bucket = 'assistant' GROUP BY ALL",
     "range_preset_totals": f"WITH {_E} SELECT CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS {D}) AS cost, count(*) AS rows, count(DISTINCT day) AS days FROM dated, b WHERE day BETWEEN from_day AND to_day",
     "period_composition": f"WITH {_E} SELECT bucket, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, count(*) AS owners FROM lines, b WHERE day BETWEEN from_day AND to_day GROUP BY 1",
@@ -311,6 +323,9 @@ ORACLE = {
     "history_membership": f"""WITH {_E}, w AS (SELECT *, count(*) OVER (PARTITION BY session_id) > 1 AS truncated FROM dated QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY day DESC) <= 1),
       x AS (SELECT session_id, count(*) FILTER (day BETWEEN from_day AND to_day) AS days_in, min(day) AS first_kept, bool_or(truncated) AS truncated, min(from_day) AS from_day FROM w, b GROUP BY 1)
       SELECT session_id, days_in, truncated, CASE WHEN days_in > 0 THEN 'member' WHEN truncated AND from_day < first_kept THEN 'unknown' ELSE 'out' END AS verdict FROM x""",
+    "history_membership_kept": f"""WITH {_E}, w AS (SELECT *, count(*) OVER (PARTITION BY session_id) > 366 AS truncated FROM dated QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY day DESC) <= 366),
+      x AS (SELECT session_id, count(*) FILTER (day BETWEEN from_day AND to_day) AS days_in, min(day) AS first_kept, bool_or(truncated) AS truncated, min(from_day) AS from_day FROM w, b GROUP BY 1)
+      SELECT session_id, days_in, truncated, CASE WHEN days_in > 0 THEN 'member' WHEN truncated AND from_day < first_kept THEN 'unknown' ELSE 'out' END AS verdict FROM x""",
     "tool_result_asof": f"WITH {_E}, {_T} SELECT session_id, append_ordinal, CAST(pos AS INT) AS pos, call_id, tool, status FROM t",
     "tool_summary": f"""WITH {_E}, {_T} SELECT tool, count(*) AS calls, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'interrupted') AS interrupted,
       max(ts_raw) AS last_used, count(DISTINCT session_id) AS sessions, CAST(round(count(*) * 100 / sum(count(*)) OVER (), 1) AS DECIMAL(5,1)) AS percent FROM t GROUP BY tool""",
@@ -358,7 +373,7 @@ ORACLE = {
 #: Exact decimals leave as doubles, the type every consumer compares alike.
 _DECIMALS = {
     "session_usage_composition": ["cost", *(f"{b}_cost" for b in facts.BUCKETS)],
-    **dict.fromkeys(("daily_usage", "daily_fold", "dated_models_capped", "model_summary", "range_preset_totals", "period_composition", "model_range_rows", "global_report"), ["cost"]),
+    **dict.fromkeys(("daily_usage", "daily_fold", "dated_models_capped", "dated_models_kept", "model_summary", "range_preset_totals", "period_composition", "model_range_rows", "global_report"), ["cost"]),
     "tool_summary": ["percent"],
     "session_coverage": ["ratio"],
 }
