@@ -1,18 +1,21 @@
 """Deeply nested records to related flat tables, with Merkle subtree identities.
 
-Every JSON object is canonicalised (keys sorted, child objects replaced by their
-identities) and hashed bottom-up.  Identical objects therefore share one
-identity and are stored once in ``objects``; every occurrence is kept in
-``bridge`` rows that carry the path, the ordinal and the link to the nearest
-enclosing element.  The work is one Arrow pass over the payloads; the only
-shuffle is the map-side combined de-duplication of identities.
+Every JSON object is canonicalised (keys sorted, equal numbers written alike,
+child objects replaced by their identities) and hashed bottom-up.  Identical
+objects therefore share one identity and are stored once in ``object_table``,
+wherever they stand; every occurrence is kept in ``bridge_table`` rows with its
+path, ordinal, the object that holds it and the nearest enclosing element.  From
+both tables every payload can be rebuilt (``rebuild``).  The work is one Arrow
+pass over the payloads; the only shuffle is the map-side combined
+de-duplication of identities.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +24,36 @@ from pyspark.sql import functions as F
 #: Fields whose value counts as element 0 if it is an object instead of an array.
 CONTAINERS = ("content", "results", "completions", "children", "runs", "attempts")
 
-BRIDGE = "record_id long, child_path string, parent_path string, ordinal int, field string, object_id string, parent_object_id string, body string"
+BRIDGE = {
+    "record_id": ("long", pa.int64()),
+    "node_no": ("int", pa.int32()),
+    "child_path": ("string", pa.string()),
+    "parent_path": ("string", pa.string()),
+    "is_element": ("boolean", pa.bool_()),
+    "ordinal": ("int", pa.int32()),
+    "field": ("string", pa.string()),
+    "object_id": ("string", pa.string()),
+    "parent_object_id": ("string", pa.string()),
+    "holder_no": ("int", pa.int32()),
+    "body": ("string", pa.string()),
+}
+#: Marks of canonical bodies; keys of the payload that start with a dollar get another one.
+OBJECT, NUMBER = "$object", "$number"
+
+
+class Number(str):
+    """The text of a number that no double or short integer holds exactly."""
+
+
+def _real(text: str):
+    x = float(text)
+    if x - x != 0 or (len(text) > 16 and Decimal(text) != Decimal(repr(x))):
+        return Number(text)
+    return x
+
+
+def _reject(token: str):
+    raise ValueError(token)
 
 
 def read_json(text: str | None):
@@ -29,116 +61,167 @@ def read_json(text: str | None):
     if not text:
         return None
     try:
-        return json.loads(text, parse_constant=_reject)
+        return json.loads(text, parse_constant=_reject, parse_float=_real)
+    except RecursionError:
+        return None
+    except ValueError as e:
+        if "integer string conversion" not in str(e):
+            return None
+    # whole numbers of thousands of digits
+    try:
+        return json.loads(text, parse_constant=_reject, parse_float=_real, parse_int=lambda t: int(t) if len(t) < 4000 else Number(t))
     except (ValueError, RecursionError):
         return None
 
 
-def _reject(token: str):
-    raise ValueError(token)
+def _scalar(v):
+    """Equal numbers alike: 1.0 is 1."""
+    if type(v) is float:
+        return int(v) if v.is_integer() and abs(v) < 1 << 53 else v
+    return {NUMBER: str(v)} if type(v) is Number else v
 
 
-def shred(value, containers: frozenset[str]) -> list[tuple]:
-    """Bridge rows of one payload: (path, parent path, ordinal, field, identity, parent identity, body).
+def shred(value, containers: frozenset[str]) -> list[list]:
+    """The rows of one payload in the columns of ``BRIDGE`` from ``node_no`` on, one per object, parents first.
 
     An explicit stack instead of recursion, so depth is bounded by the parser only.
-    Parents come after their children, identities being made bottom-up.
     """
     if not isinstance(value, (dict, list)):
         return []
-    out: list[tuple] = []
-    # frame: [value, path, element path, iterator, canonical form, ordinal, field]
-    kids: dict[str, list[int]] = {}
-
-    def frame(v, path, elem, slot, ordinal, field):
-        it = iter(v.items()) if isinstance(v, dict) else iter(enumerate(v))
-        return [v, path, elem, it, {} if isinstance(v, dict) else [], slot, ordinal, field]
-
-    stack = [frame(value, "", "", None, None, "")]
-    ident = ""
+    out: list[list] = []
+    elements: list[int | None] = []
+
+    def frame(v, path, elem, holder, slot, ordinal, field, is_element):
+        """elem: number of the nearest element that encloses what stands in v; holder: of the object."""
+        if isinstance(v, list):
+            return [v, path, elem, holder, iter(enumerate(v)), [], slot, field, None]
+        no = len(out)
+        out.append([no, path, out[elem][1] if elem is not None else (None if v is value else ""), is_element, ordinal, field, "", "", holder, ""])
+        elements.append(elem)
+        return [v, path, no if is_element else elem, no, iter(v.items()), {}, slot, field, no]
+
+    stack = [frame(value, "", None, None, None, None, "", False)]
     while stack:
         top = stack[-1]
-        v, path, elem, it, canon = top[:5]
-        is_obj = isinstance(v, dict)
+        v, path, elem, holder, it, canon = top[:6]
+        is_obj = top[8] is not None
         for k, child in it:
             if is_obj:
-                sub = f"{path}.{k}" if path else k
-                if isinstance(child, dict) and k in containers:
-                    stack.append(frame(child, sub + "[0]", sub + "[0]", k, 0, k))
+                slot = k if k[:1] != "$" else "$" + k
+                if isinstance(child, dict):
+                    sub = f"{path}.{k}" if path else k
+                    held = k in containers
+                    stack.append(frame(child, sub + "[0]" if held else sub, elem, holder, slot, 0 if held else None, k, held))
                     break
-                if isinstance(child, (dict, list)):
-                    stack.append(frame(child, sub, elem, k, None, k))
+                if isinstance(child, list):
+                    stack.append(frame(child, f"{path}.{k}" if path else k, elem, holder, slot, None, k, False))
                     break
-                canon[k] = child
+                canon[slot] = _scalar(child)
             else:
                 if isinstance(child, (dict, list)):
-                    sub = f"{path}[{k}]"
-                    is_elem = isinstance(child, dict)
-                    stack.append(frame(child, sub, sub if is_elem else elem, k, k if is_elem else None, top[7]))
+                    is_element = isinstance(child, dict)
+                    stack.append(frame(child, f"{path}[{k}]", elem, holder, k, k if is_element else None, top[7], is_element))
                     break
-                canon.append(child)
+                canon.append(_scalar(child))
         else:
             stack.pop()
+            mark = canon
             if is_obj:
-                body = json.dumps(canon, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-                ident = hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()
-                mark = {"$object": ident}
-            else:
-                body, mark = None, canon
+                body = json.dumps(canon, sort_keys=True, separators=(",", ":"))
+                row = out[top[8]]
+                row[6] = hashlib.sha256(body.encode()).hexdigest()
+                row[9] = body
+                mark = {OBJECT: row[6]}
             if stack:
                 up = stack[-1]
-                if isinstance(up[0], dict):
-                    up[4][top[5]] = mark
+                if up[8] is not None:
+                    up[5][top[6]] = mark
                 else:
-                    up[4].append(mark)
-                if is_obj and top[6] is not None:
-                    parent = up[2]
-                    for i in kids.pop(path, ()):
-                        out[i][5] = ident
-                    kids.setdefault(parent, []).append(len(out))
-                    out.append([path, parent, top[6], top[7], ident, "", body])
-            else:
-                for i in kids.pop("", ()):
-                    out[i][5] = ident
-                if is_obj:
-                    out.append(["", None, None, "", ident, None, body])
+                    up[5].append(mark)
+    root = out[0][6] if isinstance(value, dict) else ""
+    for row, elem in zip(out, elements):
+        row[7] = out[elem][6] if elem is not None else root
+    if isinstance(value, dict):
+        out[0][7] = None
     return out
 
 
-def _shredder(containers: Sequence[str]):
+def rebuild(object_id: str, bodies: Mapping[str, str]):
+    """The value of an object from the stored bodies."""
+
+    def value(x):
+        if isinstance(x, list):
+            return [value(y) for y in x]
+        if not isinstance(x, dict):
+            return x
+        if OBJECT in x:
+            return rebuild(x[OBJECT], bodies)
+        if NUMBER in x:
+            return Decimal(x[NUMBER])
+        return {k[1:] if k[:1] == "$" else k: value(y) for k, y in x.items()}
+
+    return value(json.loads(bodies[object_id]))
+
+
+def _text_array(values: list) -> pa.Array:
+    """Half surrogate pairs, which UTF-8 cannot hold, are written as their escapes."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-8", "backslashreplace").decode() for v in values], pa.string())
+
+
+def _shredder(containers: Sequence[str], bodies: bool):
     names = frozenset(containers)
+    kinds = [(c, t) for c, (_, t) in BRIDGE.items() if bodies or c != "body"]
+
+    def pack(cols: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_text_array(c) if t == pa.string() else pa.array(c, t) for c, (_, t) in zip(cols, kinds)], names=[n for n, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.int64()), ("child_path", pa.string()), ("parent_path", pa.string()), ("ordinal", pa.int32()), ("field", pa.string()), ("object_id", pa.string()), ("parent_object_id", pa.string()), ("body", pa.string())])
-        cols: list[list] = [[] for _ in schema]
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for rid, text in zip(ids, texts):
-                for row in shred(read_json(text.as_py()), names):
-                    for c, x in zip(cols, (rid, *row)):
-                        c.append(x)
-                if len(cols[0]) >= 20_000:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema)
-                    cols = [[] for _ in schema]
-        if cols[0]:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema)
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                got = shred(read_json(text), names)
+                rows += [(rid, *r) for r in got]
+                size += len(text or "")
+                if len(rows) >= 20_000 or size > 1 << 24:
+                    yield pack(list(zip(*rows)) or [()] * len(BRIDGE))
+                    rows, size = [], 0
+        if rows:
+            yield pack(list(zip(*rows)))
 
     return run
 
 
-def shred_records(df: DataFrame, record: str = "record_id", payload: str = "payload", containers: Sequence[str] = CONTAINERS) -> DataFrame:
-    """Every object of every payload: one row per element, and one per whole payload (path '').
+def shred_records(df: DataFrame, record: str = "record_id", payload: str = "payload", containers: Sequence[str] = CONTAINERS, bodies: bool = True) -> DataFrame:
+    """Every object of every payload, one row per occurrence; ``node_no`` 0 is the whole payload (path '').
 
-    Null, empty and damaged payloads give no rows; arrays inside arrays are
+    ``is_element`` marks elements of arrays and objects directly in a container
+    field; ``parent_path`` and ``parent_object_id`` name the nearest enclosing
+    element ('' and the whole payload's identity if there is none), and
+    ``holder_no`` the object that directly holds it.  Keys with dots may give
+    equal paths; ``(record_id, node_no)`` still tells occurrences apart where
+    record ids are unique.  Null, empty and damaged payloads give no rows; of a
+    key repeated in one object the last value counts; arrays inside arrays are
     walked, their objects are elements too; other columns are not read, so they
-    may have any names.  A payload that is an array has elements ``[0]``, ``[1]``..
+    may have any names.  A payload that is an array has elements ``[0]``,
+    ``[1]``..  Without ``bodies`` the column ``body`` is left out.
     """
-    return df.select(F.col(record).cast("long").alias("record_id"), F.col(payload).alias("payload")).mapInArrow(_shredder(containers), BRIDGE)
+    schema = ", ".join(f"{c} {t}" for c, (t, _) in BRIDGE.items() if bodies or c != "body")
+    return df.select(F.col(record).cast("long").alias("record_id"), F.col(payload).cast("string").alias("payload")).mapInArrow(_shredder(containers, bodies), schema)
 
 
 def bridge_table(shredded: DataFrame) -> DataFrame:
+    """One row per occurrence of an object, elements and others."""
+    return shredded.drop("body")
+
+
+def elements(shredded: DataFrame) -> DataFrame:
     """One row per occurrence of an object as an element."""
-    return shredded.where("child_path <> ''").drop("body")
+    return shredded.where("is_element")
 
 
 def object_table(shredded: DataFrame) -> DataFrame:
@@ -146,11 +229,25 @@ def object_table(shredded: DataFrame) -> DataFrame:
     return shredded.groupBy("object_id").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("occurrences"), F.min("record_id").alias("first_record"))
 
 
-def field_tables(shredded: DataFrame, field: str, columns: dict[str, str]) -> DataFrame:
-    """The flat table of one kind of element (``results``, ``attempts`` ..): typed columns by JSON path.
+def _typed(columns: Mapping[str, str]) -> list:
+    return [F.expr(f"try_cast(get_json_object(body, '$.{p.split(':')[0]}') as {p.split(':')[1]})").alias(name) for name, p in columns.items()]
+
+
+def field_tables(shredded: DataFrame, field: str | None, columns: Mapping[str, str]) -> DataFrame:
+    """The flat table of one kind of element (``results``, ``attempts`` ..), of whole payloads if ``field`` is None.
+
+    ``columns`` maps a name to ``field:type``.  Fields of another type than asked
+    for come out null; the link to the parent is kept.
+    """
+    rows = shredded.where("node_no = 0 and child_path = ''") if field is None else elements(shredded).where(F.col("field") == field)
+    return rows.select("record_id", "node_no", "child_path", "parent_path", "ordinal", "object_id", "parent_object_id", *_typed(columns))
+
+
+def with_held(rows: DataFrame, shredded: DataFrame, field: str, columns: Mapping[str, str]) -> DataFrame:
+    """``rows`` with columns of the object that each holds in ``field`` (``usage``, ``data`` ..), null without one.
 
-    Fields of another type than asked for come out null; the link to the parent is kept.
+    Joined by (record, node); both sides are narrow, and record ids are many, so no key is hot.
     """
-    rows = shredded.where((F.col("field") == field) & (F.col("child_path") != ""))
-    typed = [F.expr(f"try_cast(get_json_object(body, '$.{p.split(':')[0]}') as {p.split(':')[1]})").alias(name) for name, p in columns.items()]
-    return rows.select("record_id", "child_path", "parent_path", "ordinal", "object_id", "parent_object_id", *typed)
+    held = shredded.where((F.col("field") == field) & ~F.col("is_element") & F.col("holder_no").isNotNull())
+    held = held.select("record_id", F.col("holder_no").alias("node_no"), *_typed(columns))
+    return rows.join(held, ["record_id", "node_no"], "left")

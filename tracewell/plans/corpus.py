@@ -31,20 +31,56 @@ def p3_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every object that is an element, with the nearest enclosing element."""
-    rows = nested.shred_records(load(spark, sf_dir, "run_records"))
-    return nested.bridge_table(rows).select("record_id", "child_path", "parent_path")
+    rows = nested.shred_records(load(spark, sf_dir, "run_records"), bodies=False)
+    return nested.elements(rows).select("record_id", "child_path", "parent_path")
+
+
+def _shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.shred_records(load(spark, sf_dir, "run_records"))
+
+
+def p4_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of an object, elements and others, with the path of the object that holds it."""
+    rows = nested.shred_records(load(spark, sf_dir, "run_records"), bodies=False)
+    return nested.bridge_table(rows).select("record_id", "child_path", F.coalesce("parent_path", F.lit("")).alias("parent_path"), "is_element", "ordinal", "field")
 
 
 def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct object once, by its Merkle identity."""
-    return nested.object_table(nested.shred_records(load(spark, sf_dir, "run_records")))
+    return nested.object_table(_shredded(spark, sf_dir))
 
 
-def p4_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of sub-run results, linked to their parents."""
-    rows = nested.shred_records(load(spark, sf_dir, "run_records"))
-    flat = nested.field_tables(rows, "results", {"agent": "agent:string", "run_id": "runId:string", "state": "state:string", "success": "success:boolean", "position": "index:bigint"})
-    return flat.drop("object_id", "parent_object_id")
+def p4_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and distinct objects by field."""
+    rows = nested.shred_records(load(spark, sf_dir, "run_records"), bodies=False)
+    return rows.groupBy("field").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("object_id").alias("objects"))
+
+
+#: Flat tables by element field: column -> field:type.
+FLAT = {
+    "content": {"kind": "type:string", "call_id": "id:string", "tool": "name:string"},
+    "results": {"agent": "agent:string", "run_id": "runId:string", "state": "state:string", "success": "success:boolean", "position": "index:bigint"},
+    "completions": {"agent": "agent:string", "run_id": "runId:string", "state": "state:string", "success": "success:boolean", "position": "index:bigint"},
+    "children": {"agent": "agent:string", "run_id": "runId:string", "state": "state:string", "success": "success:boolean", "position": "index:bigint"},
+    "runs": {"agent": "agent:string", "run_id": "runId:string", "state": "state:string", "success": "success:boolean", "position": "index:bigint"},
+    "attempts": {"n": "n:bigint", "exit_code": "exitCode:bigint"},
+}
+
+
+def _flat(field: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return nested.field_tables(_shredded(spark, sf_dir), field, FLAT[field]).drop("object_id", "parent_object_id", "node_no")
+
+    run.__name__, run.__doc__ = f"p4_{field}", f"The flat table of the elements of {field}, linked to their parents."
+    return run
+
+
+def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of whole payloads with the schema version of their data."""
+    rows = written(_shredded(spark, sf_dir), "shredded")
+    flat = nested.field_tables(rows, None, {"kind": "type:string", "entry_id": "id:string", "parent_entry": "parentId:string", "custom_type": "customType:string"})
+    flat = nested.with_held(flat, rows, "data", {"schema_version": "schemaVersion:bigint"})
+    return flat.select("record_id", "kind", "entry_id", "parent_entry", "custom_type", "schema_version")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +94,7 @@ def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("not is_surplus").select("delivery_id", "session_id", "tool_call_id", "run_id", "tool_name", "is_error")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_ingested, p4_found, p4_objects, p4_results, p5_found, p5_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_ingested, p4_found, p4_bridge, p4_objects, p4_sharing, p4_records, *map(_flat, FLAT), p5_found, p5_kept)}
 
 _P5_KEYS = """
 WITH k AS (
@@ -85,6 +121,13 @@ w AS (
     FROM w JOIN t c ON c.record_id = w.record_id AND c.parent = w.id))
 """
 
+
+def _sql_column(name: str, spec: str) -> str:
+    path, kind = spec.split(":")
+    text = f"value ->> '$.{path}'"
+    return f"{text} AS {name}" if kind == "string" else f"TRY_CAST({text} AS {kind.upper()}) AS {name}"
+
+
 ORACLE = {
     "p2_found": """
 WITH RECURSIVE f AS (
@@ -107,8 +150,11 @@ SELECT l.session_id, l.entry_id, coalesce(up.root_id, '') AS root_id, CAST(coale
 FROM l LEFT JOIN up USING (session_id, entry_id) LEFT JOIN c ON c.session_id = l.session_id AND c.a = l.entry_id
 """,
     "p4_found": f"WITH RECURSIVE {NESTED_SQL} SELECT record_id, path AS child_path, parent_path FROM w WHERE is_elem",
-    "p4_results": f"""WITH RECURSIVE {NESTED_SQL} SELECT record_id, path AS child_path, parent_path, CAST(ordinal AS INT) AS ordinal, value ->> '$.agent' AS agent, value ->> '$.runId' AS run_id, value ->> '$.state' AS state,
-      TRY_CAST(value ->> '$.success' AS BOOLEAN) AS success, TRY_CAST(value ->> '$.index' AS BIGINT) AS position FROM w WHERE is_elem AND field = 'results'""",
+    "p4_bridge": f"WITH RECURSIVE {NESTED_SQL} SELECT record_id, path AS child_path, parent_path, is_elem AS is_element, CASE WHEN is_elem THEN CAST(ordinal AS INT) END AS ordinal, field FROM w WHERE type = 'OBJECT'",
+    "p4_sharing": f"WITH RECURSIVE {NESTED_SQL} SELECT field, count(*) AS occurrences, count(DISTINCT CAST(value AS VARCHAR)) AS objects FROM w WHERE type = 'OBJECT' GROUP BY 1",
+    "p4_records": """SELECT record_id, payload ->> '$.type' AS kind, payload ->> '$.id' AS entry_id, payload ->> '$.parentId' AS parent_entry, payload ->> '$.customType' AS custom_type,
+      TRY_CAST(payload ->> '$.data.schemaVersion' AS BIGINT) AS schema_version FROM run_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'""",
+    **{f"p4_{field}": f"WITH RECURSIVE {NESTED_SQL} SELECT record_id, path AS child_path, parent_path, CAST(ordinal AS INT) AS ordinal, {', '.join(_sql_column(n, c) for n, c in cols.items())} FROM w WHERE is_elem AND field = '{field}'" for field, cols in FLAT.items()},
     "p5_found": _P5_KEYS + "SELECT delivery_id FROM n WHERE rn > 1",
     "p5_kept": _P5_KEYS + "SELECT delivery_id, session_id, tool_call_id, run_id, tool_name, is_error FROM n WHERE rn = 1",
 }

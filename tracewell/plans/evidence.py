@@ -15,7 +15,7 @@ def _top_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-level results of tool-result payloads as run observations."""
     from tracewell.operators import nested
 
-    rows = nested.shred_records(load(spark, sf_dir, "run_records")).where(r"child_path rlike '^message\\.details\\.results\\[[0-9]+\\]$'")
+    rows = nested.shred_records(load(spark, sf_dir, "run_records")).where(r"is_element and child_path rlike '^message\\.details\\.results\\[[0-9]+\\]$'")
     get = lambda p, t: F.expr(f"try_cast(get_json_object(body, '$.{p}') as {t})")
     return rows.select("record_id", F.col("ordinal").cast("bigint").alias("ordinal"), get("agent", "string").alias("agent"), get("runId", "string").alias("run_id"), gates.run_status(get("success", "boolean"), get("state", "string")).alias("status"))
 
@@ -127,13 +127,11 @@ def cache_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token buckets and cache reuse of sub-runs by agent."""
     from tracewell.operators import nested
 
-    rows = nested.shred_records(load(spark, sf_dir, "run_records")).where(r"child_path rlike '^message\\.details\\.results\\[[0-9]+\\]$'")
-    # child objects are replaced by identities in a body, so the usage object is read from the payload
-    p = load(spark, sf_dir, "run_records").select("record_id", "payload")
-    # an object in place of the array is its element 0
-    get = lambda f: F.expr(f"try_cast(coalesce(get_json_object(payload, concat('$.message.details.results[', ordinal, '].usage.{f}')), get_json_object(payload, '$.message.details.results.usage.{f}')) as bigint)")
-    agent = F.expr("get_json_object(body, '$.agent')")
-    got = rows.join(p, "record_id").select(agent.alias("agent"), get("input").alias("input"), get("output").alias("output"), get("cacheRead").alias("cache_read"))
+    from tracewell.session import written
+
+    shredded = written(nested.shred_records(load(spark, sf_dir, "run_records")), "shredded")
+    rows = nested.field_tables(shredded, "results", {"agent": "agent:string"}).where(r"child_path rlike '^message\\.details\\.results\\[[0-9]+\\]$'")
+    got = nested.with_held(rows, shredded, "usage", {"input": "input:bigint", "output": "output:bigint", "cache_read": "cacheRead:bigint"})
     return evidence.economics(got, ["agent"]).withColumn("cache_percent", F.col("cache_percent").cast("double"))
 
 

@@ -13,7 +13,7 @@ from tracewell.sources import tables
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sub-run of a payload: top-level and nested results, children and completions."""
-    rows = nested.shred_records(load(spark, sf_dir, "run_records")).where("field in ('results', 'completions', 'children')")
+    rows = nested.elements(nested.shred_records(load(spark, sf_dir, "run_records"))).where("field in ('results', 'completions', 'children')")
     get = lambda p, t: F.expr(f"try_cast(get_json_object(body, '$.{p}') as {t})")
     return rows.select("record_id", "child_path", "parent_path", "field", F.col("ordinal").cast("bigint").alias("ordinal"), get("agent", "string").alias("agent"), get("runId", "string").alias("run_id"), gates.run_status(get("success", "boolean"), get("state", "string")).alias("status"))
 

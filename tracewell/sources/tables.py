@@ -33,16 +33,3 @@ def wal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write-ahead records from the event stream: a writer per user, its sequence, kind, key and amount."""
     e = load(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("writer_id"), F.col("event_id").alias("writer_sequence"), F.col("event_type").alias("kind"), "ts", F.get_json_object("props", "$.k").cast("long").alias("amount"), "value")
-
-
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-run observations from nested results, one row per element with its fields and source order."""
-    from tracewell.operators import nested
-
-    shredded = nested.shred_records(load(spark, sf_dir, "run_records"))
-    own = shredded.where("field in ('results', 'completions', 'children')")
-    get = lambda p, t: F.expr(f"try_cast(get_json_object(body, '$.{p}') as {t})")
-    return own.select(
-        "record_id", "child_path", "parent_path", "field", "ordinal",
-        get("agent", "string").alias("agent"), get("runId", "string").alias("run_id"), get("state", "string").alias("state"), get("success", "boolean").alias("success"), get("index", "bigint").alias("position"),
-    )
