@@ -230,6 +230,36 @@ def test_rescue_and_promotion(spark):
     assert json.loads(new[0].rescued) == {"version": "3"} and json.loads(new[1].rescued) == {"extra.n": "no"}
 
 
+def test_ingestion_loses_nothing_and_stops_on_nothing(spark):
+    """Values no typed column holds exactly stay rescued with all their digits; odd lines stop nothing."""
+    raw = [
+        '{"version": 1e999, "cwd": "x\\ud83d", "type": "\\ude00"}', '{"version": ' + "7" * 400 + ', "more": ' + "8" * 400 + "}", '{"version": 9007199254740993, "id": "ok"}',
+        '{"version": ' + "5" * 5000 + "}", '{"message.role": "a", "message": {"role": "b", "content": ["\\ud83d", 1e999]}}', '{"version": 0.12345678901234567890123}', '{"version": NaN}', "[" * 100_000,
+        '{"version": 9007199254740992}', '{"version": -1.5}', '{"a.b": 1, "a": {"b": "s"}}', '{"dup": 1, "dup": true, "k\\ud83d": 1}',
+    ]
+    df = spark.createDataFrame([(1 + i % 2, "p", 1 + i % 2, i, r) for i, r in enumerate(raw)], "file_id long, producer string, file_seq int, line_no int, raw string")
+    ingested = drift.ingest(df).cache()
+    got = ingested.orderBy("line_no").collect()
+    assert [r.readable for r in got] == [i not in (6, 7) for i in range(len(raw))]
+    assert [r.v_version for r in got if r.v_version is not None] == [2.0**53, -1.5]
+    rescued = [json.loads(r.rescued) if r.rescued else None for r in got]
+    assert rescued[0] == {"version": {"$number": "1e999"}, "cwd": "x\ud83d", "type": "\ude00"}
+    assert rescued[1] == {"version": {"$number": "7" * 400}, "more": {"$number": "8" * 400}}
+    assert rescued[2] == {"version": 9007199254740993} and got[2].v_id == "ok"
+    assert rescued[3] == {"version": {"$number": "5" * 5000}} and rescued[5] == {"version": {"$number": "0.12345678901234567890123"}}
+    assert {got[4].v_message__role, rescued[4]["message.role\x1f2"]} == {"a", "b"} and json.loads(got[4].v_message__content)[0] == "\ud83d"
+    assert sorted(map(str, rescued[10].values())) == ["1", "s"] and rescued[11] == {"dup": True, "k\ud83d": 1}
+    shape = {(r.file_id, r.path): r.type for r in drift.shapes(ingested).collect()}
+    assert shape[1, "version"] == "number" and shape[1, "a.b"] in ("number", "string")
+    files = drift.files_of(ingested)
+    report = drift.change_report(ingested, files)
+    assert report.count() > 0
+    back = drift.consolidate(ingested, report, files).orderBy("line_no").collect()
+    assert [json.loads(r.rescued) if r.rescued else None for r in back] == rescued
+    new = drift.promote(ingested, {"version": "number", "more": "number", "a.b": "number"}).orderBy("line_no").collect()
+    assert [json.loads(r.rescued) if r.rescued else None for r in new][:10] == rescued[:10]
+
+
 def test_renames_and_castable_values_are_replayed(spark):
     def lines(key, values, **kw):
         return [json.dumps({"type": "message", "message": {"role": "assistant", key: v} | kw}) for v in values]

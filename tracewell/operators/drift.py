@@ -18,7 +18,6 @@ field from a removed and an added one; they are compared as value frequencies
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -27,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.jsontext import NUMBER, Number, read_json, real, text_array, utf8
 from tracewell.session import written
 
 #: Target schema of session logs: dotted path -> string, number, boolean or array.
@@ -54,6 +54,8 @@ TARGET = {
 KIND_PATHS = ("type", "message.role")
 SQL_TYPES = {"string": "string", "number": "double", "boolean": "boolean", "array": "string"}
 ARROW_TYPES = {"string": pa.string(), "number": pa.float64(), "boolean": pa.bool_(), "array": pa.string()}
+#: Whole numbers up to this are exact in a double; the bound of a 64-bit integer; the mark of a repeated path.
+EXACT, LONG, AGAIN = 1 << 53, 1 << 63, "\x1f"
 #: Least share of common values, by kind of value, for two paths to carry the same information.
 LEAST_OVERLAP = {"boolean": 0.4, "number": 0.6, "other": 0.2}
 #: What a fully agreeing name adds to the overlap of numbers, whose values rarely repeat.
@@ -67,13 +69,18 @@ def column_name(path: str) -> str:
 def json_type(v) -> str:
     if isinstance(v, bool):
         return "boolean"
-    if isinstance(v, (int, float)):
+    # a dict is the mark of a number that no double holds
+    if isinstance(v, (int, float, Number, dict)):
         return "number"
     return "array" if isinstance(v, list) else "string"
 
 
 def flatten(obj: dict) -> dict[str, object]:
-    """Dotted path -> value that is neither an object nor null; arrays are values."""
+    """Dotted path -> value that is neither an object nor null; arrays are values.
+
+    Where a key with dots gives the path of another value, the later ones get a
+    mark and their number after the path.
+    """
     out: dict[str, object] = {}
     stack = [("", obj)]
     while stack:
@@ -83,53 +90,87 @@ def flatten(obj: dict) -> dict[str, object]:
             if isinstance(v, dict):
                 stack.append((path, v))
             elif v is not None:
+                if path in out:
+                    n = 2
+                    while f"{path}{AGAIN}{n}" in out:
+                        n += 1
+                    path = f"{path}{AGAIN}{n}"
                 out[path] = v
     return out
 
 
-def _no_constants(token: str):
-    raise ValueError(token)
-
-
 def read_line(raw: str | None) -> dict | None:
     """The JSON object of a line, or None; a byte order mark and carriage returns are ignored."""
     if raw is None:
         return None
     try:
-        obj = json.loads(raw.lstrip("﻿").strip("\r\n"), parse_constant=_no_constants)
-    except (ValueError, RecursionError):
+        obj = read_json(raw.lstrip("\ufeff").strip("\r\n"))
+    except ValueError:
         return None
     return obj if isinstance(obj, dict) else None
 
 
+def dump_array(v: list) -> str:
+    text = json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str)
+    return text if utf8(text) else json.dumps(v, sort_keys=True, separators=(",", ":"), default=str)
+
+
+def typed_value(v, kind: str):
+    """A value as its column of the same type holds it, None if the column cannot hold it exactly."""
+    if kind == "number":
+        if type(v) is float:
+            return v
+        if type(v) is int:
+            x = float(v) if -EXACT <= v <= EXACT else None
+            return x
+        return None
+    if kind == "string":
+        return v if type(v) is str and utf8(v) else None
+    return dump_array(v) if kind == "array" else v
+
+
+def dump_rescued(flat: dict) -> str | None:
+    """Rescued fields as JSON; numbers that do not fit keep their digits as marked text."""
+    if not flat:
+        return None
+    for k, v in flat.items():
+        if type(v) is Number or (type(v) is int and not -LONG <= v < LONG):
+            flat[k] = {NUMBER: str(v)}
+    return json.dumps(flat, sort_keys=True, separators=(",", ":"))
+
+
 def _ingester(target: Mapping[str, str], kind_paths: Sequence[str], keep: int):
-    paths = list(target)
+    plan = [(p, t, {"string": str, "boolean": bool, "array": list}.get(t)) for p, t in target.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: dict[str, list] = {p: [] for p in paths}
+            cols: list[list] = [[] for _ in plan]
             readable, kinds, rescued = [], [], []
-            for raw in batch.column(batch.num_columns - 1):
-                obj = read_line(raw.as_py())
-                flat = flatten(obj) if obj is not None else {}
+            for raw in batch.column(batch.num_columns - 1).to_pylist():
+                obj = read_line(raw)
                 readable.append(obj is not None)
-                kinds.append("|".join(str(flat.get(p, "")) for p in kind_paths) if obj is not None else None)
-                for p in paths:
-                    v = flat.get(p)
-                    if v is not None and json_type(v) == target[p] and not (isinstance(v, float) and math.isinf(v)):
-                        del flat[p]
-                        if target[p] == "array":
-                            v = json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-                        elif target[p] == "number":
-                            v = float(v) if not isinstance(v, int) or abs(v) < 1 << 1000 else None
-                        cols[p].append(v)
-                    else:
-                        cols[p].append(None)
-                rescued.append(json.dumps(flat, sort_keys=True, ensure_ascii=True, separators=(",", ":")) if flat else None)
+                if obj is None:
+                    kinds.append(None)
+                    rescued.append(None)
+                    for col in cols:
+                        col.append(None)
+                    continue
+                flat = flatten(obj)
+                kinds.append("|".join([str(flat.get(p, "")) for p in kind_paths]))
+                get = flat.get
+                for (p, kind, cls), col in zip(plan, cols):
+                    v = get(p)
+                    if v is not None:
+                        fits = type(v) is cls if cls is not None else type(v) in (int, float)
+                        v = typed_value(v, kind) if fits else None
+                        if v is not None:
+                            del flat[p]
+                    col.append(v)
+                rescued.append(dump_rescued(flat))
             arrays = [batch.column(i) for i in range(keep)]
-            arrays += [pa.array(readable, pa.bool_()), pa.array(kinds, pa.string())]
-            arrays += [pa.array(cols[p], ARROW_TYPES[target[p]]) for p in paths] + [pa.array(rescued, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*(f"k{i}" for i in range(keep)), "readable", "kind", *map(column_name, paths), "rescued"])
+            arrays += [pa.array(readable, pa.bool_()), text_array(kinds)]
+            arrays += [pa.array(col, ARROW_TYPES[t]) for col, (_, t, _) in zip(cols, plan)] + [pa.array(rescued, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*(f"k{i}" for i in range(keep)), "readable", "kind", *map(column_name, target), "rescued"])
 
     return run
 
@@ -139,7 +180,10 @@ def ingest(lines: DataFrame, target: Mapping[str, str] = TARGET, keys: Sequence[
 
     Unreadable lines (cut, blank, foreign, null, no object) keep their keys with
     ``readable`` false.  Values are never coerced: a string that looks like a
-    number is no number.  Other columns are not read.
+    number is no number.  What a typed column cannot hold exactly (numbers beyond
+    a double's range or digits, texts with half surrogate pairs, the second of
+    two values with one path) stays rescued.  Of a key repeated in one object the
+    last value counts.  Other columns are not read.
     """
     types = dict(lines.dtypes)
     schema = ", ".join([*(f"k{i} {types[k]}" for i, k in enumerate(keys)), "readable boolean", "kind string", *(f"`{column_name(p)}` {SQL_TYPES[t]}" for p, t in target.items()), "rescued string"])
@@ -157,12 +201,11 @@ def _promoter(at: int, approved: Sequence[tuple[str, str, str]]):
                 flat = json.loads(text) if text else {}
                 for path, col, kind in approved:
                     v = flat.get(path)
-                    if v is not None and json_type(v) == kind:
+                    fit = typed_value(v, kind) if v is not None and json_type(v) == kind else None
+                    if fit is not None:
                         del flat[path]
-                        new[col].append(json.dumps(v, sort_keys=True, separators=(",", ":")) if kind == "array" else float(v) if kind == "number" else v)
-                    else:
-                        new[col].append(None)
-                left.append(json.dumps(flat, sort_keys=True, ensure_ascii=True, separators=(",", ":")) if flat else None)
+                    new[col].append(fit)
+                left.append(dump_rescued(flat))
             arrays = [batch.column(i) if i != at else pa.array(left, pa.string()) for i in range(batch.num_columns)]
             arrays += [pa.array(new[c], ARROW_TYPES[k]) for _, c, k in approved]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *new])
@@ -197,21 +240,25 @@ def cast_value(v, kind: str):
     strings of a truth value and 0 or 1 as booleans, an array of one scalar as
     that scalar; no other array is a scalar.
     """
+    if isinstance(v, dict):
+        # a marked number fits a text, but no double
+        return v[NUMBER] if kind == "string" else None
     have = json_type(v)
     if have == "array" and kind == "array":
-        return json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        return dump_array(v)
     if have == "array":
         return cast_value(v[0], kind) if len(v) == 1 and isinstance(v[0], (str, int, float)) else None
+    if have == "string" and not utf8(v):
+        return None
     if kind == "string":
         return v if have == "string" else json.dumps(v)
     if kind == "number" and have != "boolean":
         if have == "string" and not _NUMBER.fullmatch(v.strip()):
             return None
-        try:
-            x = float(v)
-        except OverflowError:
+        x = real(v.strip()) if have == "string" else v
+        if type(x) is int and not -EXACT <= x <= EXACT:
             return None
-        return x if math.isfinite(x) else None
+        return float(x) if type(x) in (int, float) else None
     if kind == "boolean":
         return v if have == "boolean" else _BOOLEANS.get(v.strip().lower() if have == "string" else str(v))
     return None
@@ -291,7 +338,7 @@ def _consolidator(names: Sequence[str], target: Mapping[str, str], common: Mappi
                     if values[i] is None:
                         values[i] = v
                         del flat[path]
-                left.append(json.dumps(flat, sort_keys=True, ensure_ascii=True, separators=(",", ":")) if flat else None)
+                left.append(dump_rescued(flat))
             arrays = [batch.column(i) for i in range(batch.num_columns)]
             arrays[at] = pa.array(left, pa.string())
             for p, values in new.items():
@@ -321,28 +368,29 @@ def consolidate(ingested: DataFrame, changes: DataFrame, files: DataFrame, targe
     return rows.mapInArrow(_consolidator(rows.columns, target, common), schema)
 
 
-def observations(ingested: DataFrame, target: Mapping[str, str] = TARGET, keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """(keys, kind, path, type, value): every value of the typed columns and of the rescue column."""
-    typed = F.array(*[F.when(F.col(column_name(p)).isNotNull(), F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.col(column_name(p)).cast("string").alias("value"))) for p, t in target.items()])
-    a = ingested.where("readable").select(*keys, "kind", F.explode(F.array_compact(typed)).alias("o")).select(*keys, "kind", "o.path", "o.type", "o.value")
-    spread = ingested.where("rescued is not null").select(*keys, "kind", F.expr("parse_json(rescued)").alias("r"))
+def _rescued_values(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, path, type, value): the rescued values of rows with ``rescued``; a line that Spark cannot parse has none."""
+    spread = rows.where("rescued is not null").select(*keep, F.expr("try_parse_json(rescued)").alias("r"))
     kind_of = F.expr("schema_of_variant(value)")
-    b = spread.lateralJoin(spread.sparkSession.tvf.variant_explode(F.col("r").outer())).select(
-        *keys,
-        "kind",
-        F.col("key").alias("path"),
+    return spread.lateralJoin(spread.sparkSession.tvf.variant_explode(F.col("r").outer())).select(
+        *keep,
+        F.regexp_replace("key", AGAIN + r"\d+$", "").alias("path"),
         F.when(kind_of == "STRING", "string").when(kind_of == "BOOLEAN", "boolean").when(kind_of.startswith("ARRAY"), "array").otherwise("number").alias("type"),
         F.coalesce(F.expr("try_variant_get(value, '$', 'string')"), F.expr("to_json(value)")).alias("value"),
     )
-    return a.unionByName(b)
 
 
-def shapes(obs: DataFrame) -> DataFrame:
+def shapes(ingested: DataFrame, target: Mapping[str, str] = TARGET) -> DataFrame:
     """(file_id, path, type, kind): the type and the kind of record of most values of a path in a file.
 
-    Ties of types go to the first of array, boolean, number, string.
+    Typed columns are counted without being exploded, by one map-side combined
+    aggregation.  Ties of types go to the first of array, boolean, number, string.
     """
-    counts = obs.groupBy("file_id", "path", "type", "kind").agg(F.count(F.lit(1)).alias("n"))
+    wide = ingested.where("readable").groupBy("file_id", "kind").agg(*[F.count(column_name(p)).alias(f"n{i}") for i, p in enumerate(target)])
+    each = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.col(f"n{i}").alias("n")) for i, (p, t) in enumerate(target.items())])
+    typed = wide.select("file_id", "kind", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("o")).select("file_id", "kind", "o.path", "o.type", "o.n")
+    rescued = _rescued_values(ingested, "file_id", "kind").groupBy("file_id", "kind", "path", "type").agg(F.count(F.lit(1)).alias("n"))
+    counts = typed.unionByName(rescued)
     by_type = counts.groupBy("file_id", "path", "type").agg(F.sum("n").alias("n"), F.max(F.struct("n", "kind")).alias("k"))
     return by_type.groupBy("file_id", "path").agg(
         F.max_by("type", F.struct(F.col("n"), -F.array_position(F.array(*map(F.lit, ("array", "boolean", "number", "string"))), F.col("type")))).alias("type"),
@@ -350,6 +398,28 @@ def shapes(obs: DataFrame) -> DataFrame:
     )
 
 
+def values_of(ingested: DataFrame, sides: DataFrame, target: Mapping[str, str] = TARGET) -> DataFrame:
+    """(file_id, path, value): every value of the (file_id, path, type) asked for.
+
+    What is asked of a file, bounded by its schema, is joined to its lines, so
+    that only these values are taken from a line and exploded.
+    """
+    is_typed = F.coalesce(F.create_map(*[F.lit(x) for pt in target.items() for x in pt])[F.col("path")] == F.col("type"), F.lit(False))
+    need = sides.groupBy("file_id").agg(F.collect_set(F.when(is_typed, F.col("path"))).alias("columns"), F.collect_set(F.when(~is_typed, F.struct("path", "type"))).alias("others"))
+    rows = ingested.where("readable").join(need, "file_id")
+
+    def column_value(p):
+        value = F.lit(None).cast("string")
+        for path in target:
+            value = F.when(p == path, F.col(column_name(path)).cast("string")).otherwise(value)
+        return value
+
+    asked = F.filter(F.transform("columns", lambda p: F.struct(p.alias("path"), column_value(p).alias("value"))), lambda o: o["value"].isNotNull())
+    a = rows.where("size(columns) > 0").select("file_id", F.explode(asked).alias("o")).select("file_id", "o.path", "o.value")
+    b = _rescued_values(rows.where("size(others) > 0"), "file_id", "others").where(F.array_contains("others", F.struct("path", "type"))).select("file_id", "path", "value")
+    return a.unionByName(b)
+
+
 def _value_key(value: Column) -> Column:
     """Equal for values that carry equal information: numbers by sign and factor of four, else the value's hash."""
     num = F.expr("try_cast(value as double)")
@@ -373,8 +443,7 @@ def change_report(ingested: DataFrame, files: DataFrame, target: Mapping[str, st
     that agrees best from both sides is taken.
     """
     prev = files.withColumn("prev_id", F.lag("file_id").over(Window.partitionBy("producer").orderBy("file_seq", "file_id"))).where("prev_id is not null").select("file_id", "prev_id")
-    obs = observations(ingested, target)
-    shape = written(shapes(obs), "shapes")
+    shape = written(shapes(ingested, target), "shapes")
     now = shape.join(prev, "file_id").select("file_id", "path", F.col("type").alias("new_type"), F.col("kind").alias("new_kind"))
     old = shape.withColumnRenamed("file_id", "prev_id").join(prev, "prev_id").select("file_id", "prev_id", "path", F.col("type").alias("old_type"), F.col("kind").alias("old_kind"))
     diff = now.join(old, ["file_id", "path"], "full_outer").where("new_type is null or old_type is null or new_type <> old_type")
@@ -387,7 +456,7 @@ def change_report(ingested: DataFrame, files: DataFrame, target: Mapping[str, st
     pairs = added.alias("a").join(removed.alias("r"), (F.col("a.file_id") == F.col("r.file_id")) & (F.col("a.new_type") == F.col("r.old_type")) & F.col("a.new_kind").eqNullSafe(F.col("r.old_kind")))
     pairs = pairs.select("a.file_id", "a.prev_id", F.col("a.path").alias("new_path"), F.col("r.path").alias("old_path"), F.col("a.new_type").alias("type"))
     sides = pairs.select("file_id", F.col("new_path").alias("path"), "type").unionByName(pairs.select(F.col("prev_id").alias("file_id"), F.col("old_path").alias("path"), "type")).distinct()
-    values = obs.join(sides, ["file_id", "path", "type"]).groupBy("file_id", "path", _value_key(F.col("value")).alias("vkey")).agg(F.count(F.lit(1)).alias("n"))
+    values = values_of(ingested, sides, target).groupBy("file_id", "path", _value_key(F.col("value")).alias("vkey")).agg(F.count(F.lit(1)).alias("n"))
     total = Window.partitionBy("file_id", "path")
     share = written(values.withColumn("share", F.col("n") / F.sum("n").over(total)).select("file_id", "path", "vkey", "share"), "values")
     na = pairs.join(share.select("file_id", F.col("path").alias("new_path"), "vkey", F.col("share").alias("pa")), ["file_id", "new_path"])

@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions import jsontext
+from tracewell.functions.jsontext import NUMBER, Number, text_array
+
 #: Fields whose value counts as element 0 if it is an object instead of an array.
 CONTAINERS = ("content", "results", "completions", "children", "runs", "attempts")
 
@@ -38,22 +41,7 @@ BRIDGE = {
     "body": ("string", pa.string()),
 }
 #: Marks of canonical bodies; keys of the payload that start with a dollar get another one.
-OBJECT, NUMBER = "$object", "$number"
-
-
-class Number(str):
-    """The text of a number that no double or short integer holds exactly."""
-
-
-def _real(text: str):
-    x = float(text)
-    if x - x != 0 or (len(text) > 16 and Decimal(text) != Decimal(repr(x))):
-        return Number(text)
-    return x
-
-
-def _reject(token: str):
-    raise ValueError(token)
+OBJECT = "$object"
 
 
 def read_json(text: str | None):
@@ -61,16 +49,8 @@ def read_json(text: str | None):
     if not text:
         return None
     try:
-        return json.loads(text, parse_constant=_reject, parse_float=_real)
-    except RecursionError:
-        return None
-    except ValueError as e:
-        if "integer string conversion" not in str(e):
-            return None
-    # whole numbers of thousands of digits
-    try:
-        return json.loads(text, parse_constant=_reject, parse_float=_real, parse_int=lambda t: int(t) if len(t) < 4000 else Number(t))
-    except (ValueError, RecursionError):
+        return jsontext.read_json(text)
+    except ValueError:
         return None
 
 
@@ -163,20 +143,12 @@ def rebuild(object_id: str, bodies: Mapping[str, str]):
     return value(json.loads(bodies[object_id]))
 
 
-def _text_array(values: list) -> pa.Array:
-    """Half surrogate pairs, which UTF-8 cannot hold, are written as their escapes."""
-    try:
-        return pa.array(values, pa.string())
-    except UnicodeEncodeError:
-        return pa.array([v if v is None else v.encode("utf-8", "backslashreplace").decode() for v in values], pa.string())
-
-
 def _shredder(containers: Sequence[str], bodies: bool):
     names = frozenset(containers)
     kinds = [(c, t) for c, (_, t) in BRIDGE.items() if bodies or c != "body"]
 
     def pack(cols: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_text_array(c) if t == pa.string() else pa.array(c, t) for c, (_, t) in zip(cols, kinds)], names=[n for n, _ in kinds])
+        return pa.RecordBatch.from_arrays([text_array(c) if t == pa.string() else pa.array(c, t) for c, (_, t) in zip(cols, kinds)], names=[n for n, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []

@@ -20,6 +20,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift(load(spark, sf_dir, "log_lines")).select("file_id", "change", "field_path", "old_path")
 
 
+def p3_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enforced schema before any replay: typed columns of every line and the number of its rescued fields."""
+    got = drift.ingest(load(spark, sf_dir, "log_lines"))
+    columns = [F.json_array_length(drift.column_name(p)).alias(f"n_{p}") if t == "array" else F.col(drift.column_name(p)) for p, t in drift.TARGET.items()]
+    return got.select("file_id", "line_no", "readable", *columns, F.coalesce(F.size(F.json_object_keys("rescued")), F.lit(0)).alias("rescued_fields"))
+
+
 def p3_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent table: typed columns, renamed and castable fields replayed into them, the rest as JSON."""
     target = drift.TARGET | {"message.latencyMs": "number", "message.details.retryCount": "number"}
@@ -94,7 +101,7 @@ def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("not is_surplus").select("delivery_id", "session_id", "tool_call_id", "run_id", "tool_name", "is_error")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_ingested, p4_found, p4_bridge, p4_objects, p4_sharing, p4_records, *map(_flat, FLAT), p5_found, p5_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_typed, p3_ingested, p4_found, p4_bridge, p4_objects, p4_sharing, p4_records, *map(_flat, FLAT), p5_found, p5_kept)}
 
 _P5_KEYS = """
 WITH k AS (
@@ -128,7 +135,29 @@ def _sql_column(name: str, spec: str) -> str:
     return f"{text} AS {name}" if kind == "string" else f"TRY_CAST({text} AS {kind.upper()}) AS {name}"
 
 
+#: DuckDB's names of JSON types.
+_JSON_TYPES = {"string": "'VARCHAR'", "number": "'BIGINT', 'UBIGINT', 'DOUBLE'", "boolean": "'BOOLEAN'", "array": "'ARRAY'"}
+
+
+def _typed_sql() -> str:
+    out, fits = [], []
+    for path, kind in drift.TARGET.items():
+        at = f"'$.{path}'"
+        ok = f"coalesce(json_type(j, {at}) IN ({_JSON_TYPES[kind]}), false)"
+        text = f"json_extract_string(j, {at})"
+        value = {"string": text, "number": f"CAST({text} AS DOUBLE)", "boolean": f"{text} = 'true'", "array": f"json_array_length(j, {at})"}[kind]
+        name = f"n_{path}" if kind == "array" else drift.column_name(path)
+        out.append(f'CASE WHEN {ok} THEN {"CAST(" + value + " AS INT)" if kind == "array" else value} END AS "{name}"')
+        fits.append(f"CAST({ok} AS BIGINT)")
+    return f"""WITH t AS (SELECT file_id, line_no, trim(ltrim(raw, chr(65279)), chr(13) || chr(10)) AS t FROM log_lines),
+      l AS (SELECT file_id, line_no, CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN CAST(t AS JSON) END AS j FROM t),
+      n AS (SELECT l.file_id, l.line_no, count(*) AS leaves FROM l, json_tree(l.j) k WHERE j IS NOT NULL AND k.type NOT IN ('OBJECT', 'NULL') AND k.fullkey NOT LIKE '%[%' GROUP BY ALL)
+      SELECT l.file_id, l.line_no, j IS NOT NULL AS readable, {', '.join(out)}, CAST(coalesce(leaves, 0) - CASE WHEN j IS NULL THEN 0 ELSE {' + '.join(fits)} END AS INT) AS rescued_fields
+      FROM l LEFT JOIN n USING (file_id, line_no)"""
+
+
 ORACLE = {
+    "p3_typed": _typed_sql(),
     "p2_found": """
 WITH RECURSIVE f AS (
   SELECT session_id, entry_id, nullif(parent_id, '') AS parent_id FROM graph_entries
