@@ -406,6 +406,8 @@ def values_of(ingested: DataFrame, sides: DataFrame, target: Mapping[str, str] =
     """
     is_typed = F.coalesce(F.create_map(*[F.lit(x) for pt in target.items() for x in pt])[F.col("path")] == F.col("type"), F.lit(False))
     need = sides.groupBy("file_id").agg(F.collect_set(F.when(is_typed, F.col("path"))).alias("columns"), F.collect_set(F.when(~is_typed, F.struct("path", "type"))).alias("others"))
+    # a written table has a size, by which the join is a broadcast or a shuffle
+    need = written(need, "need")
     rows = ingested.where("readable").join(need, "file_id")
 
     def column_value(p):

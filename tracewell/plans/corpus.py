@@ -32,8 +32,7 @@ def p3_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = drift.TARGET | {"message.latencyMs": "number", "message.details.retryCount": "number"}
     ingested = written(drift.ingest(load(spark, sf_dir, "log_lines"), target), "ingested")
     files = drift.files_of(ingested)
-    known = {"message.servedModel": "message.responseModel", "message.response_model": "message.responseModel", "workdir": "cwd"}
-    return drift.consolidate(ingested, drift.change_report(ingested, files, target), files, target, known)
+    return drift.consolidate(ingested, drift.change_report(ingested, files, target), files, target)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
