@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from urllib.parse import parse_qsl
 
 DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
-PRESETS = (7, 14, 30, 90)
+PRESETS = (7, 14, 30)
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ def parse_range(query: str) -> Range | None:
     if len(query) > 512:
         return None
     try:
-        pairs = parse_qsl(query.lstrip("?"), keep_blank_values=True, strict_parsing=bool(query.lstrip("?")))
+        pairs = parse_qsl(query, keep_blank_values=True, strict_parsing=bool(query))
     except ValueError:
         return None
     keys = [k for k, _ in pairs]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import gates
-from tracewell.operators.prefix import running_sums
+from tracewell.operators.prefix import running_max, running_sums
 
 
 # -- sub-runs ---------------------------------------------------------------
@@ -106,28 +106,54 @@ def delta_after(wal: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def pair_fifo(wal: DataFrame, start: str, end: str, key: str = "writer_id") -> DataFrame:
-    """The n-th start of a key pairs with its n-th end; starts left over are open intervals.
+    """The oldest open start of a key pairs with its next end; starts left over are open intervals.
 
-    Numbered by distributed running sums, so a writer with a third of all
-    records is not gathered in one task.
+    An end without an open start closes nothing.  With b the running number of
+    starts less ends, such ends are those at which b falls below all it was
+    before; the others are numbered and meet the start of their number.  All
+    numbers are distributed prefix folds, so a writer with a third of all
+    records is not gathered in one task.  Equal clocks go by sequence.
     """
     order = [F.col("ts"), F.col("writer_sequence")]
-    starts = running_sums(wal.where(F.col("kind") == start).select(key, "ts", "writer_sequence"), [key], order, {"n": F.lit(1)}).select(key, "n", F.col("ts").alias("started_at"))
-    ends = running_sums(wal.where(F.col("kind") == end).select(key, "ts", "writer_sequence"), [key], order, {"n": F.lit(1)}).select(key, "n", F.col("ts").alias("ended_at"))
+    is_start = F.col("kind") == start
+    events = wal.where(F.col("kind").isin(start, end)).select(key, "ts", "writer_sequence", "kind")
+    step = F.when(is_start, 1).otherwise(-1)
+    walked = running_sums(events, [key], order, {"b": step, "n_start": is_start.cast("int"), "n_end": (~is_start).cast("int")})
+    # how many ends have closed nothing so far
+    walked = running_max(walked, [key], order, {"lost": F.greatest(-F.col("b"), F.lit(0))})
+    starts = walked.where(is_start).select(key, F.col("n_start").alias("n"), F.col("ts").alias("started_at"))
+    ends = walked.where(~is_start).select(key, (F.col("n_end") - F.col("lost")).alias("n"), F.col("ts").alias("ended_at"), "writer_sequence")
+    # of the ends that share a number the first closes the start; the others are those lost
+    ends = ends.groupBy(key, "n").agg(F.min_by("ended_at", F.struct("ended_at", "writer_sequence")).alias("ended_at")).where("n >= 1")
     return starts.join(ends, [key, "n"], "left").withColumn("open", F.col("ended_at").isNull())
 
 
-def fold_capped(counts: DataFrame, group: str, key: str, cap: int) -> DataFrame:
-    """Sums by key; beyond ``cap`` keys (in key order) the rest is added to one overflow row (key null)."""
-    sums = counts.groupBy(group, key).agg(F.sum("amount").alias("amount"))
-    ranked = sums.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(key)))
+def fold_capped(base: DataFrame, delta: DataFrame, group: str, key: str, cap: int) -> DataFrame:
+    """Sums by key of folded counts and what came since; beyond ``cap`` keys the rest is one overflow row (key null).
+
+    Keys of ``base`` come first, in key order, then the new ones of ``delta``.
+    Ranks are prefix folds over the keys, so a group of any number of keys is
+    ranked without being gathered.
+    """
+    both = base.select(group, key, "amount", F.lit(0).alias("_new")).unionByName(delta.select(group, key, "amount", F.lit(1).alias("_new")))
+    sums = both.groupBy(group, key).agg(F.sum("amount").alias("amount"), F.min("_new").alias("_new"))
+    ranked = running_sums(sums, [group], [F.col("_new"), F.col(key)], {"_r": F.lit(1)})
     return ranked.groupBy(group, F.when(F.col("_r") <= cap, F.col(key)).alias(key)).agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("keys"))
 
 
 def retained(boundaries: DataFrame) -> DataFrame:
-    """full, aggregate-only or expired; sealed must not exceed folded, nor folded what was observed or sealed."""
-    bad = (F.col("sealed") > F.col("folded")) | (F.col("folded") > F.greatest("observed", "sealed"))
-    return boundaries.withColumn("state", F.when(bad, "inconsistent").when(F.col("observed") == 0, "expired").when(F.col("sealed") > 0, "aggregate-only").otherwise("full"))
+    """What is left of each writer: ``state`` from its boundary (sealed, folded, observed sequences, ``has_folded``).
+
+    Without a checkpoint (``folded`` null and nothing sealed) the detail is expired;
+    with nothing folded or sealed it is full; else only the aggregate survives.  A
+    seal beyond the fold, or a fold beyond both what is observed and what is
+    sealed, is inconsistent and rejected, never clamped.
+    """
+    sealed, folded, observed = F.col("sealed"), F.col("folded"), F.col("observed")
+    bad = sealed.isNotNull() & (folded.isNull() | (sealed > folded))
+    bad = bad | ((folded > observed) & (sealed.isNull() | (sealed < folded)))
+    state = F.when(F.coalesce(bad, F.lit(False)), "inconsistent").when(folded.isNull(), "expired").when(sealed.isNotNull() | F.col("has_folded"), "aggregate-only").otherwise("full")
+    return boundaries.withColumn("state", state)
 
 
 # -- integrations -------------------------------------------------------------
@@ -135,8 +161,8 @@ def retained(boundaries: DataFrame) -> DataFrame:
 class Integration:
     """A declared integration: how its evidence is counted from entries and tool calls.
 
-    ``counters`` maps a counter to an aggregate; names and prefixes are those of
-    its tools.  New ones are registered by adding to the list.
+    Names and prefixes are those of its tools; entries of its custom types count if
+    they carry a declared version.  New ones are registered by adding to the list.
     """
 
     key: str
@@ -144,7 +170,7 @@ class Integration:
     names: tuple[str, ...] = ()
     prefixes: tuple[str, ...] = ()
     custom_types: tuple[str, ...] = ()
-    counters: Mapping[str, str] = field(default_factory=dict)
+    versions: tuple[int, ...] = ()
 
     def is_tool(self, c: Column) -> Column:
         hit = c.isin(*self.names) if self.names else F.lit(False)
@@ -155,7 +181,8 @@ class Integration:
 
 #: Declared in report order; fixed values: tool prefixes.
 REGISTRY = (
-    Integration("context", ("ctx",), prefixes=("ctx_",)),
+    Integration("context", ("ctx",), prefixes=("ctx_",), custom_types=("context:usage",), versions=(1,)),
+    Integration("mode", custom_types=("mode:set",), versions=(1,)),
     Integration("lens", names=("lens",), prefixes=("lens_", "lsp_", "ast_grep")),
     Integration("mcp", names=("mcp",), prefixes=("mcp__",)),
     Integration("subagents", names=("subagent", "subagent_wait")),
@@ -168,11 +195,29 @@ def resolve_key(name: str, registry: Sequence[Integration] = REGISTRY) -> str |
     return next((i.key for i in registry if name == i.key or name in i.aliases), None)
 
 
+def observations(custom: DataFrame, registry: Sequence[Integration] = REGISTRY) -> DataFrame:
+    """(session, integration, custom_entries, version, state) of custom entries (session_id, custom_type, version).
+
+    Entries of several versions in one session contradict each other, and an
+    undeclared version is not understood: both make the observation unsupported,
+    and its entries do not count.  Entries without a version count as undeclared.
+    """
+    known = [(t, i.key, v) for i in registry for t in i.custom_types for v in i.versions]
+    key, declared = F.lit(None).cast("string"), F.lit(False)
+    for t, k, v in known:
+        key = F.when(F.col("custom_type") == t, k).otherwise(key)
+        declared = declared | ((F.col("custom_type") == t) & (F.col("version") == v))
+    rows = custom.select("session_id", key.alias("integration"), "version", F.coalesce(declared, F.lit(False)).alias("declared")).where("integration is not null")
+    got = rows.groupBy("session_id", "integration").agg(F.count(F.lit(1)).alias("custom_entries"), F.min("version").alias("lo"), F.max("version").alias("hi"), F.bool_and("declared").alias("declared"))
+    fine = F.col("declared") & (F.col("lo") == F.col("hi"))
+    return got.select("session_id", "integration", "custom_entries", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("version"), F.when(F.coalesce(fine, F.lit(False)), "supported").otherwise("unsupported").alias("state"))
+
+
 def integration_counts(calls: DataFrame, custom: DataFrame, registry: Sequence[Integration] = REGISTRY) -> DataFrame:
-    """(session, integration, calls): where both are observed, the larger of custom entries and tool calls counts, never their sum."""
+    """(session, integration, calls, tool_calls): where both are observed, the larger of custom entries and tool calls counts, never their sum."""
     names = F.array(*[F.when(i.is_tool(F.col("tool")), F.lit(i.key)) for i in registry])
     by_call = calls.select("session_id", F.explode(F.array_compact(names)).alias("integration")).groupBy("session_id", "integration").agg(F.count(F.lit(1)).alias("tool_calls"))
-    by_custom = custom.groupBy("session_id", "integration").agg(F.count(F.lit(1)).alias("custom_entries"))
+    by_custom = observations(custom, registry).where("state = 'supported'").select("session_id", "integration", "custom_entries")
     both = by_call.join(by_custom, ["session_id", "integration"], "full_outer")
     return both.select("session_id", "integration", F.greatest("tool_calls", "custom_entries").alias("calls"), F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"))
 
@@ -191,11 +236,46 @@ def integration_rows(counts: DataFrame, registry: Sequence[Integration] = REGIST
 
 
 # -- economics, health, snapshots ---------------------------------------------
+#: Buckets of usage economics; each has tokens and may have a cost.
+BUCKETS = ("input", "output", "cache_read", "cache_write")
+
+
 def economics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Input, output and cache buckets; the reuse percentage only where all parts were observed."""
-    got = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("input", "output", "cache_read")], *[gates.coverage_state(F.count(F.lit(1)), F.count(c)).alias(f"{c}_state") for c in ("input", "output", "cache_read")])
-    denom = F.col("input") + F.col("cache_read")
-    return got.withColumn("cache_percent", F.when(denom > 0, F.round(F.col("cache_read") * 100 / denom, 1))).withColumn("state", gates.combined_coverage(F.col("input_state"), F.col("output_state"), F.col("cache_read_state")))
+    """Tokens, costs and their coverage by bucket, reasoning tokens, and the cache's share of the input side.
+
+    ``df`` has a column per bucket, and may have ``<bucket>_cost`` and ``reasoning``.
+    The share needs input, cache reads and cache writes to be observed, and a sum
+    that is safe and not 0; it is never estimated from two of them.
+    """
+    fields = [*BUCKETS, *(f"{b}_cost" for b in BUCKETS), "reasoning"]
+    rows = df.withColumns({c: F.lit(None).cast("decimal(28,12)" if c.endswith("_cost") else "bigint") for c in fields if c not in df.columns})
+    got = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("owners"), *[gates.bounded_sum(F.col(c)).alias(c) for c in fields], *[gates.coverage_state(F.count(F.lit(1)), F.count(c)).alias(f"{c}_state") for c in fields])
+    return _with_reuse(got)
+
+
+def _with_reuse(got: DataFrame) -> DataFrame:
+    total = F.col("input") + F.col("cache_read") + F.col("cache_write")
+    safe = F.when(total <= gates.SAFE_MAX, total)
+    state = gates.combined_coverage(*[F.col(f"{c}_state") for c in ("input", "cache_read", "cache_write")])
+    return got.withColumns({"reuse_tokens": safe, "reuse_percent": F.when(safe > 0, F.floor(F.col("cache_read") / safe * 1000 + 0.5) / 10), "reuse_state": state})
+
+
+def merge_economics(parts: DataFrame, keys: Sequence[str], partial: Column | None = None) -> DataFrame:
+    """Economics of several parts: values are summed, coverage is combined, not recounted.
+
+    A part without economics (all null) counts as unavailable.  Where ``partial``
+    holds for any part (a window that left days out), complete becomes partial.
+    """
+    fields = [*BUCKETS, *(f"{b}_cost" for b in BUCKETS), "reasoning"]
+    left_out = F.bool_or(partial) if partial is not None else F.lit(False)
+
+    def state(c: str) -> Column:
+        s = F.coalesce(F.col(f"{c}_state"), F.lit("unavailable"))
+        whole = F.when(F.bool_and(s == "unavailable"), "unavailable").when(F.bool_and(s == "complete"), "complete").otherwise("partial")
+        return F.when(F.coalesce(left_out, F.lit(False)) & (whole == "complete"), "partial").otherwise(whole)
+
+    got = parts.groupBy(*keys).agg(F.sum("owners").alias("owners"), *[gates.bounded_sum(F.col(c)).alias(c) for c in fields], *[state(c).alias(f"{c}_state") for c in fields])
+    return _with_reuse(got)
 
 
 def merge_diagnostics(diagnostics: DataFrame) -> DataFrame:
@@ -206,9 +286,9 @@ def merge_diagnostics(diagnostics: DataFrame) -> DataFrame:
 
 
 def section_hashes(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(key, etag): SHA-256 of a section's canonical content."""
-    content = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    return df.select(key, F.sha2(content, 256).alias("etag"))
+    """(key, etag): SHA-256 of a section's canonical JSON in URL-safe base64, without padding."""
+    digest = F.base64(F.unhex(gates.canonical_digest(*[F.col(c) for c in columns])))
+    return df.select(key, F.rtrim(F.translate(digest, "+/=", "-_ ")).alias("etag"))
 
 
 def snapshot_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -218,6 +298,17 @@ def snapshot_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return got.select(key, F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed").alias("change"))
 
 
+def group_resources(rows: DataFrame) -> DataFrame:
+    """Counts of commands, skills, prompts and tools by (source label, scope, origin).
+
+    ``rows`` has kind (extension, skill, prompt or tool), source, scope and origin;
+    other kinds count nowhere, and groups that count nothing do not appear.
+    """
+    kinds = {"commands": "extension", "skills": "skill", "prompts": "prompt", "tools": "tool"}
+    got = rows.where(F.col("kind").isin(*kinds.values())).groupBy(gates.source_label(F.col("source")).alias("source_label"), "scope", "origin")
+    return got.agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()])
+
+
 def skills(inventory: DataFrame, counted: DataFrame) -> DataFrame:
     """Inventory full-outer counted names: listed, used, and how often."""
     return inventory.select("name", F.lit(True).alias("_l")).distinct().join(counted.groupBy("name").agg(F.count(F.lit(1)).alias("uses")), "name", "full_outer").select("name", F.col("_l").isNotNull().alias("listed"), F.coalesce("uses", F.lit(0)).alias("uses"))

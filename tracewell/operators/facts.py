@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import gates
 from tracewell.operators.hierarchy import resolve_forest
+from tracewell.session import written
 
 #: Usage buckets by entry kind.
 BUCKETS = ("assistant", "tool_result", "compaction", "branch_summary")
 
 
 def first_entries(entries: DataFrame) -> DataFrame:
-    """First occurrence of each entry id of a session, combined map-side."""
-    rest = [c for c in entries.columns if c not in ("session_id", "entry_id")]
-    got = entries.where("entry_id is not null").groupBy("session_id", "entry_id").agg(F.min_by(F.struct(*rest), "append_ordinal").alias("e"))
-    return got.select("session_id", "entry_id", *[F.col(f"e.{c}").alias(c) for c in rest])
+    """First occurrence of each entry id of a session.
+
+    A rank limit of one: it is applied before the shuffle too, and columns that
+    are not used later are not read.
+    """
+    first = Window.partitionBy("session_id", "entry_id").orderBy("append_ordinal")
+    return entries.where("entry_id is not null").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
 def marker_scope(entries: DataFrame, marker: str = "custom") -> DataFrame:
@@ -93,39 +97,89 @@ def tools(entries: DataFrame) -> DataFrame:
 
     A result binds to the latest call of its id that precedes it (a later call
     takes the id over); results before any call bind to none; of all bound
-    results of an id the first one counts.  One window over the union of calls
+    results of an id the first one fixes the status, and the first with valid
+    usage the usage.  One window over the union of calls
     and results, one shuffle by (session, call id).
     """
-    calls = calls_of(entries).select("*", F.lit(0).alias("kind"), F.lit(None).cast("boolean").alias("is_error"))
+    none = {"is_error": "boolean", "tokens": "bigint", "cost": "decimal(28,12)"}
+    calls = calls_of(entries).select("*", F.lit(0).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    with_usage = {"total_tokens", "cost"} <= set(entries.columns)
+    ok = gates.usage_valid(F.col("total_tokens"), F.col("cost")) if with_usage else F.lit(False)
     results = entries.where("entry_type = 'message' and role = 'toolResult' and tool_call_id is not null").select(
-        "session_id", "entry_id", "append_ordinal", F.lit(0).alias("pos"), "ts_raw", F.col("tool_call_id").alias("call_id"), F.lit(None).cast("string").alias("tool"), F.lit(1).alias("kind"), F.coalesce("is_error", F.lit(False)).alias("is_error")
-    )
+        "session_id", "entry_id", "append_ordinal", F.lit(0).alias("pos"), "ts_raw", F.col("tool_call_id").alias("call_id"), F.lit(None).cast("string").alias("tool"), F.lit(1).alias("kind"), F.coalesce("is_error", F.lit(False)).alias("is_error"),
+        *[F.when(ok, F.col(c)).cast(t).alias(n) if with_usage else F.lit(None).cast(t).alias(n) for n, c, t in (("tokens", "total_tokens", "bigint"), ("cost", "cost", "decimal(28,12)"))],
+    )
     w = Window.partitionBy("session_id", "call_id").orderBy("append_ordinal", "kind", "pos")
     me = F.struct("append_ordinal", "pos")
     bound = calls.unionByName(results).withColumn("to", F.last(F.when(F.col("kind") == 0, me), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    # the first bound result of the id, seen from every row of the id
+    # the first bound result of the id, and the first with usage, seen from every row of the id
     everywhere = Window.partitionBy("session_id", "call_id")
-    first = F.min(F.when((F.col("kind") == 1) & F.col("to").isNotNull(), F.struct("append_ordinal", "to", "is_error"))).over(everywhere)
+    is_bound = (F.col("kind") == 1) & F.col("to").isNotNull()
+    first = F.min(F.when(is_bound, F.struct("append_ordinal", "to", "is_error"))).over(everywhere)
+    usage = F.min(F.when(is_bound & F.col("cost").isNotNull(), F.struct("append_ordinal", "to", "tokens", "cost"))).over(everywhere)
+    mine = lambda c: (F.col(f"{c}.to.append_ordinal") == F.col("append_ordinal")) & (F.col(f"{c}.to.pos") == F.col("pos"))
     return (
-        bound.withColumn("first", first)
+        bound.withColumns({"first": first, "usage": usage})
         .where("kind = 0")
         .select(
             "session_id", "entry_id", "append_ordinal", "pos", "ts_raw", "call_id", "tool",
-            F.when((F.col("first.to.append_ordinal") == F.col("append_ordinal")) & (F.col("first.to.pos") == F.col("pos")), F.when(F.col("first.is_error"), "failed").otherwise("succeeded")).otherwise("interrupted").alias("status"),
+            F.when(mine("first"), F.when(F.col("first.is_error"), "failed").otherwise("succeeded")).otherwise("interrupted").alias("status"),
+            *[F.when(mine("usage"), F.col(f"usage.{c}")).alias(c) for c in ("tokens", "cost")],
         )
     )
 
 
 def tool_summary(tool_rows: DataFrame) -> DataFrame:
-    """Calls by tool: status counts, share of all calls, last use, days."""
-    got = tool_rows.groupBy("tool").agg(
+    """Calls by tool: status counts, usage and durations with their counts, first known source, share of all calls, last use.
+
+    ``tool_rows`` may have tokens, cost, duration_ms and source; what it lacks stays
+    null.  Sums are null until a call has a value; ``partial`` and
+    ``duration_partial`` tell sums of some but not all calls.
+    """
+    given = {"tokens": "bigint", "cost": "decimal(28,12)", "duration_ms": "bigint", "source": "string"}
+    rows = tool_rows.withColumns({c: F.lit(None).cast(t) for c, t in given.items() if c not in tool_rows.columns})
+    got = rows.groupBy("tool").agg(
         F.count(F.lit(1)).alias("calls"),
         *[F.count_if(F.col("status") == s).alias(s) for s in ("succeeded", "failed", "interrupted")],
+        F.count("cost").alias("with_usage"),
+        F.sum("tokens").alias("tokens"),
+        F.sum("cost").alias("cost"),
+        F.count("duration_ms").alias("with_duration"),
+        F.sum("duration_ms").alias("duration_ms"),
+        F.min_by(F.col("source"), F.when(F.col("source").isNotNull(), F.struct("ts_raw", "session_id", "append_ordinal"))).alias("source"),
         F.max("ts_raw").alias("last_used"),
         F.count_distinct("session_id").alias("sessions"),
     )
+    # one row per tool: read again for the total instead of planning the whole query twice
+    got = written(got, "tools")
     total = got.agg(F.sum("calls")).scalar()
-    return got.withColumn("percent", F.round(F.col("calls") * 100 / total, 1).cast("decimal(5,1)"))
+    return got.withColumns(
+        {
+            "percent": F.round(F.col("calls") * 100 / total, 1).cast("decimal(5,1)"),
+            "partial": F.col("with_usage").between(1, F.col("calls") - 1),
+            "duration_partial": F.col("with_duration").between(1, F.col("calls") - 1),
+            "duration_label": gates.duration_label(F.col("duration_ms")),
+            "average_label": gates.duration_label(F.try_divide("duration_ms", "with_duration")),
+        }
+    )
+
+
+def with_durations(tool_rows: DataFrame, timings: DataFrame) -> DataFrame:
+    """Tool calls with the duration of their first complete live timing.
+
+    ``timings`` has subject_id, category, status, duration_ms and an order column
+    ``ord``.  The link is the opaque identity of session and call id alone; names
+    and nearby clocks never link.
+    """
+    done = timings.where("category = 'tool' and status = 'complete' and subject_id is not null and duration_ms is not null")
+    first = done.groupBy("subject_id").agg(F.min_by("duration_ms", "ord").alias("duration_ms"))
+    return tool_rows.withColumn("subject_id", gates.tool_subject(F.col("session_id"), F.col("call_id"))).join(first, "subject_id", "left").drop("subject_id")
+
+
+def with_sources(tool_rows: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Tool calls with the source label that the inventory (tool, source) gives their tool; the first by label."""
+    labels = inventory.groupBy("tool").agg(F.min(gates.source_label(F.col("source"))).alias("source"))
+    return tool_rows.join(labels, "tool", "left")
 
 
 def ledger(entries: DataFrame) -> DataFrame:

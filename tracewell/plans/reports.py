@@ -56,38 +56,16 @@ def child_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def errors_with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed results with the tool of their call."""
+    """Every error with its call's tool and source, and its headline."""
     e = facts.first_entries(tables.entries(spark, sf_dir))
-    t = facts.tools(e).where("status = 'failed'")
-    count = t.groupBy("session_id", "tool").agg(F.count(F.lit(1)).alias("errors"), F.min("ts_raw").alias("first_seen"))
-    return count.withColumn("headline", F.concat(F.col("tool"), F.lit(" failed")))
-
-
-def permission_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions of a writer by outcome, conditional counts only."""
-    w = tables.wal(spark, sf_dir)
-    return w.groupBy("writer_id").agg(
-        F.count_if(F.col("kind").isin("purchase", "signup", "error")).alias("decisions"), F.count_if(F.col("kind") == "purchase").alias("allowed"), F.count_if(F.col("kind") == "error").alias("denied"),
-        F.count_if((F.col("kind") == "signup") & (F.col("amount") % 3 == 0)).alias("prompts_user"), F.count_if((F.col("kind") == "signup") & (F.col("amount") % 3 != 0)).alias("prompts_other"),
-    )
-
-
-def compaction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of numeric counters and OR of flags over valid rows only."""
-    w = tables.wal(spark, sf_dir).where("amount is not null and value is not null and value >= 0")
-    return w.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount"), F.bool_or(F.col("amount") > 990).alias("truncated"))
-
-
-def skill_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of exactly one with a valid name, in (writer, sequence) order."""
-    w = tables.wal(spark, sf_dir).where("amount = 1").where(gates.bounded_token(F.col("kind"), 64))
-    return w.select("writer_id", "writer_sequence", F.col("kind").alias("skill")).orderBy("writer_id", "writer_sequence")
+    calls = facts.with_sources(facts.tools(e).where("status = 'failed'"), tables.inventory(spark, sf_dir).select(F.col("name").alias("tool"), "source"))
+    return calls.select("session_id", "append_ordinal", "pos", "call_id", "tool", "source", F.col("ts_raw"), gates.error_headline(F.lit("tool-error"), F.col("tool")).alias("headline"))
 
 
 def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source labels of tools as reported."""
-    t = load(spark, sf_dir, "tool_deliveries").select("delivery_id", F.when(F.col("delivery_id") % 3 == 0, "user").when(F.col("delivery_id") % 3 == 1, F.concat(F.lit("npm:"), F.col("tool_name"))).otherwise(F.col("batch_id")).alias("source"))
-    return t.select("delivery_id", gates.source_label(F.col("source")).alias("source"))
+    """source labels of the inventory and of documents."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), "source")
+    return d.unionByName(tables.inventory(spark, sf_dir)).select("name", gates.source_label(F.col("source")).alias("source"))
 
 
 def usage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,13 +127,10 @@ ORACLE = {
       count(*) FILTER (tool = 'subagent_wait') AS waits FROM t WHERE tool IN ('subagent', 'subagent_wait') GROUP BY 1""",
     "child_projection": f"""WITH {_E}, {_T}, a AS (SELECT session_id, count(*) AS messages, CAST(sum(total_tokens) AS BIGINT) AS tokens, CASE WHEN count(DISTINCT model) = 1 THEN max(model) END AS model FROM e WHERE entry_type = 'message' AND role = 'assistant' GROUP BY 1),
       i AS (SELECT session_id, count(DISTINCT call_id) AS n FROM calls GROUP BY 1) SELECT a.*, coalesce(n, 0) AS call_ids FROM a LEFT JOIN i USING (session_id)""",
-    "errors_with_calls": f"WITH {_E}, {_T} SELECT session_id, tool, count(*) AS errors, min(ts_raw) AS first_seen, tool || ' failed' AS headline FROM t WHERE status = 'failed' GROUP BY ALL",
-    "permission_counters": f"""WITH {_W} SELECT writer_id, count(*) FILTER (kind IN ('purchase', 'signup', 'error')) AS decisions, count(*) FILTER (kind = 'purchase') AS allowed, count(*) FILTER (kind = 'error') AS denied,
-      count(*) FILTER (kind = 'signup' AND amount % 3 = 0) AS prompts_user, count(*) FILTER (kind = 'signup' AND amount % 3 <> 0) AS prompts_other FROM w GROUP BY 1""",
-    "compaction_counters": f"WITH {_W} SELECT kind, count(*) AS rows, CAST(sum(amount) AS BIGINT) AS amount, bool_or(amount > 990) AS truncated FROM w WHERE amount IS NOT NULL AND value >= 0 GROUP BY 1",
-    "skill_invocations": f"WITH {_W} SELECT writer_id, writer_sequence, kind AS skill FROM w WHERE amount = 1",
-    "source_labels": """WITH t AS (SELECT delivery_id, CASE delivery_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'npm:' || tool_name ELSE batch_id END AS source FROM tool_deliveries)
-      SELECT delivery_id, CASE WHEN source IN ('user', 'project', 'builtin', 'sdk') OR regexp_full_match(source, 'npm:@?[a-z0-9._/-]+') THEN source WHEN source IS NOT NULL THEN 'other' END AS source FROM t""",
+    "errors_with_calls": f"""WITH {_E}, {_T} SELECT session_id, append_ordinal, CAST(pos AS INT) AS pos, call_id, tool, CASE WHEN tool IS NULL OR NOT EXISTS (SELECT 1 FROM tool_deliveries d WHERE d.tool_name = t.tool) THEN NULL WHEN starts_with(tool, 'subagent') THEN 'npm:@' || tool || '/kit' ELSE 'builtin' END AS source,
+      ts_raw, 'tool-failed' AS headline FROM t WHERE status = 'failed'""",
+    "source_labels": """WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS name, source FROM documents UNION ALL SELECT DISTINCT tool_name, CASE WHEN starts_with(tool_name, 'subagent') THEN 'npm:@' || tool_name || '/kit@1.0' ELSE 'builtin' END FROM tool_deliveries WHERE tool_name IS NOT NULL)
+      SELECT name, CASE WHEN source IN ('local', 'auto', 'builtin', 'sdk') THEN source WHEN regexp_full_match(source, 'npm:(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*(?:@[^@\\s]+)?') THEN regexp_extract(source, '^(npm:(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*)', 1) ELSE 'other' END AS source FROM t""",
     "usage_labels": f"""WITH {_E}, c AS (SELECT session_id, count(*) AS owners, count(tokens) AS n FROM lines GROUP BY 1)
       SELECT session_id, CASE WHEN n = 0 THEN 'not observed' WHEN n < owners THEN n || ' of ' || owners ELSE 'complete' END AS label FROM c""",
     "inventory_kept": """WITH o AS (SELECT source, coalesce(session_id, '-') AS name, min(doc_id) AS doc_id FROM documents WHERE source IS NOT NULL GROUP BY ALL)
@@ -164,4 +139,4 @@ ORACLE = {
       coalesce(tool_name, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.message.toolName') END) AS tool_name FROM tool_deliveries""",
 }
 
-QUERIES = {f.__name__: f for f in (runs_all, run_parents, run_containers, subagent_activity, child_projection, errors_with_calls, permission_counters, compaction_counters, skill_invocations, source_labels, usage_labels, inventory_kept, anonymous_fill, session_reports)}
+QUERIES = {f.__name__: f for f in (runs_all, run_parents, run_containers, subagent_activity, child_projection, errors_with_calls, source_labels, usage_labels, inventory_kept, anonymous_fill, session_reports)}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import gates
 from tracewell.operators import dated, facts
-from tracewell.session import load
+from tracewell.operators.prefix import running_sums
+from tracewell.session import load, written
 from tracewell.sources import tables
 
 D = "decimal(38,12)"
@@ -41,13 +42,8 @@ def daily_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated.daily(_dated(spark, sf_dir))
 
 
-def dated_models_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most two models a day in order of first appearance (the production cap is 64)."""
-    return dated.dated_models(_lines(spark, sf_dir), models=2)
-
-
-def dated_models_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models of each day up to the production cap of 64, with the flag of days that have more."""
+def dated_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of each day up to the cap of 64, with the flag of days that have more."""
     return dated.dated_models(_lines(spark, sf_dir), flagged=True)
 
 
@@ -61,35 +57,42 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _bounds(spark: SparkSession, sf_dir: str, preset: int | None = 14) -> DataFrame:
-    return dated.preset_bounds(_lines(spark, sf_dir).select("day"), preset)
+def _dated_once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The dated rows as a table, and the bounds of its last 30 days: the logs are read once."""
+    rows = written(_dated(spark, sf_dir), "dated")
+    return rows, dated.preset_bounds(rows.select("day"), 30)
+
+
+def _by_day(spark: SparkSession, sf_dir: str, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Usage by day and keys as a table, and the bounds of its last 30 days."""
+    rows = _lines(spark, sf_dir).where("day is not null").groupBy("day", "bucket", *keys).agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("owners"))
+    rows = written(rows, "by-day")
+    return rows, dated.preset_bounds(rows.select("day"), 30)
 
 
 def range_preset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the last 30 days."""
-    return dated.totals(dated.in_range(_dated(spark, sf_dir), _bounds(spark, sf_dir, 30)))
+    return dated.totals(dated.in_range(*_dated_once(spark, sf_dir)))
 
 
 def period_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buckets of the last 30 days."""
-    rows = dated.in_range(_lines(spark, sf_dir), _bounds(spark, sf_dir, 30))
-    return rows.groupBy("bucket").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("owners"))
+    """Buckets of the last 30 days, with the check that they make the whole."""
+    got = dated.in_range(*_by_day(spark, sf_dir)).groupBy("bucket").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.sum("owners").alias("owners"))
+    # four buckets at most
+    parts = Window.partitionBy(F.lit(0))
+    known = F.col("bucket").isin(*facts.BUCKETS)
+    return got.withColumn("reconciles", F.coalesce(F.sum("cost").over(parts), F.lit(0)) == F.coalesce(F.sum(F.when(known, F.col("cost"))).over(parts), F.lit(0)))
 
 
 def model_range_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models of the last 30 days."""
-    rows = dated.in_range(_lines(spark, sf_dir).where("bucket = 'assistant'"), _bounds(spark, sf_dir, 30))
-    return rows.groupBy("provider", "model").agg(F.count(F.lit(1)).alias("generations"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
+    rows = dated.in_range(*_by_day(spark, sf_dir, "provider", "model")).where("bucket = 'assistant'")
+    return rows.groupBy("provider", "model").agg(F.sum("owners").alias("generations"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
 
 
 def history_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a session belong to the last 30 days, given windows of one day."""
-    return dated.membership(dated.dated_usage(_lines(spark, sf_dir), days=1), _bounds(spark, sf_dir, 30))
-
-
-def history_membership_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a session belong to the last 30 days, given the production window of 366 days."""
-    return dated.membership(_dated(spark, sf_dir), _bounds(spark, sf_dir, 30))
+    """Does a session belong to the last 30 days, given its window of 366 days."""
+    return dated.membership(*_dated_once(spark, sf_dir))
 
 
 def tool_result_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +101,16 @@ def tool_result_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary of tools with percentages."""
-    return facts.tool_summary(facts.tools(facts.first_entries(tables.entries(spark, sf_dir))))
+    """Summary of tools with usage, durations, sources and percentages."""
+    calls = facts.tools(facts.first_entries(tables.entries(spark, sf_dir)))
+    calls = facts.with_sources(facts.with_durations(calls, tables.live_timings(spark, sf_dir)), tables.inventory(spark, sf_dir).select(F.col("name").alias("tool"), "source"))
+    return facts.tool_summary(calls)
+
+
+def tool_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls with the duration of their first complete live timing."""
+    calls = facts.tools(facts.first_entries(tables.entries(spark, sf_dir)))
+    return facts.with_durations(calls, tables.live_timings(spark, sf_dir)).select("session_id", "append_ordinal", "pos", "call_id", "duration_ms")
 
 
 def tool_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +167,7 @@ def session_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors outrank interruptions, interruptions outrank clean."""
+    """Errors outrank interruptions, interruptions outrank clean."""
     t = facts.tools(facts.first_entries(tables.entries(spark, sf_dir)))
     failed, open_ = F.count_if(F.col("status") == "failed"), F.count_if(F.col("status") == "interrupted")
     return t.groupBy("session_id").agg(F.when(failed > 0, "errors").when(open_ > 0, "interrupted").otherwise("clean").alias("verdict"), failed.alias("failed"), open_.alias("interrupted"), F.count(F.lit(1)).alias("calls"))
@@ -168,7 +179,15 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with their recency."""
+    """Sessions by last day, then first day, newest first, undated last, then id; numbered in that order."""
+    day = gates.day_of(F.col("ts_raw"))
+    days = load(spark, sf_dir, "messages").groupBy("session_id").agg(F.max(day).alias("last_day"), F.min(day).alias("first_day"))
+    order = [F.col("last_day").desc_nulls_last(), F.col("first_day").desc_nulls_last(), F.col("session_id").asc()]
+    return running_sums(days, [], order, {"position": F.lit(1)})
+
+
+def session_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest instant of each session's header and entries."""
     return _sessions(spark, sf_dir).select("session_id", "entries", F.unix_micros("last_at").alias("last_us"))
 
 
@@ -271,16 +290,27 @@ calls AS (
   FROM (SELECT session_id, append_ordinal, ts_raw, list_filter(blocks, lambda b: b.type = 'toolCall' AND b.id IS NOT NULL AND b.name IS NOT NULL) AS cs FROM e WHERE entry_type = 'message' AND role = 'assistant'),
     LATERAL (SELECT unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS pos)),
 u AS (
-  SELECT session_id, call_id, append_ordinal, pos, 0 AS kind, NULL::BOOLEAN AS is_error FROM calls
+  SELECT session_id, call_id, append_ordinal, pos, 0 AS kind, NULL::BOOLEAN AS is_error, NULL::BIGINT AS tokens, NULL::DECIMAL(28,12) AS cost FROM calls
   UNION ALL
-  SELECT session_id, tool_call_id, append_ordinal, 0, 1, coalesce(is_error, false) FROM e WHERE entry_type = 'message' AND role = 'toolResult' AND tool_call_id IS NOT NULL),
+  SELECT session_id, tool_call_id, append_ordinal, 0, 1, coalesce(is_error, false), CASE WHEN total_tokens BETWEEN 0 AND 9007199254740991 AND cost_total BETWEEN 0 AND 9007199254740991 THEN total_tokens END,
+    CASE WHEN total_tokens BETWEEN 0 AND 9007199254740991 AND cost_total BETWEEN 0 AND 9007199254740991 THEN CAST(cost_total AS DECIMAL(28,12)) END FROM e WHERE entry_type = 'message' AND role = 'toolResult' AND tool_call_id IS NOT NULL),
 bound AS (
   SELECT *, last_value(CASE WHEN kind = 0 THEN append_ordinal * 1000 + pos END IGNORE NULLS) OVER (PARTITION BY session_id, call_id ORDER BY append_ordinal, kind, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bto FROM u),
+us AS (SELECT session_id, call_id, bto, tokens, cost FROM bound WHERE kind = 1 AND bto IS NOT NULL AND cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, call_id ORDER BY append_ordinal) = 1),
 f AS (SELECT session_id, call_id, bto, is_error FROM bound WHERE kind = 1 AND bto IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, call_id ORDER BY append_ordinal) = 1),
 t AS (
-  SELECT c.*, CASE WHEN f.bto = c.append_ordinal * 1000 + c.pos THEN CASE WHEN f.is_error THEN 'failed' ELSE 'succeeded' END ELSE 'interrupted' END AS status
-  FROM calls c LEFT JOIN f ON f.session_id = c.session_id AND f.call_id = c.call_id)
+  SELECT c.*, CASE WHEN f.bto = c.append_ordinal * 1000 + c.pos THEN CASE WHEN f.is_error THEN 'failed' ELSE 'succeeded' END ELSE 'interrupted' END AS status,
+    CASE WHEN us.bto = c.append_ordinal * 1000 + c.pos THEN us.tokens END AS tokens, CASE WHEN us.bto = c.append_ordinal * 1000 + c.pos THEN us.cost END AS cost
+  FROM calls c LEFT JOIN f ON f.session_id = c.session_id AND f.call_id = c.call_id LEFT JOIN us ON us.session_id = c.session_id AND us.call_id = c.call_id)
 """
+#: First complete timing of each call; a call id that cannot be an identity has none.
+_TIMED = """
+d AS (SELECT session_id, tool_call_id AS call_id, (epoch_us(ingested_at) - epoch_us(ts)) // 1000 AS duration_ms, true AS safe FROM messages
+  WHERE entry_type = 'message' AND role = 'toolResult' AND session_id <> '' AND tool_call_id <> '' AND octet_length(encode(tool_call_id)) <= 512 AND NOT regexp_matches(tool_call_id, '[\\x00-\\x1f\\x7f-\\x{9f}]') AND ingested_at >= ts
+  QUALIFY row_number() OVER (PARTITION BY session_id, tool_call_id ORDER BY append_ordinal) = 1)
+"""
+_SOURCE = """CASE WHEN {c} IN ('local', 'auto', 'builtin', 'sdk') THEN {c} WHEN regexp_full_match({c}, 'npm:(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*(?:@[^@\\s]+)?') THEN regexp_extract({c}, '^(npm:(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*)', 1) ELSE 'other' END"""
+_DURATION = """(SELECT CASE WHEN t < 1000 THEN t || ' ms' WHEN t < 60000 THEN printf('%.1f s', t / 1000.0) WHEN t < 3600000 THEN printf('%dm %02ds', t // 60000, (t // 1000) % 60) ELSE printf('%dh %02dm', t // 3600000, (t // 60000) % 60) END FROM (SELECT CAST(greatest(0, floor({c} + 0.5)) AS BIGINT) AS t) WHERE {c} IS NOT NULL)"""
 _S = """
 s AS (
   SELECT m.session_id, m.entries, CASE WHEN h.seen IS NULL THEN m.seen WHEN m.seen IS NULL THEN h.seen ELSE greatest(m.seen, h.seen) END AS seen
@@ -312,23 +342,24 @@ ORACLE = {
       CASE WHEN count(tokens) = 0 THEN 'unavailable' WHEN count(tokens) = count(*) THEN 'complete' ELSE 'partial' END AS tokens_state FROM lines GROUP BY 1""",
     "daily_usage": f"WITH {_E} SELECT *, count(*) OVER (PARTITION BY session_id) > 366 AS truncated FROM dated QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY day DESC) <= 366",
     "daily_fold": f"WITH {_E} SELECT day, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS {D}) AS cost, CAST(sum(generations) AS BIGINT) AS generations, count(*) AS sessions FROM dated GROUP BY 1",
-    "dated_models_capped": f"""WITH {_E}, x AS (SELECT session_id, day, provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, min(append_ordinal) AS o FROM lines WHERE day IS NOT NULL AND bucket = 'assistant' GROUP BY ALL)
-      SELECT * EXCLUDE (o) FROM x QUALIFY row_number() OVER (PARTITION BY session_id, day ORDER BY o) <= 2""",
-    "dated_models_kept": f"""WITH {_E}, x AS (SELECT session_id, day, provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, min(append_ordinal) AS o FROM lines WHERE day IS NOT NULL AND bucket = 'assistant' GROUP BY ALL)
+    "dated_models": f"""WITH {_E}, x AS (SELECT session_id, day, provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, min(append_ordinal) AS o FROM lines WHERE day IS NOT NULL AND bucket = 'assistant' GROUP BY ALL)
       SELECT * EXCLUDE (o), count(*) OVER (PARTITION BY session_id, day) > 64 AS truncated FROM x QUALIFY row_number() OVER (PARTITION BY session_id, day ORDER BY o) <= 64""",
     "model_summary": f"WITH {_E} SELECT provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, count(tokens) AS with_usage FROM lines WHERE bucket = 'assistant' GROUP BY ALL",
     "range_preset_totals": f"WITH {_E} SELECT CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS {D}) AS cost, count(*) AS rows, count(DISTINCT day) AS days FROM dated, b WHERE day BETWEEN from_day AND to_day",
-    "period_composition": f"WITH {_E} SELECT bucket, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, count(*) AS owners FROM lines, b WHERE day BETWEEN from_day AND to_day GROUP BY 1",
+    "period_composition": f"WITH {_E} SELECT bucket, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, count(*) AS owners, true AS reconciles FROM lines, b WHERE day BETWEEN from_day AND to_day GROUP BY 1",
     "model_range_rows": f"WITH {_E} SELECT provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost FROM lines, b WHERE bucket = 'assistant' AND day BETWEEN from_day AND to_day GROUP BY ALL",
-    "history_membership": f"""WITH {_E}, w AS (SELECT *, count(*) OVER (PARTITION BY session_id) > 1 AS truncated FROM dated QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY day DESC) <= 1),
-      x AS (SELECT session_id, count(*) FILTER (day BETWEEN from_day AND to_day) AS days_in, min(day) AS first_kept, bool_or(truncated) AS truncated, min(from_day) AS from_day FROM w, b GROUP BY 1)
-      SELECT session_id, days_in, truncated, CASE WHEN days_in > 0 THEN 'member' WHEN truncated AND from_day < first_kept THEN 'unknown' ELSE 'out' END AS verdict FROM x""",
-    "history_membership_kept": f"""WITH {_E}, w AS (SELECT *, count(*) OVER (PARTITION BY session_id) > 366 AS truncated FROM dated QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY day DESC) <= 366),
+    "history_membership": f"""WITH {_E}, w AS (SELECT *, count(*) OVER (PARTITION BY session_id) > 366 AS truncated FROM dated QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY day DESC) <= 366),
       x AS (SELECT session_id, count(*) FILTER (day BETWEEN from_day AND to_day) AS days_in, min(day) AS first_kept, bool_or(truncated) AS truncated, min(from_day) AS from_day FROM w, b GROUP BY 1)
       SELECT session_id, days_in, truncated, CASE WHEN days_in > 0 THEN 'member' WHEN truncated AND from_day < first_kept THEN 'unknown' ELSE 'out' END AS verdict FROM x""",
     "tool_result_asof": f"WITH {_E}, {_T} SELECT session_id, append_ordinal, CAST(pos AS INT) AS pos, call_id, tool, status FROM t",
-    "tool_summary": f"""WITH {_E}, {_T} SELECT tool, count(*) AS calls, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'interrupted') AS interrupted,
-      max(ts_raw) AS last_used, count(DISTINCT session_id) AS sessions, CAST(round(count(*) * 100 / sum(count(*)) OVER (), 1) AS DECIMAL(5,1)) AS percent FROM t GROUP BY tool""",
+    "tool_summary": f"""WITH {_E}, {_T}, {_TIMED}, i AS (SELECT name, min({_SOURCE.format(c='source')}) AS source FROM (SELECT tool_name AS name, CASE WHEN starts_with(tool_name, 'subagent') THEN 'npm:@' || tool_name || '/kit@1.0' ELSE 'builtin' END AS source FROM tool_deliveries WHERE tool_name IS NOT NULL) GROUP BY 1),
+      z AS (SELECT t.*, d.duration_ms, i.source FROM t LEFT JOIN d ON d.session_id = t.session_id AND d.call_id = t.call_id AND safe LEFT JOIN i ON i.name = t.tool),
+      g AS (SELECT tool, count(*) AS calls, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'interrupted') AS interrupted,
+        count(cost) AS with_usage, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, count(duration_ms) AS with_duration, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, max(source) AS source,
+        max(ts_raw) AS last_used, count(DISTINCT session_id) AS sessions FROM z GROUP BY tool)
+      SELECT *, CAST(round(calls * 100 / sum(calls) OVER (), 1) AS DECIMAL(5,1)) AS percent, with_usage BETWEEN 1 AND calls - 1 AS partial, with_duration BETWEEN 1 AND calls - 1 AS duration_partial,
+        {_DURATION.format(c='duration_ms')} AS duration_label, {_DURATION.format(c='duration_ms / with_duration')} AS average_label FROM g""",
+    "tool_durations": f"WITH {_E}, {_T}, {_TIMED} SELECT t.session_id, t.append_ordinal, CAST(t.pos AS INT) AS pos, t.call_id, d.duration_ms FROM t LEFT JOIN d ON d.session_id = t.session_id AND d.call_id = t.call_id AND safe",
     "tool_timeline": f"WITH {_E}, {_T} SELECT session_id, append_ordinal, call_id, ts_raw, status FROM t WHERE tool = 'bash'",
     "event_ledger": f"""WITH {_E}, {_T} SELECT session_id, 'generation' AS kind, entry_id AS id, ts_raw, model AS label FROM e WHERE entry_type = 'message' AND role = 'assistant'
       UNION ALL SELECT session_id, 'tool', call_id, ts_raw, tool FROM t UNION ALL SELECT session_id, 'compaction', entry_id, ts_raw, NULL FROM e WHERE entry_type = 'compaction'
@@ -354,7 +385,9 @@ ORACLE = {
       coalesce(string_agg(DISTINCT CASE WHEN regexp_full_match(substr(ts_raw, 1, 10), '\\d{4}-\\d{2}-\\d{2}') THEN substr(ts_raw, 1, 10) END, ',' ORDER BY CASE WHEN regexp_full_match(substr(ts_raw, 1, 10), '\\d{4}-\\d{2}-\\d{2}') THEN substr(ts_raw, 1, 10) END), '') AS days FROM messages GROUP BY 1""",
     "status_verdict": f"""WITH {_E}, {_T} SELECT session_id, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'errors' WHEN count(*) FILTER (status = 'interrupted') > 0 THEN 'interrupted' ELSE 'clean' END AS verdict,
       count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'interrupted') AS interrupted, count(*) AS calls FROM t GROUP BY 1""",
-    "history_order": f"WITH {_S} SELECT session_id, entries, epoch_us(seen) AS last_us FROM s",
+    "history_order": """WITH d AS (SELECT session_id, CASE WHEN regexp_full_match(substr(ts_raw, 1, 10), '\\d{4}-\\d{2}-\\d{2}') THEN substr(ts_raw, 1, 10) END AS day FROM messages), s AS (SELECT session_id, max(day) AS last_day, min(day) AS first_day FROM d GROUP BY 1)
+      SELECT *, row_number() OVER (ORDER BY last_day DESC NULLS LAST, first_day DESC NULLS LAST, session_id) AS position FROM s""",
+    "session_recency": f"WITH {_S} SELECT session_id, entries, epoch_us(seen) AS last_us FROM s",
     "history_page": f"WITH {_S} SELECT session_id, epoch_us(seen) AS last_us FROM s WHERE seen IS NULL OR seen < TIMESTAMPTZ '2026-06-01 00:00:00+00' OR (seen = TIMESTAMPTZ '2026-06-01 00:00:00+00' AND session_id > '') ORDER BY seen DESC NULLS LAST, session_id LIMIT 50",
     "history_page_before": f"WITH {_S} SELECT session_id, epoch_us(seen) AS last_us FROM s WHERE seen > TIMESTAMPTZ '2026-06-01 00:00:00+00' ORDER BY seen ASC NULLS FIRST, session_id DESC LIMIT 50",
     "session_coverage": f"WITH {_R} SELECT count(*) AS inspected, count(*) FILTER (reason IS NULL) AS available, count(*) FILTER (reason IS NOT NULL) AS unavailable, CAST(round(count(*) FILTER (reason IS NULL) / count(*), 4) AS DECIMAL(5,4)) AS ratio FROM r",
@@ -373,8 +406,8 @@ ORACLE = {
 #: Exact decimals leave as doubles, the type every consumer compares alike.
 _DECIMALS = {
     "session_usage_composition": ["cost", *(f"{b}_cost" for b in facts.BUCKETS)],
-    **dict.fromkeys(("daily_usage", "daily_fold", "dated_models_capped", "dated_models_kept", "model_summary", "range_preset_totals", "period_composition", "model_range_rows", "global_report"), ["cost"]),
-    "tool_summary": ["percent"],
+    **dict.fromkeys(("daily_usage", "daily_fold", "dated_models", "model_summary", "range_preset_totals", "period_composition", "model_range_rows", "global_report"), ["cost"]),
+    "tool_summary": ["percent", "cost"],
     "session_coverage": ["ratio"],
 }
 ORACLE |= {name: f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)}) FROM ({ORACLE[name]})" for name, cols in _DECIMALS.items()}

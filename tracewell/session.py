@@ -28,12 +28,14 @@ def build_session(app: str = "tracewell", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder of
-    this machine is used instead.
+    Only where the setting is absent and all runs on this machine (tests, a
+    laptop) a temporary folder is used instead; a cluster without it is refused.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
+    if not named and not current.isDefined() and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tracewell-")
     if not current.isDefined():
