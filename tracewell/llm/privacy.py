@@ -7,22 +7,23 @@ the reference name list), against the share of all terms.  Terms that disclose
 at least ``BITS`` are name parts, also if the incomplete list lacks them; listed
 names that are really plain words disclose little in this corpus and are let
 go.  E-mail addresses, phone and identity numbers and street addresses have
-forms of their own.  Findings are generalised to typed placeholders.
+forms of their own, which patterns tell without the corpus.  Findings are
+generalised to typed placeholders in the same pass.
 
 Corpus counts are combined inside each batch before the shuffle.  The term
 table is broadcast only if it has at most ``LEXICON_TERMS`` terms (about 64 MB);
-a larger one is joined to the candidate pairs by shuffles.
+of a larger one each row gets the terms it holds by a join, and the same search
+runs.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.session import written
@@ -120,25 +121,24 @@ def form_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def name_pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(given slot, family slot, start, end) for every ``A B``, ``A I. B`` and ``B, A`` of a text, in order."""
-    toks = list(TOKEN.finditer(text))
+def name_pairs(text: str, toks: list[re.Match]) -> Iterator[tuple[int, int, bool]]:
+    """(first token, last token, family first?) for every ``A B``, ``A I. B`` and ``B, A`` of a text, in order."""
     for i, a in enumerate(toks[:-1]):
         b = toks[i + 1]
         gap = text[a.end() : b.start()]
         if gap == " ":
-            yield a[0], b[0], a.start(), b.end()
+            yield i, i + 1, False
             if len(b[0]) == 1 and i + 2 < len(toks) and text[b.end() : toks[i + 2].start()] in (". ", " "):
-                yield a[0], toks[i + 2][0], a.start(), toks[i + 2].end()
+                yield i, i + 2, False
         elif gap == ", ":
-            yield b[0], a[0], a.start(), b.end()
+            yield i, i + 1, True
 
 
 def parts_of(token: str) -> list[str]:
     return token.lower().split("-")
 
 
-def _counter(listed: dict[str, str]):
+def _counter(listed: dict[str, set[str]]):
     """mapInArrow step: (term, other, slot, n): occurrences of terms, and of terms beside listed names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +165,13 @@ def _counter(listed: dict[str, str]):
                         continue
                     if j + 1 < len(toks) and text[toks[j].end() : toks[j + 1].start()] == ", ":
                         nxt = parts_of(toks[j + 1][0])[0]
-                        if listed.get(nxt) == "given":
+                        if "given" in listed.get(nxt, ()):
                             continue
                     for x in parts_of(a[0]):
                         for y in parts_of(toks[j][0]):
-                            if listed.get(x) == "given":
+                            if "given" in listed.get(x, ()):
                                 n[(y, x, "family")] += 1
-                            if listed.get(y) == "family":
+                            if "family" in listed.get(y, ()):
                                 n[(x, y, "given")] += 1
             rows = list(n.items())
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +199,9 @@ def disclosure(rows: DataFrame, names: DataFrame) -> DataFrame:
     reference = names.where("name is not null").select("name", "name_kind").distinct().limit(LEXICON_TERMS + 1).collect()
     if len(reference) > LEXICON_TERMS:
         raise ValueError(f"more than {LEXICON_TERMS} reference names")
-    listed = {r["name"].lower(): r["name_kind"] for r in reference}
+    listed: dict[str, set[str]] = {}
+    for r in reference:
+        listed.setdefault(r["name"].lower(), set()).add(r["name_kind"])
     counted = rows.select("content", "texts").mapInArrow(_counter(listed), "term string, other string, slot string, n long")
     table = written(counted.groupBy("term", "other", "slot").agg(F.sum("n").alias("n")), "terms")
     total = table.where("slot = ''").select("term", F.col("n").alias("total"))
@@ -221,41 +223,100 @@ def name_terms(weights: DataFrame) -> DataFrame:
     return weights.where(f"listed or (near >= {SUPPORT} and share >= {SLOT_SHARE} and bits >= {BITS} and length(term) > 1)").select("term", "slot").distinct()
 
 
-def _finder(shared):
-    def is_name(token: str, slot: str, lexicon: dict[str, set[str]]) -> bool:
-        return all(slot in lexicon.get(p, ()) for p in parts_of(token))
+def name_spans(text: str, taken: list[tuple], lexicon: Mapping[str, set[str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of every person's name: pairs of a given and a family name from left to right, with all further parts.
+
+    A pair that starts inside a name already found is not taken; neither is one
+    that overlaps ``taken``.  A name goes on over given names before it and family
+    names after it (``A A B``, ``A B B``), or given names after it (``B, A A``).
+    """
+    if lexicon.keys().isdisjoint(re.findall(PART, text.lower())):
+        return
+    toks = list(TOKEN.finditer(text))
+
+    def holds(n: int, slot: str) -> bool:
+        return all(slot in lexicon.get(p, ()) for p in parts_of(toks[n][0]))
+
+    def beside(n: int) -> bool:
+        return text[toks[n].end() : toks[n + 1].start()] == " "
+
+    done = 0
+    for i, j, family_first in name_pairs(text, toks):
+        a, b = toks[i].start(), toks[j].end()
+        given, family = (j, i) if family_first else (i, j)
+        if a < done or not holds(given, "given") or not holds(family, "family") or not _free(taken, a, b):
+            continue
+        while not family_first and i and beside(i - 1) and toks[i - 1].start() >= done and holds(i - 1, "given") and _free(taken, toks[i - 1].start(), b):
+            i -= 1
+        more = "given" if family_first else "family"
+        while j + 1 < len(toks) and beside(j) and holds(j + 1, more) and _free(taken, a, toks[j + 1].end()):
+            j += 1
+        done = toks[j].end()
+        yield toks[i].start(), done
+
+
+def find_spans(text: str, lexicon: Mapping[str, set[str]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of every piece of personal data of a text."""
+    spans = form_spans(text)
+    return spans + [(a, b, "name") for a, b in name_spans(text, spans, lexicon)]
+
+
+def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
+    for a, b, kind in sorted(spans, reverse=True):
+        text = text[:a] + PLACEHOLDERS[kind] + text[b:]
+    return text
+
+
+FOUND = {"row_id": ("long", pa.int64()), "block_no": ("int", pa.int32()), "kind": ("string", pa.string()), "start_pos": ("long", pa.int64()), "end_pos": ("long", pa.int64())}
+CLEAN = {"row_id": ("long", pa.int64()), "block_no": ("int", pa.int32()), "text": ("string", pa.string())}
+
+
+def _units(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(row_id, block_no, text) of the texts of a batch that are not null."""
+    for rid, content, texts in zip(batch.column("row_id").to_pylist(), batch.column("content"), batch.column("texts")):
+        for no, text in [(-1, content.as_py()), *enumerate(texts.as_py() or ())]:
+            if text is not None:
+                yield rid, no, text
+
+
+def _searcher(shared, clean: bool):
+    """mapInArrow step over rows (row_id, content, texts[, terms]): spans, or the texts with placeholders.
+
+    The lexicon is shared, or each row brings the terms it holds.
+    """
+    columns = CLEAN if clean else FOUND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value if shared is not None else None
-        # tells texts apart that share a row id
-        unit = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[tuple] = []
-            for rid, content, texts in zip(batch.column("row_id").to_pylist(), batch.column("content"), batch.column("texts")):
-                units = [(-1, content.as_py())] + list(enumerate(texts.as_py() or ()))
-                for no, text in units:
-                    if not text:
-                        continue
-                    spans = form_spans(text)
-                    unit += 1
-                    out += [(rid, no, kind, a + 1, b, None, None, unit) for a, b, kind in spans]
-                    if lexicon is not None:
-                        if lexicon.keys().isdisjoint(re.findall(PART, text.lower())):
-                            continue
-                        done = 0
-                        for given, family, a, b in name_pairs(text):
-                            if a >= done and is_name(given, "given", lexicon) and is_name(family, "family", lexicon) and _free(spans, a, b):
-                                out.append((rid, no, "name", a + 1, b, None, None, unit))
-                                done = b
+            if shared is not None:
+                groups = [(batch, shared.value)]
+            else:
+                groups = []
+                for i, terms in enumerate(batch.column("terms")):
+                    own: dict[str, set[str]] = {}
+                    for t in terms.as_py() or ():
+                        own.setdefault(t["term"], set()).add(t["slot"])
+                    groups.append((batch.slice(i, 1), own))
+            for part, lexicon in groups:
+                for rid, no, text in _units(part):
+                    spans = find_spans(text, lexicon)
+                    if clean:
+                        out.append((rid, no, mask(text, spans)))
                     else:
-                        out += [(rid, no, "name", a + 1, b, g.lower(), f.lower(), unit) for g, f, a, b in name_pairs(text) if _free(spans, a, b)]
-            cols = list(zip(*out)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["row_id", "block_no", "kind", "start_pos", "end_pos", "given", "family", "unit"])
+                        out += [(rid, no, kind, a + 1, b) for a, b, kind in spans]
+            cols = list(zip(*out)) or [()] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, columns.values())], names=list(columns))
 
     return run
 
 
-FOUND = "row_id long, block_no int, kind string, start_pos long, end_pos long, given string, family string, unit long"
+def _own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, term): the distinct name-like terms of each row's texts."""
+    for batch in batches:
+        pairs = [(u, p) for u, c, ts in zip(batch.column("unit").to_pylist(), batch.column("content"), batch.column("texts")) for p in {p for t in (c.as_py(), *(ts.as_py() or ())) if t for w in TOKEN.findall(t) for p in parts_of(w)}]
+        cols = list(zip(*pairs)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], names=["unit", "term"])
 
 
 def text_units(messages: DataFrame) -> DataFrame:
@@ -263,54 +324,33 @@ def text_units(messages: DataFrame) -> DataFrame:
     return messages.select(F.col("row_id").cast("long").alias("row_id"), "content", F.transform("blocks", lambda b: b["text"]).alias("texts"))
 
 
-def find_personal(messages: DataFrame, names: DataFrame, lexicon_terms: int = LEXICON_TERMS) -> DataFrame:
-    """(row_id, block_no, kind, start_pos, end_pos): every piece of personal data.
-
-    Positions count code points from 1, the end included.  Null and empty texts
-    hold none; repeated rows are each searched; of overlapping pieces the form
-    (mail, address, number) precedes the name.
-    """
+def _search(messages: DataFrame, names: DataFrame, lexicon_terms: int, clean: bool) -> DataFrame:
     rows = text_units(messages)
     terms = written(name_terms(disclosure(rows, names)), "lexicon")
-    size = terms.count()
-    if size <= lexicon_terms:
+    columns = CLEAN if clean else FOUND
+    schema = ", ".join(f"{c} {t}" for c, (t, _) in columns.items())
+    if terms.count() <= lexicon_terms:
         lexicon: dict[str, set[str]] = {}
         for r in terms.collect():
             lexicon.setdefault(r["term"], set()).add(r["slot"])
         shared = messages.sparkSession.sparkContext.broadcast(lexicon)
-        return rows.mapInArrow(_finder(shared), FOUND).drop("given", "family", "unit")
-    found = rows.mapInArrow(_finder(None), FOUND)
-    forms = found.where("kind <> 'name'").drop("given", "family", "unit")
-    pairs = found.where("kind = 'name'")
-    for slot in ("given", "family"):
-        known = terms.where(F.col("slot") == slot).select(F.col("term").alias("part"))
-        need = pairs.select(slot).distinct().withColumn("part", F.explode(F.split(slot, "-")))
-        lacking = need.join(known, "part", "left_anti").select(slot).distinct()
-        pairs = pairs.join(lacking, slot, "left_anti")
-    # left to right within one text: a pair that starts inside its predecessor goes
-    before = Window.partitionBy("row_id", "unit").orderBy("start_pos")
-    named = pairs.withColumn("_prev", F.lag("end_pos").over(before)).where("_prev is null or start_pos > _prev").drop("_prev", "given", "family", "unit")
-    return forms.unionByName(named.select(forms.columns))
+        return rows.mapInArrow(_searcher(shared, clean), schema)
+    # each row gets the terms it holds by a join, then the same search runs
+    rows = written(rows.withColumn("unit", F.monotonically_increasing_id()), "units")
+    own = rows.mapInArrow(_own_terms, "unit long, term string").join(terms, "term").groupBy("unit").agg(F.collect_list(F.struct("term", "slot")).alias("terms"))
+    return rows.join(own, "unit", "left").select("row_id", "content", "texts", "terms").mapInArrow(_searcher(None, clean), schema)
 
 
-def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
-    for a, b, kind in sorted(spans, reverse=True):
-        text = text[: a - 1] + PLACEHOLDERS[kind] + text[b:]
-    return text
+def find_personal(messages: DataFrame, names: DataFrame, lexicon_terms: int = LEXICON_TERMS) -> DataFrame:
+    """(row_id, block_no, kind, start_pos, end_pos): every piece of personal data.
+
+    Positions count code points from 1, the end included.  Null and empty texts
+    hold none; repeated rows are each searched; of overlapping pieces the form
+    (mail, address, number) precedes the name.
+    """
+    return _search(messages, names, lexicon_terms, clean=False)
 
 
-def sanitise(messages: DataFrame, names: DataFrame) -> DataFrame:
-    """(row_id, block_no, text): every text of a row, personal data replaced by typed placeholders."""
-    found = find_personal(messages, names)
-    spans = found.groupBy("row_id", "block_no").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind")).alias("spans"))
-    units = text_units(messages)
-    each = units.select("row_id", F.lit(-1).alias("block_no"), F.col("content").alias("text")).unionByName(units.select("row_id", F.posexplode("texts").alias("block_no", "text"))).where("text is not null")
-    # from the last span to the first, so that positions hold
-    ordered = F.reverse(F.array_sort("spans"))
-    piece = F.create_map(*[x for k, v in PLACEHOLDERS.items() for x in (F.lit(k), F.lit(v))])
-    masked = F.aggregate(
-        ordered,
-        F.col("text"),
-        lambda t, s: F.concat(F.substring(t, F.lit(1), (s["start_pos"] - 1).cast("int")), piece[s["kind"]], t.substr((s["end_pos"] + 1).cast("int"), F.length(t))),
-    )
-    return each.join(spans, ["row_id", "block_no"], "left").select("row_id", "block_no", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked).alias("text"))
+def sanitise(messages: DataFrame, names: DataFrame, lexicon_terms: int = LEXICON_TERMS) -> DataFrame:
+    """(row_id, block_no, text): every text of a row, personal data replaced by typed placeholders where it is found."""
+    return _search(messages, names, lexicon_terms, clean=True)
