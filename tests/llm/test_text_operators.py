@@ -19,8 +19,13 @@ def test_tokens_match_the_tokenizer_and_round_trip(spark):
     tk.encode_special_tokens = True
     texts = [None, "", " ", "a", "Hello  world's\r\n\n\ttest 123 ", "日本語のテスト 👩‍💻 é", "<|endoftext|> x", "ab" * 3000, "the the the", "x" + "  y", "Straße ﬁ ½ ²"]
     df = spark.createDataFrame([(i, t, "w") for i, t in enumerate(texts)], DOCS)
-    got = {r.doc_id: r.ids for r in tokens.encode(df, head_share=5).collect()}
-    assert got == {i: tk.encode(t, add_special_tokens=False).ids if t else [] for i, t in enumerate(texts)}
+    want = {i: tk.encode(t, add_special_tokens=False).ids if t else [] for i, t in enumerate(texts)}
+    # every text a chunk of its own, chunks of a few texts, one chunk per partition
+    for chars in (1, 40, 1 << 22):
+        got = tokens.encode(df, chunk_chars=chars).collect()
+        assert len(got) == len(texts) and {r.doc_id: r.ids for r in got} == want
+    twice = tokens.encode(df.unionByName(df), chunk_chars=100).collect()
+    assert len(twice) == 2 * len(texts) and all(r.ids == want[r.doc_id] for r in twice)
     back = {r.doc_id: r.text for r in tokens.decode(tokens.encode(df)).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert tokens.encode(df.limit(0)).count() == 0
@@ -204,7 +209,7 @@ def test_names_of_many_parts(spark):
         clean = {(r.row_id, r.block_no): r.text for r in privacy.sanitise(df.where("row_id >= 100").unionByName(df.where("row_id < 100")), names, most).collect()}
         assert {k: clean[k, -1] for k in odd} == {k: v for k, (_, v) in odd.items()} and clean[101, 0] == clean[101, -1]
         seen.append(found)
-    assert seen[0] == seen[1] and (101, -1, "name", 4, 25) in seen[0]
+    assert seen[0] == seen[1] and (101, -1, "name", 4, 24) in seen[0]
 
 
 def test_planted_personal_data(spark):

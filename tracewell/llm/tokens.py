@@ -1,15 +1,15 @@
 """Encoding of the whole corpus with a public byte-level BPE tokenizer.
 
 Method: a global distinct-word shuffle.  Texts are split into pre-tokens in the
-JVM; each distinct pre-token of the corpus is encoded once; ids are joined back
-and reassembled by position.
-
-The exploded rows carry one (document, pre-token) pair with all its positions,
-so a word repeated inside a document crosses the shuffle once.  The distribution
-of words is extremely skewed: every word that makes up at least 1/HEAD_SHARE of
-these rows, of which there cannot be more than HEAD_SHARE, is resolved by a
-broadcast whose size that bound proves; the rest has no hot keys and is joined
-by a shuffle.
+JVM.  Documents are taken in chunks of bounded size where they are read: each
+distinct pre-token of a chunk becomes one row (chunk, number, word), and each
+document keeps its pre-tokens by position as these numbers.  The rows are
+shuffled by word; there each distinct word of the corpus is encoded once, and its
+ids go back to the chunks that hold it.  A chunk's documents meet the ids of its
+words and are reassembled by position.
+
+A word has at most one row per chunk, however often it occurs, and that row does
+not carry its positions, so no word is hot and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The public pre-token pattern of this vocabulary. The class
 #: flag gives \s, \p{L} and \p{N} their Unicode meaning in the JVM.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HEAD_SHARE = 4096
+#: Characters after which a chunk of documents is closed.
+CHUNK_CHARS = 1 << 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,133 +84,127 @@ def _bpe_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in alive if p is not None]
 
 
-def _encoder(path: str):
+def _chunks(chunk_chars: int):
+    """mapInArrow step: (doc_key, words) to (chunk, no, word) of each chunk and (chunk, doc_key, codes) of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = None
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, number
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys, lists = t["doc_key"].combine_chunks(), t["words"].combine_chunks()
+            held, size, number = [], 0, number + 1
+            coded = lists.flatten().dictionary_encode()
+            words, docs = coded.dictionary, len(keys)
+            n = len(words)
+            same = lambda m: pa.array(np.full(m, number - 1))
+            for at in range(0, n, 50_000):
+                part = words.slice(at, 50_000)
+                yield pa.RecordBatch.from_arrays([same(len(part)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part, pa.nulls(len(part), keys.type), pa.nulls(len(part), pa.list_(pa.int32()))], names=["chunk", "no", "word", "doc_key", "codes"])
+            offsets = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(offsets), coded.indices)
+            for at in range(0, docs, 5_000):
+                part = keys.slice(at, 5_000)
+                yield pa.RecordBatch.from_arrays([same(len(part)), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.string()), part, codes.slice(at, 5_000)], names=["chunk", "no", "word", "doc_key", "codes"])
+
         for batch in batches:
-            if ranks is None:
-                ranks = read_ranks(path)
-            ids = [bpe(w.encode("utf-8", "surrogatepass"), ranks) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "wids"])
+            at = 0
+            sizes = np.cumsum(batch.column(2).to_numpy())
+            done = 0
+            while at < batch.num_rows:
+                # as many rows as the chunk still takes, at least one
+                upto = max(at + 1, int(np.searchsorted(sizes, done + chunk_chars - size, "right")))
+                held.append(batch.slice(at, upto - at).select([0, 1]))
+                size += int(sizes[upto - 1]) - done
+                at, done = upto, int(sizes[upto - 1])
+                if size >= chunk_chars or at < batch.num_rows:
+                    yield from close()
+        if held:
+            yield from close()
 
     return run
 
 
-def _group_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_key, words) to (doc_key, word, positions), by columns: a document is one row, so nothing is shuffled."""
-    for batch in batches:
-        lists = batch.column(1)
-        flat = lists.flatten()
-        if not len(flat):
-            continue
-        size = lists.value_lengths().to_numpy()
-        doc = np.repeat(np.arange(len(size)), size)
-        pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        coded = flat.dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        group = doc * len(coded.dictionary) + code
-        order = np.argsort(group, kind="stable")
-        sorted_group = group[order]
-        first = np.flatnonzero(np.r_[True, sorted_group[1:] != sorted_group[:-1]])
-        offsets = pa.array(np.r_[first, len(flat)].astype(np.int32))
-        out = pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(doc[order[first]])), coded.dictionary.take(pa.array(code[order[first]])), pa.ListArray.from_arrays(offsets, pa.array(pos[order].astype(np.int32)))],
-            names=["doc_key", "word", "positions"],
-        )
-        for at in range(0, out.num_rows, 50_000):
-            yield out.slice(at, 50_000)
+def _encode_words(path: str):
+    """mapInArrow step over (chunk, no, word) sorted by word: (chunk, no, wids), each distinct word encoded once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = None
+        last, last_ids = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if ranks is None:
+                ranks = read_ranks(path)
+            words = batch.column(2)
+            new = np.r_[True, pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)]
+            distinct = words.take(pa.array(np.flatnonzero(new))).to_pylist()
+            ids = [bpe(w.encode("utf-8", "surrogatepass"), ranks) if w != last else last_ids for w in distinct]
+            last, last_ids = distinct[-1], ids[-1]
+            wids = pa.array(ids, pa.list_(pa.int32())).take(pa.array(np.cumsum(new) - 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wids], names=["chunk", "no", "wids"])
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_key, positions, wids) sorted by doc_key to (doc_key, ids).
+    return run
 
-    A document that a batch cuts is carried over to the next; of a batch all
-    documents are put in order at once.
-    """
 
-    def finish(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        keys = t["doc_key"].combine_chunks()
-        places, wids = t["positions"].combine_chunks(), t["wids"].combine_chunks()
-        new = np.r_[True, pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)]
-        doc = np.cumsum(new) - 1
-        times = places.value_lengths().to_numpy()
-        row = np.repeat(np.arange(len(times)), times)
-        order = row[np.lexsort((places.flatten().to_numpy(), doc[row]))]
-        ids = wids.take(pa.array(order))
-        per_doc = np.bincount(doc[order], weights=ids.value_lengths().to_numpy(), minlength=doc[-1] + 1).astype(np.int64)
-        offsets = pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32))
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(np.flatnonzero(new))), pa.ListArray.from_arrays(offsets, ids.flatten())], names=["doc_key", "ids"])
-
-    held: list[pa.RecordBatch] = []
+def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, no, wids, doc_key, codes), of a chunk first its words by number, then its documents, to (doc_key, ids)."""
+    words: list[pa.Array] = []
+    chunk = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(0)
-        last = keys[batch.num_rows - 1]
-        # rows of the last document stay for the next batch
-        cut = pc.index(keys, last).as_py()
-        if cut == 0 and held and held[-1].column(0)[held[-1].num_rows - 1] == last:
-            held.append(batch)
-            continue
-        done = [*held, batch.slice(0, cut)] if cut else held
-        if sum(b.num_rows for b in done):
-            yield finish(pa.Table.from_batches([b for b in done if b.num_rows]))
-        held = [batch.slice(cut)]
-    if held:
-        yield finish(pa.Table.from_batches(held))
-
-
-def pretokens(docs: DataFrame) -> DataFrame:
-    """(doc_key, word, positions): each distinct pre-token of a document with all its positions."""
+        chunks = batch.column(0).to_numpy()
+        is_word = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        # runs of rows of one chunk and kind
+        starts = np.flatnonzero(np.r_[True, (chunks[1:] != chunks[:-1]) | (is_word[1:] != is_word[:-1])])
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            part = batch.slice(a, b - a)
+            if is_word[a]:
+                if chunks[a] != chunk:
+                    chunk, words = chunks[a], []
+                words.append(part.column(2))
+                continue
+            if len(words) > 1:
+                words = [pa.concat_arrays(words)]
+            codes = part.column(4)
+            ids = words[0].take(codes.flatten())
+            ends = np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]
+            rows = np.r_[0, np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False))]
+            yield pa.RecordBatch.from_arrays([part.column(3), pa.ListArray.from_arrays(pa.array(ends[rows].astype(np.int32)), ids.flatten())], names=["doc_key", "ids"])
+
+
+def pretokens(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(chunk, no, word) of each distinct pre-token of a chunk, and (chunk, doc_key, codes) of each document that is not empty."""
     words = F.regexp_extract_all(F.col("doc_text"), F.lit(PATTERN), F.lit(0))
     kind = dict(docs.dtypes)["doc_key"]
-    return docs.where(F.length("doc_text") > 0).select("doc_key", words.alias("words")).mapInArrow(_group_words, f"doc_key {kind}, word string, positions array<int>")
+    rows = docs.where(F.length("doc_text") > 0).select("doc_key", words.alias("words"), F.octet_length("doc_text").cast("long").alias("size"))
+    return rows.mapInArrow(_chunks(chunk_chars), f"chunk long, no int, word string, doc_key {kind}, codes array<int>")
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS_DIR, vocabulary: str = VOCABULARY, head_share: int = HEAD_SHARE) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS_DIR, vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(key, ids): the ids of each text without special tokens; [] for an empty or null text.
 
-    ``key`` must be unique and not null; rows that share a key would be mixed.
-    Special tokens' strings in a text are ordinary text.  Other columns are not read.
+    One row per row of ``docs``, also for repeated and null keys.  Special tokens'
+    strings in a text are ordinary text.  Other columns are not read.  The
+    vocabulary file must lie at the same path on every executor.
     """
     path = f"{tokenizers.rstrip('/')}/{vocabulary}"
     docs = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text"))
-    pre = written(pretokens(docs), "pretokens")
-    counts = pre.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    table = written(counts.select("word", "n").mapInArrow(_counted(path), "word string, n long, wids array<int>"), "vocabulary")
-    rows = pre.count()
-    floor = max(2, rows // head_share)
-    head = table.where(F.col("n") >= floor).select("word", F.col("wids").alias("hids"))
-    tail = table.where(F.col("n") < floor).select("word", "wids")
-    near = pre.join(F.broadcast(head), "word", "left")
-    hot = near.where("hids is not null").select("doc_key", "positions", F.col("hids").alias("wids"))
-    rest = near.where("hids is null").drop("hids").join(tail, "word").select("doc_key", "positions", "wids")
-    spread = hot.unionByName(rest)
     kind = dict(docs.dtypes)["doc_key"]
-    got = spread.select("doc_key", "positions", "wids").repartition("doc_key").sortWithinPartitions("doc_key").mapInArrow(_reassemble, f"doc_key {kind}, ids array<int>")
-    empty = F.array().cast("array<int>")
-    blank = docs.where("doc_text is null or length(doc_text) = 0").select(F.col("doc_key").alias(key), empty.alias("ids"))
+    pre = written(pretokens(docs, chunk_chars), "pretokens")
+    rows = pre.where("no is not null").select("chunk", "no", "word").repartition("word").sortWithinPartitions("word")
+    coded = rows.mapInArrow(_encode_words(path), "chunk long, no int, wids array<int>")
+    none = F.lit(None)
+    both = coded.select("chunk", "no", "wids", none.cast(kind).alias("doc_key"), none.cast("array<int>").alias("codes")).unionByName(pre.where("no is null").select("chunk", "no", none.cast("array<int>").alias("wids"), "doc_key", "codes"))
+    got = both.repartition("chunk").sortWithinPartitions("chunk", F.col("no").asc_nulls_last()).mapInArrow(_reassemble, f"doc_key {kind}, ids array<int>")
+    blank = docs.where("doc_text is null or length(doc_text) = 0").select(F.col("doc_key").alias(key), F.array().cast("array<int>").alias("ids"))
     return got.select(F.col("doc_key").alias(key), "ids").unionByName(blank)
 
 
-def _counted(path: str):
-    encoder = _encoder(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Array] = []
-
-        def words() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                kept.append(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0)], names=["word"])
-
-        for out in encoder(words()):
-            yield pa.RecordBatch.from_arrays([out.column(0), kept.pop(0), out.column(1)], names=["word", "n", "wids"])
-
-    return run
-
-
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizers: str = TOKENIZERS_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, text): joins each position's id with the token-byte table and reassembles the text.
 
