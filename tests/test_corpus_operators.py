@@ -53,7 +53,7 @@ def forest_rows(seed, chain=False):
     return rows + [("a", None, "e0", 5), ("c", "x", "x", 1)]
 
 
-@pytest.mark.parametrize("seed,chain,chunk,small", [(1, False, 1 << 16, 1000), (2, False, 6, 10), (3, True, 2, 0), (4, False, 1, 0)])
+@pytest.mark.parametrize("seed,chain,chunk,small", [(1, False, 1 << 16, 1000), (5, True, 1 << 16, 1000), (2, False, 6, 10), (3, True, 2, 0), (4, False, 1, 0)])
 def test_forest(spark, seed, chain, chunk, small):
     rows = forest_rows(seed, chain)
     want = brute_forest(rows)
@@ -71,6 +71,7 @@ def test_forest_by_pointer_doubling(spark):
     parent = {f"e{i}": f"e{i - 1}" if i else None for i in range(30)} | {"f": "e12", "x": "y", "y": "x", "z": "x", "alone": None}
     w = {k: 1 + i % 3 for i, k in enumerate(parent)}
     sz = {k: 1 + i % 5 for i, k in enumerate(parent)}
+    assert {r.key: len(r.prefix) for r in _double(spark.createDataFrame([(k, p, 1, 1, [k]) for k, p in parent.items()], "key string, pkey string, sz long, w0 long, seg array<string>"), 1, True, 1 << 20).where("looped").collect()} == {"x": 0, "y": 0, "z": 0}
     df = spark.createDataFrame([(k, p, sz[k], w[k], [k]) for k, p in parent.items()], "key string, pkey string, sz long, w0 long, seg array<string>")
     got = {r.key: r for r in _double(df, 1, True, len(parent)).collect()}
     total = dict(sz)

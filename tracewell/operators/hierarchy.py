@@ -6,8 +6,9 @@ stays in one.  Inside a partition parent chains are contracted to *fragments*:
 every node learns its fragment's top (the exit), its distance to it, and whether
 its chain loops locally.  Fragment tops whose parent lies in another partition
 form a smaller quotient forest, whose edges weigh as much as the contracted
-chains; it is solved by the same step with wider ranges, until nothing crosses
-partitions.  Then fragment results are expanded: root, depth and path are
+chains; numbered anew, it is solved by the same step, a range now covering what
+many did before, until nothing crosses partitions.  A range has at most
+``CHUNK_ROWS`` rows at every level (at the first if orders are not shared).  Then fragment results are expanded: root, depth and path are
 prefixed, subtree totals are attached at the exits' parents and summed
 more in the touched fragments only.  A loop inside a partition shows in the
 first step, a loop across partitions shows as a loop of the quotient.
@@ -26,17 +27,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.prefix import running_sums
 from tracewell.session import written
 
 #: Rows of one group's append range that are contracted together.
 CHUNK_ROWS = 1 << 16
 #: A quotient of at most so many rows is solved in one partition.
 SMALL_ROWS = 200_000
+#: Entries of paths that a task holds before it passes them on.
+PATH_ITEMS = 500_000
 SEP = "\x1f"
 
 
-def _solve_table(t: pa.Table, weights: int, path: bool) -> dict:
-    """Contract the chains of one table: top, sums, loop flag and subtree totals of each row."""
+def _solve_table(t: pa.Table, weights: int) -> dict:
+    """Contract the chains of one table: parent, top, sums, loop flag and subtree totals of each row.
+
+    Everything is pointer doubling on arrays: log2 of the longest chain rounds.
+    """
     n = t.num_rows
     keys = t["key"].combine_chunks()
     parent = pc.index_in(t["pkey"].combine_chunks(), value_set=keys).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -52,35 +59,47 @@ def _solve_table(t: pa.Table, weights: int, path: bool) -> dict:
             a += a[top]
         top = nxt
     looped = parent[top] >= 0
-    # bottom-up totals and top-down paths need one visit of each row, deepest first
-    depth = acc[0].copy()
-    depth[looped] = 0
-    total = t["sz"].to_numpy().astype(np.int64).tolist()
-    par = parent.tolist()
-    # distance in rows, not in weights, orders children before parents
-    hops = np.where(parent >= 0, 1, 0).astype(np.int64)
-    jump = np.where(parent >= 0, parent, idx)
-    for _ in range(int(n).bit_length() + 1):
-        nxt = jump[jump]
-        if np.array_equal(nxt, jump):
-            break
-        hops += hops[jump]
-        jump = nxt
-    live = np.flatnonzero(~looped)
-    order = live[np.argsort(-hops[live], kind="stable")].tolist()
-    for i in order:
-        p = par[i]
-        if p >= 0:
-            total[p] += total[i]
-    out = {"parent": parent, "top": top, "acc": acc, "looped": looped, "total": total}
-    if path:
-        seg = t["seg"].to_pylist()
-        paths: list = [None] * n
-        for i in reversed(order):
-            p = par[i]
-            paths[i] = (paths[p] + seg[i]) if p >= 0 else []
-        out["paths"] = [x if x is not None else [] for x in paths]
-    return out
+    # totals of what lies less than 2^k below, taken over by the ancestor exactly 2^k above
+    total = t["sz"].to_numpy().astype(np.int64)
+    jump = np.where(looped, -1, parent)
+    live = np.flatnonzero(jump >= 0)
+    while len(live):
+        more = total.copy()
+        np.add.at(more, jump[live], total[live])
+        total = more
+        up = np.full(n, -1, dtype=np.int64)
+        up[live] = jump[jump[live]]
+        jump, live = up, live[up[live] >= 0]
+    return {"parent": parent, "top": top, "acc": acc, "looped": looped, "total": total}
+
+
+def _paths(parent: np.ndarray, looped: np.ndarray, seg: pa.Array) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """(rows, their paths below the fragment's top) in runs of bounded size, parents before children.
+
+    Only the path of the row at hand is held, so a chain's paths, which are as
+    long as its depths sum to, are never in memory together.
+    """
+    order = np.argsort(parent, kind="stable")
+    first = np.searchsorted(parent[order], np.arange(-1, len(parent) + 1))
+    rows, out, size = np.flatnonzero(looped).tolist(), [[] for _ in range(int(looped.sum()))], 0
+    for root in np.flatnonzero((parent < 0) & ~looped).tolist():
+        path: list[str] = []
+        stack = [(root, 0)]
+        while stack:
+            i, keep = stack.pop()
+            del path[keep:]
+            if parent[i] >= 0:
+                path += seg[i].as_py()
+            rows.append(i)
+            out.append(path.copy())
+            size += len(path)
+            if size > PATH_ITEMS:
+                yield rows, out
+                rows, out, size = [], [], 0
+            depth = len(path)
+            stack += [(c, depth) for c in order[first[i + 1] : first[i + 2]].tolist()]
+    if rows:
+        yield rows, out
 
 
 def _contract(weights: int, path: bool):
@@ -91,7 +110,7 @@ def _contract(weights: int, path: bool):
         if not got:
             return
         t = pa.Table.from_batches(got).combine_chunks()
-        s = _solve_table(t, weights, path)
+        s = _solve_table(t, weights)
         keys = t["key"].combine_chunks()
         top = pa.array(s["top"])
         is_top = s["parent"] < 0
@@ -113,11 +132,15 @@ def _contract(weights: int, path: bool):
         for k in range(weights):
             w = t[f"w{k}"].combine_chunks()
             cols |= {f"w{k}": w, f"a{k}": pa.array(s["acc"][k]), f"r{k}": w.take(top)}
-        if path:
-            cols["lpath"] = pa.array(s["paths"], pa.list_(pa.string()))
-            cols["seg"] = t["seg"].combine_chunks()
         out = pa.table(cols)
-        yield from out.to_batches(max_chunksize=20_000)
+        if not path:
+            yield from out.to_batches(max_chunksize=20_000)
+            return
+        seg = t["seg"].combine_chunks()
+        for rows, paths in _paths(s["parent"], s["looped"], seg):
+            at = pa.array(rows)
+            part = out.take(at).append_column("lpath", pa.array(paths, pa.list_(pa.string()))).append_column("seg", seg.take(at))
+            yield from part.combine_chunks().to_batches()
 
     return run
 
@@ -128,7 +151,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got:
         return
     t = pa.Table.from_batches(got).combine_chunks()
-    s = _solve_table(t, 1, False)
+    s = _solve_table(t, 1)
     yield from pa.table({"key": t["key"], "total": pa.array(s["total"], pa.int64())}).to_batches(max_chunksize=20_000)
 
 
@@ -140,7 +163,21 @@ def _frag_schema(weights: int, path: bool) -> str:
 
 
 def _double(q: DataFrame, weights: int, path: bool, rows: int) -> DataFrame:
-    """Pointer doubling: exact root, sums, totals; what still points on after log2(rows) rounds loops."""
+    """Pointer doubling: exact root, sums, totals; what still points on after log2(rows) rounds loops.
+
+    Prefixes double with every round, on a loop without end; so loops are found
+    first, without prefixes, and their rows take no part in the prefixes.
+    """
+    if path:
+        looped = written(_double(q, weights, False, rows).where("looped").select("key"), "looped")
+        apart = q.join(looped, "key", "left_semi").withColumn("pkey", F.lit(None).cast("string"))
+        kept = q.join(looped, "key", "left_anti").unionByName(apart)
+        got = _double_rounds(kept, weights, True, rows)
+        return got.join(looped.withColumn("_loop", F.lit(True)), "key", "left").withColumn("looped", F.coalesce("_loop", F.lit(False))).drop("_loop")
+    return _double_rounds(q, weights, False, rows)
+
+
+def _double_rounds(q: DataFrame, weights: int, path: bool, rows: int) -> DataFrame:
     cols = [f"a{k}" for k in range(weights)] + [f"r{k}" for k in range(weights)]
     state = q.select(
         "key",
@@ -176,7 +213,7 @@ def _double(q: DataFrame, weights: int, path: bool, rows: int) -> DataFrame:
 
 def _solve(df: DataFrame, weights: int, path: bool, chunk_rows: int, small_rows: int, before: int | None) -> DataFrame:
     """(key, root, a*, r*, looped, total[, prefix]) and, of level 0, dangling."""
-    prepared = df.withColumn("chunk", F.floor(F.coalesce("ord", F.lit(0)) / F.lit(chunk_rows)).cast("long"))
+    prepared = df.withColumn("chunk", F.floor(F.coalesce(F.col("ord"), F.abs(F.xxhash64("key") % (1 << 40))) / F.lit(chunk_rows)).cast("long"))
     if before is not None and before <= small_rows:
         parted = prepared.withColumn("chunk", F.lit(0).cast("long")).coalesce(1)
     else:
@@ -212,7 +249,10 @@ def _solve(df: DataFrame, weights: int, path: bool, chunk_rows: int, small_rows:
     # a top that hangs from a local loop loops with all that is below it
     q_in = quotient.withColumn("pkey", F.when(~F.col("below_loop"), F.col("pkey"))).drop("below_loop")
     if rows <= small_rows or before is None or rows < 0.7 * before:
-        solved = _solve(q_in, weights, path, chunk_rows * 16, small_rows, rows)
+        if rows > small_rows:
+            # numbered anew within its group, so that a range never holds more rows than before
+            q_in = running_sums(q_in, ["grp"], [F.col("ord"), F.col("key")], {"nth": F.lit(1)}).withColumn("ord", F.col("nth") - 1).drop("nth")
+        solved = _solve(q_in, weights, path, chunk_rows, small_rows, rows)
     else:
         solved = _double(q_in, weights, path, rows)
     bad_roots = quotient.where("below_loop").select(F.col("key").alias("root"), F.lit(True).alias("bad_root")).distinct()

@@ -15,6 +15,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.resolve_forest(nodes).select("session_id", "entry_id", "root_id", "depth", "n_below")
 
 
+def _forest_with_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = load(spark, sf_dir, "graph_entries").select("session_id", "entry_id", "parent_id", "append_ordinal")
+    return hierarchy.resolve_forest(nodes, path=True)
+
+
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full path of every entry, from its root to itself; '' on loops and below them."""
+    return _forest_with_paths(spark, sf_dir).select("session_id", "entry_id", F.array_join("path", "/").alias("path"))
+
+
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry below every entry, with its distance."""
+    return hierarchy.descendants(_forest_with_paths(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of shape against the producer's previous file."""
     return drift.drift(load(spark, sf_dir, "log_lines")).select("file_id", "change", "field_path", "old_path")
@@ -100,7 +115,7 @@ def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("not is_surplus").select("delivery_id", "session_id", "tool_call_id", "run_id", "tool_name", "is_error")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_typed, p3_ingested, p4_found, p4_bridge, p4_objects, p4_sharing, p4_records, *map(_flat, FLAT), p5_found, p5_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_typed, p3_ingested, p4_found, p4_bridge, p4_objects, p4_sharing, p4_records, *map(_flat, FLAT), p5_found, p5_kept)}
 
 _P5_KEYS = """
 WITH k AS (
@@ -155,15 +170,33 @@ def _typed_sql() -> str:
       FROM l LEFT JOIN n USING (file_id, line_no)"""
 
 
-ORACLE = {
-    "p3_typed": _typed_sql(),
-    "p2_found": """
-WITH RECURSIVE f AS (
+#: First rows of entries with the parent that is an entry of the session.
+_LINKS = """WITH RECURSIVE f AS (
   SELECT session_id, entry_id, nullif(parent_id, '') AS parent_id FROM graph_entries
   QUALIFY row_number() OVER (PARTITION BY session_id, entry_id ORDER BY append_ordinal) = 1),
 l AS (
   SELECT f.session_id, f.entry_id, p.entry_id AS parent_id FROM f
-  LEFT JOIN f p ON p.session_id = f.session_id AND p.entry_id = f.parent_id),
+  LEFT JOIN f p ON p.session_id = f.session_id AND p.entry_id = f.parent_id)"""
+
+ORACLE = {
+    "p3_typed": _typed_sql(),
+    "p2_paths": f"""{_LINKS},
+up AS (
+  SELECT session_id, entry_id, entry_id AS path FROM l WHERE parent_id IS NULL
+  UNION ALL
+  SELECT l.session_id, l.entry_id, up.path || '/' || l.entry_id FROM up JOIN l ON l.session_id = up.session_id AND l.parent_id = up.entry_id)
+SELECT l.session_id, l.entry_id, coalesce(up.path, '') AS path FROM l LEFT JOIN up USING (session_id, entry_id)""",
+    "p2_descendants": f"""{_LINKS},
+up AS (
+  SELECT session_id, entry_id FROM l WHERE parent_id IS NULL
+  UNION ALL
+  SELECT l.session_id, l.entry_id FROM up JOIN l ON l.session_id = up.session_id AND l.parent_id = up.entry_id),
+anc AS (
+  SELECT session_id, parent_id AS ancestor, entry_id AS descendant, 1 AS distance FROM up JOIN l USING (session_id, entry_id) WHERE parent_id IS NOT NULL
+  UNION ALL
+  SELECT anc.session_id, l.parent_id, anc.descendant, anc.distance + 1 FROM anc JOIN l ON l.session_id = anc.session_id AND l.entry_id = anc.ancestor WHERE l.parent_id IS NOT NULL)
+SELECT session_id, ancestor, descendant, CAST(distance AS BIGINT) AS distance FROM anc""",
+    "p2_found": f"""{_LINKS},
 up AS (
   SELECT session_id, entry_id, entry_id AS root_id, 0 AS depth FROM l WHERE parent_id IS NULL
   UNION ALL
