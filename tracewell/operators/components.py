@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from tracewell.session import written
 
 
-def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    u, v = t["u"].to_numpy(), t["v"].to_numpy()
+#: Links that are contracted together.
+LOCAL_LINKS = 1 << 21
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.Table:
+    """A star per component of some links: every node but the smallest linked to the smallest."""
     ids, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = codes[: len(u)], codes[len(u) :]
     # ids are sorted, so the smallest code is the smallest id
@@ -43,7 +43,32 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             parent = up
     out = parent != np.arange(len(ids))
-    yield from pa.table({"u": ids[out], "v": ids[parent[out]]}).to_batches(max_chunksize=100_000)
+    return pa.table({"u": ids[out], "v": ids[parent[out]]})
+
+
+def _local_stars(most: int):
+    """mapInArrow step: stars of at most ``most`` links at a time; what they leave to join is joined by the rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            t = pa.Table.from_batches(held)
+            held, n = [], 0
+            yield from _stars(t["u"].to_numpy(), t["v"].to_numpy()).to_batches(max_chunksize=100_000)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= most:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
 
 
 def large_star(e: DataFrame) -> DataFrame:
@@ -66,21 +91,21 @@ def _print(e: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
+def components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, component): the smallest node id of each linked node's component.
 
     ``links`` has long columns u and v, in any direction; repeated links, links
     of a node to itself and null ends do no harm.  Nodes without a link to
     another node do not appear.  Partition ``links`` by locality beforehand: what
-    a partition can decide costs no round.
+    a partition can decide costs no round.  Rounds go on until nothing changes;
+    their number grows with the logarithm of the longest chain.
     """
     clean = links.select("u", "v").where("u is not null and v is not null and u <> v")
-    e = written(clean.mapInArrow(_local_stars, "u long, v long"), "stars")
+    e = written(clean.mapInArrow(_local_stars(local_links), "u long, v long"), "stars")
     before = _print(e)
-    for _ in range(rounds):
+    while True:
         e = written(small_star(large_star(e).distinct()), "stars")
         now = _print(e)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
