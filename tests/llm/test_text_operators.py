@@ -238,7 +238,7 @@ def test_conversations(spark):
     def m(s, o, e, p, role, content="x", calls=(), of=None, kind="message", ts=None):
         return (o + 1000 * hash_of[s], s, o, e, p, kind, ts, None, role, of, content, [("toolCall", None, c, "t") for c in calls])
 
-    hash_of = {k: i for i, k in enumerate(["ok", "tops", "gone", "loop", "role", "empty", "open", "late", "call", "result", "mid"])}
+    hash_of = {k: i for i, k in enumerate(["ok", "tops", "gone", "loop", "role", "empty", "open", "late", "call", "result", "mid", "knot", "pair"])}
     rows = [
         m("ok", 1, "h", "", None, None, kind="model_change"), m("ok", 2, "a", "h", " USER"), m("ok", 3, "b", "a", "assistant", None, ["c1", "c2"]), m("ok", 5, "d", "b", "tool_result", of="c2", ts="1700000000001"),
         m("ok", 4, "c", "b", "ToolResult", of="c1", ts="1700000000002"), m("ok", 6, "e", "c", "Assistant"), m("ok", 9, "e", "zz", "nobody"),
@@ -251,6 +251,10 @@ def test_conversations(spark):
         m("late", 1, "a", None, "user"), m("late", 2, "b", "a", "user"), m("late", 3, "c", "b", "assistant"),
         m("call", 1, "a", None, "user"), m("call", 2, "b", "a", "assistant", None, ["c9"]),
         m("result", 1, "a", None, "user"), m("result", 2, "b", "a", "assistant"), m("result", 3, "c", "b", "toolResult", of="c7"), m("result", 4, "d", "c", "assistant"),
+        # a tree and a loop joined by a quote: as many replies as one tree
+        m("knot", 1, "a", None, "user"), m("knot", 2, "b", "a", "assistant", None, ["k1"]), m("knot", 3, "c", "d", "toolResult", of="k1"), m("knot", 4, "d", "c", "assistant"), m("knot", 5, "e", "b", "assistant"),
+        # two trees joined by a quote
+        m("pair", 1, "a", None, "user"), m("pair", 2, "b", "a", "assistant", None, ["k2"]), m("pair", 3, "c", None, "toolResult", of="k2"), m("pair", 4, "d", "c", "assistant"), m("pair", 5, "e", "b", "assistant"),
         m("mid", 1, "a", None, "user"), m("mid", 2, "x", "a", None, None, kind="future"), m("mid", 3, "b", "x", "assistant"),
     ]
     schema = "row_id long, session_id string, append_ordinal long, entry_id string, parent_id string, entry_type string, ts_raw string, ts timestamp, role string, tool_call_id string, content string, blocks array<struct<type: string, text: string, id: string, name: string>>"

@@ -1,9 +1,10 @@
 """Rebuilding conversations from message rows.
 
-Method: conversations are the connected components of the reply links, found by
-alternating large-star and small-star joins; per component its links, nodes and
-dangling parents tell loops and chains that leave the session.  Messages of the
-remaining sessions are ordered by their distance from the top (parent chains
+Method: conversations are the connected components of the reply links (an entry
+to its parent) and the quote links (a tool result to the message whose call it
+answers), found by alternating large-star and small-star joins; per component its
+reply links, nodes and dangling parents tell what is no single tree.  Messages of
+the remaining sessions are ordered by their distance from the top (parent chains
 contracted by partition) and by instant, numbered by distributed running sums,
 and validated turn by turn.  No step gathers a session in one task.
 """
@@ -33,7 +34,10 @@ def instant(ts: Column, raw: Column) -> Column:
     """Microseconds since the epoch: the clock, else what the raw text says (ISO form or epoch milliseconds)."""
     text = F.trim(raw)
     epoch = F.when(text.rlike(r"^\d{12,14}$"), F.timestamp_millis(text.cast("long")))
-    return F.unix_micros(F.coalesce(ts, epoch, F.when(text.rlike(r"^\d{4}-"), F.try_to_timestamp(text))))
+    # a text without a zone is UTC, whatever the session's zone
+    whole = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
+    read = F.when(text.rlike(r"^\d{4}-"), F.coalesce(F.try_to_timestamp(F.concat(whole, F.lit("Z"))), F.try_to_timestamp(text)))
+    return F.unix_micros(F.coalesce(ts, epoch, read))
 
 
 def message_nodes(messages: DataFrame) -> DataFrame:
@@ -75,14 +79,24 @@ def conversations(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
     """
     nodes = written(message_nodes(messages.where("session_id is not null")), "nodes")
     # reply links
+    chunk = lambda: F.floor(F.col("append_ordinal") / chunk_rows).alias("chunk")
     up = nodes.select("session_id", F.col("entry_id").alias("parent_id"), F.col("row_id").alias("v"))
-    down = nodes.where("parent_id is not null").select("session_id", "parent_id", F.col("row_id").alias("u"), F.floor(F.col("append_ordinal") / chunk_rows).alias("chunk"))
-    links = down.join(up, ["session_id", "parent_id"]).select("session_id", "chunk", "u", "v")
-    links = written(links.repartition("session_id", "chunk"), "replies")
+    down = nodes.where("parent_id is not null").select("session_id", "parent_id", F.col("row_id").alias("u"), chunk())
+    replies = down.join(up, ["session_id", "parent_id"]).select("session_id", "chunk", "u", "v", F.lit(True).alias("reply"))
+
+    # quote links: a tool result to the first message that asked; both without the other break the session
+    msgs = nodes.where("is_msg")
+    calls = msgs.where(F.size("calls") > 0).select("session_id", F.explode("calls").alias("call"), "row_id").groupBy("session_id", "call").agg(F.min("row_id").alias("v"))
+    results = msgs.where("role = 'toolResult'").select("session_id", F.coalesce("result_of", F.lit("")).alias("call"), F.col("row_id").alias("u"), chunk())
+    quotes = calls.join(results, ["session_id", "call"], "full_outer").select("session_id", "chunk", "u", "v", (F.col("call") != "").alias("named"))
+    quotes = written(quotes, "quotes")
+    odd = quotes.where("u is null or v is null or not named").select("session_id")
+    asked = quotes.where("u is not null and v is not null").select("session_id", "chunk", "u", "v", F.lit(False).alias("reply"))
+    links = written(replies.unionByName(asked).repartition("session_id", "chunk"), "links")
     member = components(links)
 
-    # each component: a forest part with loop or with a parent outside is no conversation
-    linked = links.select(F.col("u").alias("row_id"), F.col("v").alias("above"))
+    # each component with a message must be one tree of replies that stays in the session
+    linked = links.where("reply").select(F.col("u").alias("row_id"), F.col("v").alias("above"))
     tagged = nodes.select("session_id", "row_id", "append_ordinal", "is_msg", F.col("parent_id").isNotNull().alias("has_parent"))
     tagged = tagged.join(linked, "row_id", "left").join(member.withColumnRenamed("node", "row_id"), "row_id", "left")
     tagged = written(tagged.withColumn("component", F.coalesce("component", "row_id")), "tagged")
@@ -92,13 +106,9 @@ def conversations(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
         F.count_if(F.col("has_parent") & F.col("above").isNull()).alias("outside"),
         F.count_if("is_msg").alias("messages"),
     )
-    broken_parts = parts.where("messages > 0 and (links >= n or outside > 0)").select("session_id")
+    # fewer links than a tree: several trees, each with a message at its top; more: a loop
+    broken_parts = parts.where("messages > 0 and (links <> n - 1 or outside > 0)").select("session_id")
 
-    # calls and results
-    msgs = nodes.where("is_msg")
-    calls = msgs.where(F.size("calls") > 0).select("session_id", F.explode("calls").alias("call")).distinct().withColumn("c", F.lit(True))
-    results = msgs.where("role = 'toolResult'").select("session_id", F.coalesce("result_of", F.lit("")).alias("call"), F.col("result_of").isNull().alias("none")).distinct().withColumn("r", F.lit(True))
-    odd = calls.join(results, ["session_id", "call"], "full_outer").where("c is null or r is null or none or call = ''").select("session_id")
     plain = msgs.groupBy("session_id").agg(_any(F.col("role").isNull()).alias("no_role"), _any(F.col("speaks") | (F.size("calls") > 0)).alias("filled"))
     bad = reduce(DataFrame.unionByName, [broken_parts, odd, plain.where("no_role or not filled").select("session_id")]).distinct()
     bad = written(bad, "bad")
@@ -106,15 +116,16 @@ def conversations(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
 
     # order: distance from the top, then instant
     forest = resolve_forest(good, "component", "row_id", "above", marks=["is_msg"], unique=True, chunk_rows=chunk_rows)
-    placed = forest.select("row_id", "depth", "above_is_msg")
+    placed = forest.select("row_id", "depth", "above_is_msg", "looped")
     turns = msgs.join(placed, "row_id").select(
-        "session_id", "entry_id", "append_ordinal", "role", "at", "depth", (F.col("above_is_msg") == 0).alias("is_top"), (F.col("speaks") | (F.size("calls") > 0)).alias("replies")
+        "session_id", "entry_id", "append_ordinal", "role", "at", "depth", (F.col("above_is_msg") == 0).alias("is_top"), "looped", (F.col("speaks") | (F.size("calls") > 0)).alias("replies")
     )
     order = [F.col("depth"), F.col("at").asc_nulls_last(), F.col("append_ordinal"), F.col("entry_id")]
+    # a tree and a loop in one component have as many links as one tree; the loop shows here
     numbered = running_sums(turns, ["session_id"], order, {"turn_no": F.lit(1).cast("long"), "segment": (F.col("role") == "user").cast("long")})
-    numbered = written(numbered.select("session_id", "turn_no", "segment", "entry_id", "role", "is_top", "replies"), "turns")
+    numbered = written(numbered.select("session_id", "turn_no", "segment", "entry_id", "role", "is_top", "looped", "replies"), "turns")
     asks = F.max(F.when(F.col("role").isin("user", "toolResult"), F.col("turn_no"))).alias("asks")
     answers = F.max(F.when((F.col("role") == "assistant") & F.col("replies"), F.col("turn_no"))).alias("answers")
-    segments = numbered.groupBy("session_id", "segment").agg(asks, answers, F.count_if("is_top").alias("tops"))
-    late = segments.groupBy("session_id").agg(F.sum("tops").alias("tops"), _any(F.col("asks").isNotNull() & (F.col("answers").isNull() | (F.col("answers") < F.col("asks")))).alias("open"))
-    return numbered.join(late.where("tops > 1 or open").select("session_id"), "session_id", "left_anti").select("session_id", "turn_no", "entry_id", "role")
+    segments = numbered.groupBy("session_id", "segment").agg(asks, answers, F.count_if("is_top").alias("tops"), F.count_if("looped").alias("loops"))
+    late = segments.groupBy("session_id").agg(F.sum("tops").alias("tops"), F.sum("loops").alias("loops"), _any(F.col("asks").isNotNull() & (F.col("answers").isNull() | (F.col("answers") < F.col("asks")))).alias("open"))
+    return numbered.join(late.where("tops > 1 or loops > 0 or open").select("session_id"), "session_id", "left_anti").select("session_id", "turn_no", "entry_id", "role")
