@@ -1,10 +1,13 @@
 """Connected components by alternating large-star and small-star joins.
 
-Links are first contracted inside each partition (a spanning star per local
-component), then large-star and small-star steps alternate until the links no
-longer change; each step is a map-side combined minimum and a join back, so a
-node with a third of all links is never gathered.  Every round is written to
-the shared folder, which cuts the lineage.
+Links are first contracted inside each partition to stars: every node with the
+smallest one that it reaches there.  Nodes that stand in stars of several
+partitions link the centres of these stars; on these links, fewer by what the
+partitions decided, large-star and small-star steps alternate until they no longer
+change, and the stars take over the components of their centres.  Each step is a
+map-side combined minimum and a join back, so a node with a third of all links is
+never gathered.  Every round is written to the shared folder, which cuts the
+lineage.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ LOCAL_LINKS = 1 << 21
 
 
 def _stars(u: np.ndarray, v: np.ndarray) -> pa.Table:
-    """A star per component of some links: every node but the smallest linked to the smallest."""
+    """A star per component of some links: every node with the smallest."""
     ids, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = codes[: len(u)], codes[len(u) :]
     # ids are sorted, so the smallest code is the smallest id
@@ -42,8 +45,7 @@ def _stars(u: np.ndarray, v: np.ndarray) -> pa.Table:
             if np.array_equal(up, parent):
                 break
             parent = up
-    out = parent != np.arange(len(ids))
-    return pa.table({"u": ids[out], "v": ids[parent[out]]})
+    return pa.table({"u": ids, "v": ids[parent]})
 
 
 def _local_stars(most: int):
@@ -101,11 +103,17 @@ def components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     their number grows with the logarithm of the longest chain.
     """
     clean = links.select("u", "v").where("u is not null and v is not null and u <> v")
-    e = written(clean.mapInArrow(_local_stars(local_links), "u long, v long"), "stars")
+    stars = written(clean.mapInArrow(_local_stars(local_links), "u long, v long"), "stars")
+    shared = stars.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("u", "low")
+    e = written(stars.join(shared, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(), "centres")
+    if e.isEmpty():
+        return stars.where("u <> v").select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = _print(e)
     while True:
-        e = written(small_star(large_star(e).distinct()), "stars")
+        e = written(small_star(large_star(e).distinct()), "centres")
         now = _print(e)
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            break
         before = now
+    joined = stars.join(e.select(F.col("u").alias("v"), F.col("v").alias("whole")), "v", "left")
+    return joined.select(F.col("u").alias("node"), F.coalesce("whole", "v").alias("component")).where("node <> component").distinct()
