@@ -112,7 +112,19 @@ def test_delivery(spark):
     assert split.count() == len(rows) and {r.delivery_id for r in split.where("is_surplus").collect()} == {5, 9, 8, 3}
     fresh, ids = delivery.new_deliveries(spark.createDataFrame([("s", "c-1", "r")], "_id0 string, _id1 string, _id2 string"), df)
     assert {r.delivery_id for r in fresh.collect()} == {1, 4, 7} and ids.count() == 3
-    assert delivery.surplus_deliveries(df.limit(0)).count() == 0
+    assert delivery.surplus_deliveries(df.limit(0)).count() == 0 and delivery.split_deliveries(df.limit(0)).count() == 0
+
+
+def test_delivery_ties_and_null_numbers(spark):
+    """Exactly one copy of each message stays, also where numbers repeat or are missing."""
+    rows = [(1, "s", "a", None, "p"), (1, "s", "A", None, "p"), (2, "s", "a", None, "q"), (None, "s", "b", None, "p"), (None, "s", "b", None, "p"), (None, "s", "c", None, "p"), (7, "s", "c", None, "p"), (None, "s", "d", None, "p"), (9, None, None, None, None), (9, None, None, None, None)]
+    df = spark.createDataFrame(rows, "delivery_id long, session_id string, tool_call_id string, run_id string, _tw_id0 string")
+    split = delivery.split_deliveries(df)
+    assert split.columns == [*df.columns, "is_surplus"] and split.count() == len(rows)
+    kept = [(r.delivery_id, (r.tool_call_id or "-").lower()) for r in split.where("not is_surplus").collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a"), (None, "b"), (7, "c"), (None, "d"), (9, "-")], key=str)
+    gone = [r[0] for r in delivery.surplus_deliveries(df).collect()]
+    assert sorted(gone, key=str) == sorted([1, 2, None, None, 9], key=str)
 
 
 def brute_nested(v, path="", elem="", out=None):

@@ -99,13 +99,17 @@ def test_fold_is_idempotent(spark, tmp_path):
 
 
 def test_dedup_across_batches(spark, tmp_path):
-    known = live.StateTable(spark, str(tmp_path / "ids"), "_id0 string, _id1 string, _id2 string")
+    known = live.AppendTable(spark, str(tmp_path / "ids"), "_id0 string, _id1 string, _id2 string")
     out = []
     run = live.dedup_batch(known, lambda df, b: out.extend(r.delivery_id for r in df.collect()))
     schema = "delivery_id long, session_id string, tool_call_id string, run_id string, payload string"
     run(spark.createDataFrame([(1, "s", "a", None, None), (2, "s", "A ", None, None)], schema), 0)
     run(spark.createDataFrame([(3, "s", "a", None, None), (4, "s", "a", "r", None)], schema), 1)
     assert out == [1, 4]
+    again = spark.createDataFrame([(5, "s", "a", "r", None), (6, "s", "b", None, None)], schema)
+    run(again, 2)
+    run(again, 2)
+    assert out == [1, 4, 6] and known.read().count() == 3
 
 
 def test_intervals_stream(spark, tmp_path):

@@ -115,7 +115,15 @@ def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("not is_surplus").select("delivery_id", "session_id", "tool_call_id", "run_id", "tool_name", "is_error")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_typed, p3_ingested, p4_found, p4_bridge, p4_objects, p4_sharing, p4_records, *map(_flat, FLAT), p5_found, p5_kept)}
+def p5_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages received from an instant on that no earlier delivery held, each once."""
+    d = load(spark, sf_dir, "tool_deliveries")
+    new = F.coalesce(F.col("delivered_at") >= F.lit("2026-01-01 00:40:00+00:00").cast("timestamp"), F.lit(False))
+    known = delivery.with_identifiers(d.where(~new)).select("_id0", "_id1", "_id2").distinct()
+    return delivery.new_deliveries(known, d.where(new))[0].select("delivery_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_typed, p3_ingested, p4_found, p4_bridge, p4_objects, p4_sharing, p4_records, *map(_flat, FLAT), p5_found, p5_kept, p5_new)}
 
 _P5_KEYS = """
 WITH k AS (
@@ -217,5 +225,8 @@ FROM l LEFT JOIN up USING (session_id, entry_id) LEFT JOIN c ON c.session_id = l
       TRY_CAST(payload ->> '$.data.schemaVersion' AS BIGINT) AS schema_version FROM run_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'""",
     **{f"p4_{field}": f"WITH RECURSIVE {NESTED_SQL} SELECT record_id, path AS child_path, parent_path, CAST(ordinal AS INT) AS ordinal, {', '.join(_sql_column(n, c) for n, c in cols.items())} FROM w WHERE is_elem AND field = '{field}'" for field, cols in FLAT.items()},
     "p5_found": _P5_KEYS + "SELECT delivery_id FROM n WHERE rn > 1",
+    "p5_new": _P5_KEYS.rsplit("n AS", 1)[0] + """z AS (SELECT *, coalesce(delivered_at >= TIMESTAMPTZ '2026-01-01 00:40:00+00', false) AS fresh FROM k)
+      SELECT delivery_id FROM z WHERE fresh AND NOT EXISTS (SELECT 1 FROM z o WHERE NOT o.fresh AND o.s IS NOT DISTINCT FROM z.s AND o.t IS NOT DISTINCT FROM z.t AND o.r IS NOT DISTINCT FROM z.r)
+      QUALIFY row_number() OVER (PARTITION BY s, t, r ORDER BY delivery_id) = 1""",
     "p5_kept": _P5_KEYS + "SELECT delivery_id, session_id, tool_call_id, run_id, tool_name, is_error FROM n WHERE rn = 1",
 }

@@ -28,11 +28,15 @@ class StateTable:
         self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._path = jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> int:
+    def _batches(self) -> list[int]:
+        """Batches whose version is complete."""
         if not self._fs.exists(self._path(self.path)):
-            return -1
+            return []
         done = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)) if self._fs.exists(self._path(s.getPath(), "_SUCCESS"))]
-        return max((int(n[1:]) for n in done if n.startswith("v") and n[1:].isdigit()), default=-1)
+        return sorted(int(n[1:]) for n in done if n.startswith("v") and n[1:].isdigit())
+
+    def version(self) -> int:
+        return max(self._batches(), default=-1)
 
     def read(self) -> DataFrame:
         v = self.version()
@@ -45,6 +49,17 @@ class StateTable:
             self._fs.delete(self._path(f"{self.path}/v{old}"), True)
 
 
+class AppendTable(StateTable):
+    """A table that only grows: each batch adds its own rows, nothing is rewritten."""
+
+    def read(self) -> DataFrame:
+        done = [f"{self.path}/v{b}" for b in self._batches()]
+        return self.spark.read.schema(self.schema).parquet(*done) if done else self.spark.createDataFrame([], self.schema)
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+
+
 FOLD = "writer_id long, kind string, records long, amount long, cursor long"
 
 
@@ -64,9 +79,10 @@ def fold_batch(state: StateTable) -> Callable[[DataFrame, int], None]:
     return run
 
 
-def dedup_batch(known: StateTable, sink: Callable[[DataFrame, int], None], order: str = "delivery_id", payload: str = "payload") -> Callable[[DataFrame, int], None]:
+def dedup_batch(known: AppendTable, sink: Callable[[DataFrame, int], None], order: str = "delivery_id", payload: str = "payload") -> Callable[[DataFrame, int], None]:
     """foreachBatch: pass on each message the first time it is delivered, in whatever batch.
 
+    Each batch appends the identifiers new to it; those of earlier batches stay as written.
     ``sink`` must be idempotent by batch number.
     """
 
@@ -76,7 +92,7 @@ def dedup_batch(known: StateTable, sink: Callable[[DataFrame, int], None], order
         seen = known.read()
         fresh, ids = delivery.new_deliveries(seen, batch, order, payload)
         sink(fresh, batch_id)
-        known.write(seen.unionByName(ids), batch_id)
+        known.write(ids, batch_id)
 
     return run
 
