@@ -124,12 +124,14 @@ def test_quality_chunks_and_verdicts(spark, sf_dir):
     common = quality.common_word_list(load(spark, sf_dir, "common_words"))
     prose = "".join(f"The answer {i} is short: the parent link points nowhere, and that is what we saw in it. " for i in range(30))
     texts = [None, "", " \n ", prose, "- a b\n- c d\n" * 40, "| run | ok |\n" * 30, "x" * 900, "click here " * 200, "l'heure c'est\r\nn'a rien à dire.\rfin", "昨日、古い報告が見つかりました。", "one\n" + prose, "the same words are the same words " * 90, ("a" * 39 + " " + "b" * 60 + "-") * 20]
+    # deeply indented entries, and long runs that differ or repeat
+    texts += [(" " * 60 + "- milk  and  eggs\n") * 30, " ".join("".join(random.Random(i % 25).choices("abcé", k=70)) for i in range(250)), ("w" * 90 + " ") * 40, "-" + " " * 50 + "Bob : the note is what we saw in it, and that is it\n"]
     df = spark.createDataFrame([(i, t, "w") for i, t in enumerate(texts)], DOCS)
     whole = {tuple(r) for r in quality.quality_counts(df, common).collect()}
     for chunk, fan in ((50, 3), (7, 64), (1000, 2)):
         assert {tuple(r) for r in quality.quality_counts(df, common, chunk, fan).collect()} == whole
     verdict = {r.doc_id: r.verdict for r in quality.quality_report(quality.quality_counts(df, common)).collect()}
-    assert [verdict[i] for i in range(len(texts))] == ["blank", "blank", "blank", "prose", "list", "table", "junk", "junk", "prose", "prose", "prose", "junk", "junk"]
+    assert [verdict[i] for i in range(len(texts))] == ["blank", "blank", "blank", "prose", "list", "table", "junk", "junk", "prose", "prose", "prose", "junk", "junk", "list", "junk", "junk", "prose"]
     assert quality.quality_counts(df.limit(0), common).count() == 0
 
 

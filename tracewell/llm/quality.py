@@ -34,13 +34,16 @@ LONG_WORDS = 12
 KANA_SHARE = 0.15
 #: A line of at most so many different words, each used ten times, is endless repetition.
 FEW_WORDS = 16
+#: Runs of up to so many characters are kept as they are, longer ones as a digest.
 EDGE = 40
-PREFIX = 32
+#: A line's start after its indent, white space counted once: longer than any list mark and speaker.
+PREFIX = 40
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 RUN = re.compile(r"(?:(?!_)[\w'’])*")
 RUNS = re.compile(r"(?:(?!_)[\w'’])+")
-LONG = "\0long"
+PRIME = (1 << 61) - 1
+SPACE = re.compile(r"\s+")
 BREAK = re.compile(r"\r\n|\r|\n")
 BULLET = re.compile(r"^\s*(?:[-*+•–—◦▪·]|#\d{1,4}[.):]?|\d{1,4}[.):]|\(\w{1,4}\)|[a-zA-Z][.)]|[ivxIVX]+[.)])\s+")
 SPEAKER = re.compile(r"^\s*(?:[-*+•–—]\s+)?(?:\*\*)?\w{1,12}(?:\*\*)?\s*:\s")
@@ -51,9 +54,36 @@ CELL = re.compile(r"[|\t;,<]")
 END = frozenset(".!?。！？…:\"'”»)")
 
 
-def _seen(run: str) -> str:
-    """What a run is remembered by; all long ones are alike."""
-    return run.lower() if len(run) <= EDGE else LONG
+def _digest(run) -> list[int]:
+    """[hash, bytes] of a run; the hash of a concatenation follows from those of its parts."""
+    if isinstance(run, list):
+        return run
+    raw = run.casefold().encode("utf-8", "surrogatepass")
+    return [int.from_bytes(raw, "big") % PRIME, len(raw)]
+
+
+def _run(text: str):
+    return text if len(text) <= EDGE else _digest(text)
+
+
+def _cat(a, b):
+    """The run that two neighbouring pieces of it make."""
+    if isinstance(a, str) and isinstance(b, str) and len(a) + len(b) <= EDGE:
+        return a + b
+    (ha, na), (hb, nb) = _digest(a), _digest(b)
+    return [(ha * pow(256, nb, PRIME) + hb) % PRIME, na + nb]
+
+
+def _seen(run) -> str:
+    """What a run is remembered by."""
+    return run.lower() if isinstance(run, str) else f"\0{run[0]}:{run[1]}"
+
+
+def _start(text: str, strip: bool) -> str:
+    """The first ``PREFIX`` characters, white space counted once."""
+    t = text.lstrip() if strip else text
+    got = SPACE.sub(" ", t[: 4 * PREFIX])[:PREFIX]
+    return got if len(got) == PREFIX or len(t) <= 4 * PREFIX else SPACE.sub(" ", t)[:PREFIX]
 
 
 def _few(runs) -> list[str]:
@@ -63,7 +93,7 @@ def _few(runs) -> list[str]:
 class Fragment:
     """Counts of a piece of one line, closed under concatenation."""
 
-    __slots__ = ("chars", "words", "letters", "common", "kana", "han", "symbols", "digits", "solid", "prefix", "last", "head", "tail", "whole", "seen", "cells", "spaces")
+    __slots__ = ("chars", "words", "letters", "common", "kana", "han", "symbols", "digits", "solid", "prefix", "raw", "last", "head", "tail", "first_run", "last_run", "whole", "seen", "cells", "spaces")
 
     def __init__(self, text: str, common: frozenset[str]):
         found = WORD.findall(text)
@@ -77,17 +107,20 @@ class Fragment:
         self.digits = sum(map(str.isdigit, text))
         stripped = text.rstrip()
         self.solid = bool(stripped)
-        self.prefix = text[:PREFIX]
+        self.prefix, self.raw = _start(text, True), _start(text, False)
         self.last = stripped[-1:]
         self.head = RUN.match(text, 0, EDGE + 1).group()
         self.tail = RUN.match(text[: -EDGE - 2 : -1]).group()[::-1]
-        self.whole = len(text) <= EDGE and self.head == text
+        head = self.head if len(self.head) <= EDGE else RUN.match(text).group()
+        tail = self.tail if len(self.tail) <= EDGE else RUN.match(text[::-1]).group()[::-1]
+        self.first_run, self.last_run = _run(head), _run(tail)
+        self.whole = len(head) == len(text)
         inner = RUNS.findall(text)
         if self.head and inner:
             inner.pop(0)
         if self.tail and inner:
             inner.pop()
-        self.seen = _few(map(_seen, inner))
+        self.seen = _few(_seen(_run(x)) for x in inner)
         self.cells = len(CELL.findall(text))
         self.spaces = text.count(" ")
 
@@ -97,13 +130,9 @@ class Fragment:
             setattr(out, k, getattr(self, k) + getattr(other, k))
         seen = {*self.seen, *other.seen}
         # a run of word characters is known once it is closed on both sides
-        if self.tail and other.head:
-            if not self.whole and not other.whole:
-                seen.add(_seen(self.tail + other.head))
-        elif self.tail and not self.whole:
-            seen.add(_seen(self.tail))
-        elif other.head and not other.whole:
-            seen.add(_seen(other.head))
+        joint = _cat(self.last_run, other.first_run)
+        if not self.whole and not other.whole and joint != "":
+            seen.add(_seen(joint))
         if self.tail and other.head:
             # the cut word (and apostrophes beside it) counts as it stands in the whole text
             for text, sign in ((self.tail, -1), (other.head, -1), (self.tail + other.head, 1)):
@@ -113,11 +142,14 @@ class Fragment:
                 out.common += sign * sum(1 for w in found if w.lower() in common)
         out.seen = _few(seen)
         out.solid = self.solid or other.solid
-        out.prefix = (self.prefix + other.prefix)[:PREFIX] if self.chars < PREFIX else self.prefix
+        out.prefix = self.prefix if len(self.prefix) == PREFIX else SPACE.sub(" ", self.prefix + other.raw)[:PREFIX] if self.prefix else other.prefix
+        out.raw = self.raw if len(self.raw) == PREFIX else SPACE.sub(" ", self.raw + other.raw)[:PREFIX]
         out.last = other.last or self.last
         out.head = (self.head + other.head)[: EDGE + 1] if self.whole else self.head
         out.tail = (self.tail + other.tail)[-EDGE - 1 :] if other.whole else other.tail
-        out.whole = self.whole and other.whole and self.chars + other.chars <= EDGE
+        out.first_run = joint if self.whole else self.first_run
+        out.last_run = joint if other.whole else other.last_run
+        out.whole = self.whole and other.whole
         return out
 
     def dump(self) -> list:
@@ -136,10 +168,10 @@ class Fragment:
             return "prose"
         share = self.common / self.words if self.words else 0.0
         bullet = BULLET.match(self.prefix) is not None and SPEAKER.match(self.prefix) is None
-        seen = {*self.seen, *(_seen(x) for x in (self.head, self.tail) if x)}
+        seen = {*self.seen, *(_seen(x) for x in (self.first_run, self.last_run) if x != "")}
         few = len(seen) <= FEW_WORDS and self.words >= 10 * max(1, len(seen))
         if not bullet and not few and self.letters <= LONG_WORDS * self.words:
-            like = self.prefix.lstrip()[:1].isupper() or self.last in (".", "!", "?")
+            like = self.prefix[:1].isupper() or self.last in (".", "!", "?")
             if share >= COMMON_SHARE or (share >= SENTENCE_SHARE and like and self.words >= 5 and self.symbols <= 0.1 * self.letters):
                 return "prose"
         if few:
