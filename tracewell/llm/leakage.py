@@ -13,10 +13,12 @@ shared ones bound the similarity from above, and every pair of windows whose
 bound reaches ``SIMILAR`` is verified.  Compared are windows of ``WINDOW`` words
 with each other and windows of an item's size with the whole item.
 
-The items are the stated query set: their index is built once and sent to the
-executors in blocks of at most ``BLOCK_WINDOWS`` windows (about 200 bytes each),
-however many items there are.  The corpus is read once per block and never
-shuffled; only found pairs are.
+The items are the stated query set: they are searched in blocks of at most
+``BLOCK_WINDOWS`` windows (about 200 bytes each) and one item, however many items
+there are.  Shingle weights are counted over all items by an aggregation; the
+driver and the executors hold one block at a time, with the weights of its own
+shingles.  The corpus is read once per block and never shuffled; only found pairs
+are.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.prefix import running_sums
+from tracewell.session import written
+
 WINDOW = 12
 SHINGLE = 5
 RADIUS = 3
@@ -284,15 +289,54 @@ class ItemIndex:
         return found
 
 
+def weight(items: int, holders: int) -> int:
+    """Integer weight of a shingle: 1 + log2(items / items that hold it), times eight."""
+    return int(round(8 * (1 + np.log2(items / holders))))
+
+
 def shingle_weights(items: list[tuple[int, str]]) -> tuple[dict[int, int], int]:
-    """Integer weight of each shingle of the items: 1 + log2(items / items that hold it), times eight."""
+    """The weight of each shingle of some items, and of one that a single item holds."""
     df: Counter[int] = Counter()
     cache: dict[str, int] = {}
     for _, text in items:
         df.update(set(shingle_codes(word_codes(words_of(text), cache)).tolist()))
     n = max(1, len(items))
-    weigh = lambda d: int(round(8 * (1 + np.log2(n / d))))
-    return {s: weigh(d) for s, d in df.items()}, weigh(1)
+    return {s: weight(n, d) for s, d in df.items()}, weight(n, 1)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text, size): each item's windows, one at least."""
+    for batch in batches:
+        size = [max(0, len(words_of(t)) - WINDOW + 1) + 1 for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64())], names=["item_id", "text", "size"])
+
+
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, shingle): each distinct shingle of each item, as a signed number."""
+    cache: dict[str, int] = {}
+    for batch in batches:
+        for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            s = np.unique(shingle_codes(word_codes(words_of(text.as_py()), cache))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), block)), pa.array(s)], names=["block", "shingle"])
+        if len(cache) > 500_000:
+            cache.clear()
+
+
+def item_blocks(items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> Iterator[ItemIndex]:
+    """The indexes of all items, block by block."""
+    given = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    sized = running_sums(given.mapInArrow(_sizes, "item_id long, text string, size long"), [], [F.col("item_id"), F.xxhash64("text")], {"upto": F.col("size")})
+    placed = written(sized.select("item_id", "text", F.floor((F.col("upto") - F.col("size")) / block_windows).alias("block")), "items")
+    n, last = placed.agg(F.count(F.lit(1)), F.max("block")).first()
+    if not n:
+        return
+    each = written(placed.select("block", "text").mapInArrow(_item_shingles, "block long, shingle long"), "shingles")
+    held = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "weights")
+    for block in range(last + 1):
+        rows = [tuple(r) for r in placed.where(F.col("block") == block).select("item_id", "text").collect()]
+        own = held.join(each.where(F.col("block") == block), "shingle", "left_semi").toArrow()
+        shingles = own["shingle"].to_numpy().view(np.uint64).tolist()
+        yield ItemIndex(rows, {s: weight(n, d) for s, d in zip(shingles, own["n"].to_pylist())}, weight(n, 1))
 
 
 def _finder(shared, near):
@@ -323,23 +367,10 @@ def leaks(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS,
     empty texts, and texts of fewer words than a window, hold and leak nothing.
     Repeated rows of a doc_id count as one document.
     """
-    spark = docs.sparkSession
-    # the stated query set, in blocks of bounded size; shingle weights are over all items
-    rows = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator()]
-    weights, top = shingle_weights(rows)
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for item, text in rows:
-        n = max(0, len(words_of(text)) - WINDOW + 1)
-        if blocks[-1] and size + n > block_windows:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += n
     corpus = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= 2 * WINDOW - 1)
-    out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(ItemIndex(block, weights, top))
-        got = corpus.mapInArrow(_finder(shared, near), "doc_id long, item_id long, exact boolean, similarity double, windows long")
-        out = got if out is None else out.unionByName(got)
+    schema = "doc_id long, item_id long, exact boolean, similarity double, windows long"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for n, index in enumerate(item_blocks(items, block_windows)):
+        got = corpus.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(index), near), schema)
+        out = got if n == 0 else out.unionByName(got)
     return out.groupBy("doc_id", "item_id").agg(F.max("exact").alias("exact"), F.max("similarity").alias("similarity"), F.sum("windows").alias("windows"))
