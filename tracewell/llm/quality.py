@@ -32,8 +32,9 @@ SENTENCE_SHARE = 0.08
 LONG_WORDS = 12
 #: Least share of kana among a line's Japanese characters.
 KANA_SHARE = 0.15
-#: A line of at most so many different words, each used ten times, is endless repetition.
+#: A line of at most so many different words, each used ``LEAST_REPEATED`` times, is endless repetition.
 FEW_WORDS = 16
+LEAST_REPEATED = 10
 #: Runs of up to so many characters are kept as they are, longer ones as a digest.
 EDGE = 40
 #: A line's start after its indent, white space counted once: longer than any list mark and speaker.
@@ -41,7 +42,7 @@ PREFIX = 40
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 RUN = re.compile(r"(?:(?!_)[\w'’])*")
-RUNS = re.compile(r"(?:(?!_)[\w'’])+")
+RUNS = re.compile(r"[\w'’]+")
 PRIME = (1 << 61) - 1
 SPACE = re.compile(r"\s+")
 BREAK = re.compile(r"\r\n|\r|\n")
@@ -82,6 +83,9 @@ def _seen(run) -> str:
 def _start(text: str, strip: bool) -> str:
     """The first ``PREFIX`` characters, white space counted once."""
     t = text.lstrip() if strip else text
+    got = t[:PREFIX]
+    if got.isascii() and got.isprintable() and "  " not in got:
+        return got
     got = SPACE.sub(" ", t[: 4 * PREFIX])[:PREFIX]
     return got if len(got) == PREFIX or len(t) <= 4 * PREFIX else SPACE.sub(" ", t)[:PREFIX]
 
@@ -95,34 +99,44 @@ class Fragment:
 
     __slots__ = ("chars", "words", "letters", "common", "kana", "han", "symbols", "digits", "solid", "prefix", "raw", "last", "head", "tail", "first_run", "last_run", "whole", "seen", "cells", "spaces")
 
-    def __init__(self, text: str, common: frozenset[str]):
+    def __init__(self, text: str, common: frozenset[str], joins: bool):
+        """``joins`` is false for a whole line: what only a neighbouring piece asks for is left out."""
         found = WORD.findall(text)
         self.chars = len(text)
         self.words = len(found)
         self.letters = sum(map(len, found))
-        self.common = sum(1 for w in found if w.lower() in common)
+        self.common = sum(map(common.__contains__, map(str.lower, found)))
         self.kana = len(KANA.findall(text)) if not text.isascii() else 0
         self.han = len(HAN.findall(text)) if not text.isascii() else 0
         self.symbols = len(SYMBOL.findall(text))
         self.digits = sum(map(str.isdigit, text))
         stripped = text.rstrip()
         self.solid = bool(stripped)
-        self.prefix, self.raw = _start(text, True), _start(text, False)
+        self.prefix = _start(text, True)
         self.last = stripped[-1:]
+        if joins or self.words >= LEAST_REPEATED:
+            self.edges(text, joins)
+        else:
+            self.seen, self.first_run, self.last_run = [], "", ""
+        self.cells = len(CELL.findall(text))
+        self.spaces = text.count(" ")
+
+    def edges(self, text: str, joins: bool) -> None:
+        """The runs of word characters: those inside, and the two that may go on."""
         self.head = RUN.match(text, 0, EDGE + 1).group()
         self.tail = RUN.match(text[: -EDGE - 2 : -1]).group()[::-1]
         head = self.head if len(self.head) <= EDGE else RUN.match(text).group()
         tail = self.tail if len(self.tail) <= EDGE else RUN.match(text[::-1]).group()[::-1]
         self.first_run, self.last_run = _run(head), _run(tail)
-        self.whole = len(head) == len(text)
-        inner = RUNS.findall(text)
+        inner = RUNS.findall(text.replace("_", " "))
         if self.head and inner:
             inner.pop(0)
         if self.tail and inner:
             inner.pop()
-        self.seen = _few(_seen(_run(x)) for x in inner)
-        self.cells = len(CELL.findall(text))
-        self.spaces = text.count(" ")
+        self.seen = _few(map(str.lower, inner)) if len(max(inner, key=len, default="")) <= EDGE else _few([_seen(_run(x)) for x in inner])
+        if joins:
+            self.whole = len(head) == len(text)
+            self.raw = _start(text, False)
 
     def join(self, other: Fragment, common: frozenset[str]) -> Fragment:
         out = object.__new__(Fragment)
@@ -169,7 +183,7 @@ class Fragment:
         share = self.common / self.words if self.words else 0.0
         bullet = BULLET.match(self.prefix) is not None and SPEAKER.match(self.prefix) is None
         seen = {*self.seen, *(_seen(x) for x in (self.first_run, self.last_run) if x != "")}
-        few = len(seen) <= FEW_WORDS and self.words >= 10 * max(1, len(seen))
+        few = self.words >= LEAST_REPEATED * max(1, len(seen)) and len(seen) <= FEW_WORDS
         if not bullet and not few and self.letters <= LONG_WORDS * self.words:
             like = self.prefix[:1].isupper() or self.last in (".", "!", "?")
             if share >= COMMON_SHARE or (share >= SENTENCE_SHARE and like and self.words >= 5 and self.symbols <= 0.1 * self.letters):
@@ -189,13 +203,13 @@ class State:
 
     __slots__ = ("n", "first", "last")
 
-    def __init__(self, text: str, common: frozenset[str]):
+    def __init__(self, text: str, common: frozenset[str], joins: bool = True):
         parts = BREAK.split(text)
         self.n = dict.fromkeys(COUNTS, 0)
-        self.first = Fragment(parts[0], common)
-        self.last = Fragment(parts[-1], common) if len(parts) > 1 else None
+        self.first = Fragment(parts[0], common, joins)
+        self.last = Fragment(parts[-1], common, joins) if len(parts) > 1 else None
         for line in parts[1:-1]:
-            self.close(Fragment(line, common))
+            self.close(Fragment(line, common, False))
 
     def close(self, f: Fragment) -> None:
         n = self.n
@@ -244,7 +258,7 @@ def _stats_batch(ids: list, rows: list[dict]) -> pa.RecordBatch:
 def _whole(common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _stats_batch(b.column(0).to_pylist(), [State(t.as_py() or "", common).finish() for t in b.column(1)])
+            yield _stats_batch(b.column(0).to_pylist(), [State(t.as_py() or "", common, False).finish() for t in b.column(1)])
 
     return run
 
