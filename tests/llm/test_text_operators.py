@@ -115,9 +115,9 @@ def test_near_leaks_against_brute_force(spark, monkeypatch):
     assert exact == {(r.doc_id, r.item_id) for r in leakage.leaks(df, it, near=False).where("exact").collect()}
     rows = [(i, t) for i, t in items if t is not None]
     index = leakage.ItemIndex(rows, *leakage.shingle_weights(rows))
-    whole = [index.search_near(t, {}) for _, t in docs]
+    whole = [index.search_near(t, leakage.Codes()) for _, t in docs]
     monkeypatch.setattr(leakage, "SHARED", 3)
-    assert [index.search_near(t, {}) for _, t in docs] == whole
+    assert [index.search_near(t, leakage.Codes()) for _, t in docs] == whole
 
 
 def test_quality_chunks_and_verdicts(spark, sf_dir):

@@ -56,14 +56,16 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def word_codes(words: list[str], cache: dict[str, int]) -> np.ndarray:
-    out = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+class Codes(dict):
+    """Word -> 64-bit code, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+
+def word_codes(words: list[str], cache: Codes) -> np.ndarray:
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,7 +105,7 @@ class ItemIndex:
     """Fingerprints of some items' windows, by block."""
 
     def __init__(self, items: list[tuple[int, str]], weights: dict[int, int], top: int):
-        cache: dict[str, int] = {}
+        cache = Codes()
         self.ids: list[int] = []
         self.words: list[list[str]] = []
         self.known = np.array(sorted(weights), dtype=np.uint64)
@@ -159,6 +161,12 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
         return np.where(self.known[at] == shingles, self.weight[at], self.top).astype(np.int32)
 
+    def knows(self, shingles: np.ndarray) -> np.ndarray:
+        """Which shingles some item holds."""
+        if not len(self.known):
+            return np.zeros(len(shingles), dtype=bool)
+        return self.known[np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)] == shingles
+
     def near(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (position in h, window of the index) within RADIUS bits."""
         left, right = [], []
@@ -243,7 +251,7 @@ class ItemIndex:
             out.append(sim[sim >= SIMILAR])
         return np.concatenate(out)
 
-    def search_near(self, text: str | None, cache: dict[str, int]) -> dict[int, tuple[bool, float, int]]:
+    def search_near(self, text: str | None, cache: Codes) -> dict[int, tuple[bool, float, int]]:
         """As ``search``, with all window pairs at least SIMILAR."""
         found: dict[int, tuple[bool, float, int]] = {}
         words = words_of(text)
@@ -266,20 +274,31 @@ class ItemIndex:
                 found[self.ids[n]] = (old[0], max(old[1], float(sim.max())), old[2] + len(sim))
         return found
 
-    def search(self, text: str | None, cache: dict[str, int]) -> dict[int, tuple[bool, float, int]]:
+    def search(self, text: str | None, cache: Codes) -> dict[int, tuple[bool, float, int]]:
         """item -> (twelve equal words?, best similarity, windows) of one text."""
         found: dict[int, tuple[bool, float, int]] = {}
         words = words_of(text)
         for at in range(0, max(1, len(words) - WINDOW + 1), SLICE):
             part = words[at : at + SLICE + WINDOW - 1]
             s = shingle_codes(word_codes(part, cache))
+            # a window that shares no shingle with any item is similar to none: it needs no fingerprint
+            known = np.flatnonzero(self.knows(s))
+            if not len(known):
+                continue
+            per = WINDOW - SHINGLE + 1
+            lo, hi = max(0, int(known[0]) - per + 1), min(len(s), int(known[-1]) + per)
+            s = s[lo:hi]
             h = window_hashes(s, self.weigh(s))
             if not len(h):
                 continue
-            pos, win = self.near(h)
+            reach = np.searchsorted(known, np.arange(lo, lo + len(h)))
+            may = np.flatnonzero((reach < len(known)) & (known[np.minimum(reach, len(known) - 1)] < np.arange(lo, lo + len(h)) + per))
+            pos, win = self.near(h[may])
             if not len(pos):
                 continue
-            mine = np.lib.stride_tricks.sliding_window_view(s, WINDOW - SHINGLE + 1)[pos]
+            pos = may[pos]
+            mine = np.lib.stride_tricks.sliding_window_view(s, per)[pos]
+            pos = pos + lo
             sim = self.similarity(mine, win)
             for p, w, x in zip(pos[sim >= SIMILAR].tolist(), win[sim >= SIMILAR].tolist(), sim[sim >= SIMILAR].tolist()):
                 n, i = int(self.owner[w]), int(self.start[w])
@@ -297,7 +316,7 @@ def weight(items: int, holders: int) -> int:
 def shingle_weights(items: list[tuple[int, str]]) -> tuple[dict[int, int], int]:
     """The weight of each shingle of some items, and of one that a single item holds."""
     df: Counter[int] = Counter()
-    cache: dict[str, int] = {}
+    cache = Codes()
     for _, text in items:
         df.update(set(shingle_codes(word_codes(words_of(text), cache)).tolist()))
     n = max(1, len(items))
@@ -313,7 +332,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, shingle): each distinct shingle of each item, as a signed number."""
-    cache: dict[str, int] = {}
+    cache = Codes()
     for batch in batches:
         for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = np.unique(shingle_codes(word_codes(words_of(text.as_py()), cache))).view(np.int64)
@@ -343,7 +362,7 @@ def _finder(shared, near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         search = index.search_near if near else index.search
-        cache: dict[str, int] = {}
+        cache = Codes()
         for batch in batches:
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
