@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import canon, connect
-from tracewell.plans import corpus, evidence, reports, sessions
+from tracewell.plans import corpus, evidence, reports, runs, sessions
 
-QUERIES = corpus.QUERIES | sessions.QUERIES | evidence.QUERIES | reports.QUERIES
-ORACLE = corpus.ORACLE | sessions.ORACLE | evidence.ORACLE | reports.ORACLE
+MODULES = (corpus, sessions, evidence, reports, runs)
+QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
+ORACLE = {n: q for m in MODULES for n, q in m.ORACLE.items()}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

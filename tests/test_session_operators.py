@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracewell.functions import gates
-from tracewell.operators import evidence, facts
+from tracewell.operators import evidence, facts, runs
 from tracewell.sources import tables
 
 
@@ -145,3 +145,42 @@ def test_usage_queries_do_not_read_texts(spark, sf_dir):
     plan = facts.tools(facts.first_entries(tables.entries(spark, sf_dir)))._jdf.queryExecution().executedPlan().toString()
     scan = plan[plan.index("ReadSchema") :].split("\n")[0]
     assert "content" not in scan and "text:string" not in scan
+
+
+OBS = "s string, source string, public_id string, ord long, status string, parent string, agent string, model string, cost double"
+
+
+def test_run_reconciliation(spark):
+    rows = [
+        # latest order wins; the identity field that contradicts itself is null
+        ("a", "x", "p", 1, "running", "r", "bob", "m1", 1.0), ("a", "x", "p", 3, "succeeded", "r", "eve", "m2", None), ("a", "x", "p", 2, "unknown", None, None, "m9", 2.0),
+        # different values at the latest order, two terminal states
+        ("a", "y", None, 1, "failed", "r", "bob", "m1", 1.0), ("a", "y", None, 2, "succeeded", "r", "bob", "m1", 3.0), ("a", "y", None, 2, "unknown", "r", "bob", "m2", 3.0),
+        # running not before the end; several public ids drop the source
+        ("a", "z", None, 1, "succeeded", None, None, None, None), ("a", "z", None, 1, "running", None, None, None, None), ("a", "w", "p1", 1, "running", None, None, None, None), ("a", "w", "p2", 2, "running", None, None, None, None),
+        ("b", "l", None, 1, "running", None, "bob", "m1", None), ("b", "c", "pub", 5, "failed", None, "bob", None, 4.0), ("b", "o", None, 2, "running", None, None, None, None), ("b", "t", "other", 2, "running", None, None, None, None),
+        ("big", "1", None, 1, "running", None, None, None, None), ("big", "2", None, 1, "running", None, None, None, None), ("big", "3", None, 1, "running", None, None, None, None), ("big", "4", None, 1, "running", None, None, None, None),
+    ]
+    obs = spark.createDataFrame(rows, OBS).repartition(3)
+    # l and c merge; o has contradicting aliases; t's alias is carried by no member
+    aliases = spark.createDataFrame([("b", "l", "K", "pub"), ("b", "c", "K", "pub"), ("b", "o", "K", "pub"), ("b", "o", "Q", "pub"), ("b", "t", "T", "pub9"), ("b", "absent", "K", "pubX")], "s string, source string, canonical string, public_id string")
+    got = {(r.s, r.run_key): r for r in runs.reconcile(obs, "s", ["parent", "agent"], ["model", "cost"], aliases, most_runs=3).collect()}
+    assert set(got) == {("a", "s:x"), ("a", "s:y"), ("a", "s:z"), ("b", "c:K"), ("b", "s:o"), ("b", "s:t")}
+    x, y, z, k = got["a", "s:x"], got["a", "s:y"], got["a", "s:z"], got["b", "c:K"]
+    assert (x.parent, x.agent, x.model, x.cost, x.status, x.first_order, x.conflicts, x.observations) == ("r", None, "m2", 2.0, "succeeded", 1, 1, 3)
+    assert (y.model, y.cost, y.status, y.conflicts) == (None, 3.0, "unknown", 2) and (z.status, z.conflicts) == ("unknown", 1)
+    assert (k.status, k.agent, k.model, k.cost, k.public_id, k.first_order, k.conflicts) == ("failed", "bob", "m1", 4.0, "pub", 1, 0) and got["b", "s:t"].public_id == "other"
+    assert runs.reconcile(obs, "s", ["agent"], [], most_sources=3).where("s = 'big'").count() == 0 and runs.reconcile(obs.limit(0), "s", ["agent"], ["model"], aliases).count() == 0
+
+
+def test_notices_and_parents(spark):
+    rows = [(1, "s", "r1", "bob", "ok"), (1, "s", "r2", "my token", "x" * 33), (1, "s", "r3", "a", "b"), (1, "s", "r3", "a", "b"), (1, "s", None, "a", "b"), (2, "s", "zz", "a", "b"), (3, "t", "r1", "a", "b"), *[(4, "s", "r1", "a", "b")] * 6]
+    notices = spark.createDataFrame(rows, "notice_id long, session_id string, run_id string, agent string, state string")
+    launched = spark.createDataFrame([("s", "r1"), ("s", "r2"), ("s", "r3")], "session_id string, run_id string")
+    got = {(r.notice_id, r.run_id): (r.agent, r.state) for r in runs.notice_runs(notices, launched, most=5).collect()}
+    assert got == {(1, "r1"): ("bob", "ok"), (1, "r2"): (None, None)}
+    tree = spark.createDataFrame([(1, "a", None, True), (1, "b", "a", True), (1, "c", "q", False), (1, "d", "c", True), (1, "e", "gone", True), (2, "f", "a", True)], "k int, id string, up string, sel boolean")
+    assert {r.id: r.verdict for r in runs.parent_verdicts(tree, F.col("sel"), ["k"], "id", "up").collect()} == {"a": "none", "b": "in-range", "d": "outside-range", "e": "orchestration-run", "f": "orchestration-run"}
+    u = spark.createDataFrame([("failed", 5, 1.0), ("failed", None, None), ("running", None, 0.5), ("succeeded", 7, None)], "status string, tokens long, cost double").withColumn("g", F.lit(1))
+    r = runs.usage_breakdown(u, ["g"]).first()
+    assert (r.runs, r.with_usage, r.tokens, r.cost, r.failed_cost, r.failed_with_usage, r.failed, r.interrupted) == (4, 3, 12, 1.5, 1.0, 1, 2, 0)

@@ -13,35 +13,6 @@ from tracewell.operators.prefix import running_max, running_sums
 
 
 # -- sub-runs ---------------------------------------------------------------
-def reconcile_runs(obs: DataFrame, identity: Sequence[str], order: str, fixed: Sequence[str], mutable: Sequence[str], status: str = "status") -> DataFrame:
-    """One row per identity from many observations.
-
-    Fixed fields that contradict each other become null.  Of a mutable field the
-    value of the latest order counts; different values at that order make it
-    null.  Terminal statuses that differ, or a running one not before them, make
-    the status unknown.  All of it is one map-side combined aggregation.
-    """
-    terminal = ("succeeded", "failed", "interrupted")
-    term = F.when(F.col(status).isin(*terminal), F.col(status))
-    latest = {m: F.max(F.when(F.col(m).isNotNull(), F.col(order))) for m in mutable}
-    first = obs.groupBy(*identity).agg(
-        *[F.when(F.count_distinct(f) == 1, F.max(f)).alias(f) for f in fixed],
-        *[latest[m].alias(f"_at_{m}") for m in mutable],
-        F.count_distinct(term).alias("_terminals"),
-        F.max(term).alias("_terminal"),
-        F.min(F.when(term.isNotNull(), F.col(order))).alias("_ended"),
-        F.max(F.when(F.col(status) == "running", F.col(order))).alias("_running"),
-        F.count(F.lit(1)).alias("observations"),
-    )
-    st = F.when(F.col("_terminals") > 1, "unknown").when(F.col("_running") >= F.col("_ended"), "unknown").when(F.col("_terminals") == 1, F.col("_terminal")).when(F.col("_running").isNotNull(), "running").otherwise("unknown")
-    out = first.select(*identity, *fixed, st.alias("status"), "observations", *[f"_at_{m}" for m in mutable])
-    if mutable:
-        at_latest = obs.join(out.select(*identity, *[f"_at_{m}" for m in mutable]), list(identity))
-        picks = at_latest.groupBy(*identity).agg(*[F.when(F.count_distinct(F.when(F.col(order) == F.col(f"_at_{m}"), F.col(m))) == 1, F.max(F.when(F.col(order) == F.col(f"_at_{m}"), F.col(m)))).alias(m) for m in mutable])
-        out = out.join(picks, list(identity))
-    return out.drop(*[f"_at_{m}" for m in mutable])
-
-
 def unique_both_ways(claims: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs in which neither side occurs with another partner (aliases, locators, exact keys)."""
     pairs = claims.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
@@ -57,11 +28,6 @@ def fill(persisted: DataFrame, child: DataFrame, key: str, fields: Sequence[str]
     return got.select(*[x for x in persisted.columns if x not in fields], *[F.coalesce(f, f"_c_{f}").alias(f) for f in fields])
 
 
-def usage_breakdown(runs: DataFrame) -> DataFrame:
-    """Non-additive child usage by status."""
-    return runs.groupBy("status").agg(F.count(F.lit(1)).alias("runs"), F.count("tokens").alias("with_usage"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
-
-
 def run_filter(runs: DataFrame, status: str | None = None, model: str | None = None, no_model: bool = False, timed: bool | None = None, text: str | None = None, columns: Sequence[str] = ("agent", "status")) -> DataFrame:
     """Conjunction of the run filters; the text is searched without case in the named columns."""
     if status is not None:

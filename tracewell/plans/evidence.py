@@ -11,36 +11,12 @@ from tracewell.session import load
 from tracewell.sources import tables
 
 
-def _top_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-level results of tool-result payloads as run observations."""
-    from tracewell.operators import nested
-
-    rows = nested.shred_records(load(spark, sf_dir, "run_records")).where(r"is_element and child_path rlike '^message\\.details\\.results\\[[0-9]+\\]$'")
-    get = lambda p, t: F.expr(f"try_cast(get_json_object(body, '$.{p}') as {t})")
-    return rows.select("record_id", F.col("ordinal").cast("bigint").alias("ordinal"), get("agent", "string").alias("agent"), get("runId", "string").alias("run_id"), gates.run_status(get("success", "boolean"), get("state", "string")).alias("status"))
-
-
-def run_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of a record by agent from several observations."""
-    return evidence.reconcile_runs(_top_runs(spark, sf_dir).where("agent is not null"), ["record_id", "agent"], "ordinal", ["run_id"], [])
-
-
-def run_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histogram of run statuses."""
-    return _top_runs(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("runs"), F.count("run_id").alias("named"))
-
-
 def run_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool call and run identifiers that claim only each other."""
     d = load(spark, sf_dir, "tool_deliveries").select(F.concat_ws("/", "session_id", "tool_call_id").alias("call_key"), "run_id").where("run_id is not null")
     return evidence.unique_both_ways(d, "call_key", "run_id")
 
 
-def run_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed runs whose cells contain a text."""
-    return evidence.run_filter(_top_runs(spark, sf_dir), status="failed", text="ER", columns=("agent", "status")).select("record_id", "ordinal", "agent")
-
-
 def unavailable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns without any value."""
     m = load(spark, sf_dir, "messages").where("entry_type = 'custom'").select("provider", "model", "role", "ts_raw", "parent_id")
@@ -280,15 +256,8 @@ _REUSE = """SELECT * REPLACE (CAST(input_cost AS DOUBLE) AS input_cost, CAST(out
   CASE WHEN input_state = 'complete' AND cache_read_state = 'complete' AND cache_write_state = 'complete' THEN 'complete' WHEN input_state = 'unavailable' AND cache_read_state = 'unavailable' AND cache_write_state = 'unavailable' THEN 'unavailable' ELSE 'partial' END AS reuse_state"""
 
 ORACLE = {
-    "run_reconciliation": f"""WITH {_RUNS}, g AS (SELECT record_id, agent, CASE WHEN count(DISTINCT run_id) = 1 THEN max(run_id) END AS run_id,
-        count(DISTINCT status) FILTER (status IN ('succeeded', 'failed', 'interrupted')) AS terminals, max(status) FILTER (status IN ('succeeded', 'failed', 'interrupted')) AS terminal,
-        min(ordinal) FILTER (status IN ('succeeded', 'failed', 'interrupted')) AS ended, max(ordinal) FILTER (status = 'running') AS running, count(*) AS observations
-      FROM o WHERE agent IS NOT NULL GROUP BY ALL)
-      SELECT record_id, agent, run_id, CASE WHEN terminals > 1 THEN 'unknown' WHEN running >= ended THEN 'unknown' WHEN terminals = 1 THEN terminal WHEN running IS NOT NULL THEN 'running' ELSE 'unknown' END AS status, observations FROM g""",
-    "run_status_counts": f"WITH {_RUNS} SELECT status, count(*) AS runs, count(run_id) AS named FROM o GROUP BY 1",
     "run_aliases": """WITH d AS (SELECT DISTINCT concat_ws('/', session_id, tool_call_id) AS call_key, run_id FROM tool_deliveries WHERE run_id IS NOT NULL)
       SELECT call_key, run_id FROM d QUALIFY count(*) OVER (PARTITION BY call_key) = 1 AND count(*) OVER (PARTITION BY run_id) = 1""",
-    "run_search": f"WITH {_RUNS} SELECT record_id, ordinal, agent FROM o WHERE status = 'failed' AND contains(lower(concat_ws(' ', agent, status)), 'er')",
     "unavailable_columns": """WITH m AS (SELECT provider, model, role, ts_raw, parent_id FROM messages WHERE entry_type = 'custom'),
       c AS (SELECT count(*) AS n, count(provider) AS a, count(model) AS b, count(role) AS c, count(ts_raw) AS d, count(parent_id) AS e FROM m)
       SELECT unnest(['provider', 'model', 'role', 'ts_raw', 'parent_id']) AS column, unnest([a, b, c, d, e]) AS values, unnest([n >= 2 AND a = 0, n >= 2 AND b = 0, n >= 2 AND c = 0, n >= 2 AND d = 0, n >= 2 AND e = 0]) AS foldable FROM c""",

@@ -23,15 +23,6 @@ def runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir)
 
 
-def run_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run's parent is a selected run, a run outside the selection, or none."""
-    r = _runs(spark, sf_dir)
-    known = r.select("record_id", F.col("child_path").alias("parent_path"), F.col("status").alias("parent_status"))
-    got = r.join(known, ["record_id", "parent_path"], "left")
-    verdict = F.when(F.col("parent_path") == "", "none").when(F.col("parent_status").isNull(), "unknown").when(F.col("parent_status") == "failed", "outside-range").otherwise("in-range")
-    return got.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("runs"))
-
-
 def run_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Siblings under one container form a group, numbered by first appearance in the record."""
     r = _runs(spark, sf_dir).where("parent_path <> ''")
@@ -119,8 +110,6 @@ _R = f"""{NESTED_SQL}, r AS (SELECT record_id, path AS child_path, parent_path,
 
 ORACLE = {
     "runs_all": f"WITH RECURSIVE {_R} SELECT * FROM r",
-    "run_parents": f"""WITH RECURSIVE {_R} SELECT CASE WHEN r.parent_path = '' THEN 'none' WHEN p.status IS NULL THEN 'unknown' WHEN p.status = 'failed' THEN 'outside-range' ELSE 'in-range' END AS verdict, count(*) AS runs
-      FROM r LEFT JOIN r p ON p.record_id = r.record_id AND p.child_path = r.parent_path GROUP BY 1""",
     "run_containers": f"""WITH RECURSIVE {_R}, g AS (SELECT record_id, parent_path, count(*) AS children, count(*) FILTER (status = 'failed') AS failed FROM r WHERE parent_path <> '' GROUP BY ALL HAVING count(*) >= 2)
       SELECT record_id, parent_path, CAST(row_number() OVER (PARTITION BY record_id ORDER BY parent_path) AS INT) AS container_no, children, failed FROM g""",
     "subagent_activity": f"""WITH {_E}, {_T} SELECT session_id, count(*) AS calls, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'interrupted') AS interrupted,
@@ -139,4 +128,4 @@ ORACLE = {
       coalesce(tool_name, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.message.toolName') END) AS tool_name FROM tool_deliveries""",
 }
 
-QUERIES = {f.__name__: f for f in (runs_all, run_parents, run_containers, subagent_activity, child_projection, errors_with_calls, source_labels, usage_labels, inventory_kept, anonymous_fill, session_reports)}
+QUERIES = {f.__name__: f for f in (runs_all, run_containers, subagent_activity, child_projection, errors_with_calls, source_labels, usage_labels, inventory_kept, anonymous_fill, session_reports)}
