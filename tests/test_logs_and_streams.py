@@ -83,6 +83,9 @@ def test_cursor_round_trip(at, sid):
     except UnicodeEncodeError:
         return
     text = ranges.encode_cursor(at, sid)
+    assert ranges.decode_cursor("=" + text) is None and ranges.decode_cursor("A" * 2000) is None
+    if len(text) > ranges.CURSOR_SIZE:
+        return
     assert ranges.decode_cursor(text) == (at, sid) and ranges.decode_cursor(text + "=") is None
 
 
@@ -122,6 +125,55 @@ def test_intervals_stream(spark, tmp_path):
     assert [(r.subject, r.started_at, r.ended_at, r.open) for r in spark.table("pairs").collect()] == [("x", 1, 5, 1)]
 
 
+def test_wal_sink_and_cursors(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "1.json").write_text("\n".join(json.dumps({"writer_id": w, "day": d, "writer_sequence": n}) for w, d, n in [("a", "2026-01-01", 1), ("a", "2026-01-02", 2), ("b", "2026-01-01", 1)]))
+    stream = spark.readStream.schema("writer_id string, day string, writer_sequence long").json(str(src))
+    live.wal_sink(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = spark.read.json(str(tmp_path / "out"))
+    assert {(r.writer_id, str(r.day), r.writer_sequence) for r in got.collect()} == {("a", "2026-01-01", 1), ("a", "2026-01-02", 2), ("b", "2026-01-01", 1)}
+    c = lambda *rows: spark.createDataFrame(list(rows), "writer_id string, cursor long")
+    assert {tuple(r) for r in live.advance(c(("a", 1), ("b", 4)), c(("a", 3), ("c", 1))).collect()} == {("a", 3), ("b", 4), ("c", 1)}
+    with pytest.raises(ValueError):
+        live.advance(c(("a", 2)), c(("a", 1)))
+
+
+def test_refresh_publishes_what_changed(spark):
+    out = []
+    sections = lambda keep: lambda df: df.where(keep).selectExpr("k as key", "cast(sum(n) over (partition by k) as string) as etag").distinct()
+    run = live.refresh(lambda df: df, {"all": sections("true"), "big": sections("n > 5")}, lambda name, df, b: out.append((b, name, sorted(tuple(r) for r in df.collect()))))
+    s = "k string, n long"
+    run(spark.createDataFrame([("x", 1), ("y", 9)], s), 0)
+    run(spark.createDataFrame([], s), 1)
+    run(spark.createDataFrame([("x", 2), ("y", 9)], s), 2)
+    assert out == [(0, "all", [("x", "added"), ("y", "added")]), (0, "big", [("y", "added")]), (2, "all", [("x", "changed")]), (2, "big", [])]
+
+
+def test_strict_objects_and_tails(spark, tmp_path):
+    d = tmp_path / "meta"
+    d.mkdir()
+    (d / "a.json").write_text('{"schemaVersion": 2, "sessionId": "s", "cursor": {"w": 5}}')
+    (d / "b.json").write_text('{"schemaVersion": "2", "sessionId": "s"}')
+    (d / "c.json").write_text("[1]")
+    (d / "d.json").write_text('{"schemaVersion": 2, "sessionId": "' + "x" * 100 + '"}')
+    got = logs.read_json_objects(spark, str(d), {"version": ("$.schemaVersion", "bigint"), "sid": ("$.sessionId", "string")}, required=("version", "sid"), most_bytes=100).collect()
+    assert {r.file[-6:]: (r.readable, r.version, r.sid) for r in got} == {"a.json": (True, 2, "s"), "b.json": (False, None, None), "c.json": (False, None, None), "d.json": (False, None, None)}
+    t = tmp_path / "tails"
+    t.mkdir()
+    (t / "x.jsonl").write_text('{"a":1}\n{"b":')
+    (t / "y.jsonl").write_text('{"a":1}\n')
+    assert [(r.session_file[-7:], r.bytes) for r in logs.open_tails(spark, str(t)).collect()] == [("x.jsonl", 5)]
+    lines = spark.createDataFrame([(1, x) for x in ('{"type":"message","id":"a","parentId":null,"timestamp":"t"}', '{"type":"message","id":"a","timestamp":"t"}', '{"type":"message","id":"a","parentId":5,"timestamp":"t"}')], "line_no int, raw string")
+    assert [r.kind for r in logs.records(lines).collect()] == ["entry", "malformed", "malformed"]
+
+
+def test_open_ranges_and_daily_cap(spark):
+    rows = spark.createDataFrame([("s", f"2026-01-0{d}", 1, 1) for d in range(1, 6)] + [("s", None, 1, 1)], "session_id string, day string, tokens long, generations long").withColumn("cost", __import__("pyspark").sql.functions.lit(1))
+    assert dated.between(rows, "2026-01-03").count() == 3 and dated.between(rows, None, "2026-01-02").count() == 2 and dated.between(rows).count() == 6
+    assert [r.day for r in dated.daily(rows.where("day is not null"), 2).collect()] == ["2026-01-05", "2026-01-04"]
+
+
 def test_eviction():
     assert live.evict([("a", 100.0, 60), ("b", 200.0, 60), ("c", -2e6, 1)], 200.0, most_bytes=100) == ["c", "a"]
 

@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import canon, connect
-from tracewell.plans import corpus, evidence, reports, runs, sessions
+from tracewell.plans import corpus, evidence, reports, runs, sessions, views
 
-MODULES = (corpus, sessions, evidence, reports, runs)
+MODULES = (corpus, sessions, evidence, reports, runs, views)
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 ORACLE = {n: q for m in MODULES for n, q in m.ORACLE.items()}
 

@@ -213,6 +213,12 @@ def error_headline(kind: Column, tool: Column) -> Column:
     return F.when(tool.isNotNull(), "tool-failed").when(kind == "tool-error", "failed").otherwise("generation")
 
 
+def result_text(content: Column, blocks: Column) -> Column:
+    """The text of a result: its content, else its text blocks joined by blanks; null without either."""
+    parts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
+    return F.coalesce(content, F.array_join(parts, " "))
+
+
 def error_kind(stop: Column) -> Column:
     return F.when(stop == "error", "error").when(stop == "aborted", "aborted").when(stop == "length", "truncated")
 

@@ -77,17 +77,24 @@ def resolve(intent: Range | None, days: list[str], aggregate: bool = False) -> t
     return (start, good[-1]) if start else None
 
 
+#: Version, size and alphabet of cursors.
+CURSOR_VERSION, CURSOR_SIZE = 1, 1024
+CURSOR = re.compile(r"[A-Za-z0-9_-]+")
+
+
 def encode_cursor(instant: str | None, session_id: str) -> str:
-    body = json.dumps([instant, session_id], separators=(",", ":"), ensure_ascii=False)
+    body = json.dumps([CURSOR_VERSION, instant, session_id], separators=(",", ":"), ensure_ascii=False)
     return base64.urlsafe_b64encode(body.encode()).decode().rstrip("=")
 
 
 def decode_cursor(text: str) -> tuple[str | None, str] | None:
     """The key of a cursor, or None unless it is exactly what encode_cursor gives."""
+    if len(text) > CURSOR_SIZE or CURSOR.fullmatch(text) is None:
+        return None
     try:
-        at, sid = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
+        version, at, sid = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
     except (ValueError, TypeError):
         return None
-    if not isinstance(sid, str) or not (at is None or isinstance(at, str)) or encode_cursor(at, sid) != text:
+    if version != CURSOR_VERSION or not isinstance(sid, str) or not (at is None or isinstance(at, str)) or encode_cursor(at, sid) != text:
         return None
     return at, sid

@@ -34,9 +34,10 @@ def dated_models(lines: DataFrame, models: int = MODELS_PER_DAY, flagged: bool =
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= models).drop("_rank", "_first")
 
 
-def daily(dated: DataFrame) -> DataFrame:
-    """Fold over sessions: sums and the number of sessions of each day."""
-    return dated.groupBy("day").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.sum("generations").alias("generations"), F.count(F.lit(1)).alias("sessions"))
+def daily(dated: DataFrame, days: int = DAYS_KEPT) -> DataFrame:
+    """Fold over sessions: sums and the number of sessions of each of the newest days."""
+    got = dated.groupBy("day").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.sum("generations").alias("generations"), F.count(F.lit(1)).alias("sessions"))
+    return got.orderBy(F.desc("day")).limit(days)
 
 
 def latest_day(days: DataFrame) -> DataFrame:
@@ -60,6 +61,13 @@ def in_range(df: DataFrame, bounds: DataFrame) -> DataFrame:
     return df.where((F.col("day") >= bounds.select("from_day").scalar()) & (F.col("day") <= bounds.select("to_day").scalar()))
 
 
+def between(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows whose day lies between two days, both included; an end that is None is open, undated rows match only without ends."""
+    if start is not None:
+        df = df.where(F.col("day") >= start)
+    return df.where(F.col("day") <= end) if end is not None else df
+
+
 def totals(df: DataFrame) -> DataFrame:
     return df.agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("rows"), F.count_distinct("day").alias("days"))
 

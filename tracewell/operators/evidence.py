@@ -56,13 +56,18 @@ def unavailable_columns(df: DataFrame) -> DataFrame:
 
 
 # -- write-ahead logs and counters ------------------------------------------
-def wal_gaps(wal: DataFrame) -> DataFrame:
-    """Gap check per writer: a sequence must run from its first number without a hole.
+def wal_gaps(wal: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
+    """Gap check per writer: a sequence must run without a hole from 1, or from the one after its checkpoint (writer_id, cursor).
 
-    Counting distinct numbers against the span needs no ordering.
+    Counting distinct numbers against the span needs no ordering.  Numbers up to
+    the checkpoint are folded already and may be there or not.
     """
-    got = wal.groupBy("writer_id").agg(F.min("writer_sequence").alias("first"), F.max("writer_sequence").alias("last"), F.count_distinct("writer_sequence").alias("numbers"))
-    return got.select("*", (F.col("last") - F.col("first") + 1 == F.col("numbers")).alias("gap_free"))
+    anchor = F.lit(0)
+    if checkpoints is not None:
+        wal = wal.join(checkpoints.select("writer_id", "cursor"), "writer_id", "left").where(F.col("writer_sequence") > F.coalesce("cursor", F.lit(0)))
+        anchor = F.coalesce(F.first("cursor"), F.lit(0))
+    got = wal.groupBy("writer_id").agg(F.min("writer_sequence").alias("first"), F.max("writer_sequence").alias("last"), F.count_distinct("writer_sequence").alias("numbers"), anchor.alias("_anchor"))
+    return got.withColumn("gap_free", (F.col("first") == F.col("_anchor") + 1) & (F.col("last") - F.col("_anchor") == F.col("numbers"))).drop("_anchor")
 
 
 def delta_after(wal: DataFrame, cursors: DataFrame) -> DataFrame:

@@ -23,11 +23,6 @@ def unavailable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.unavailable_columns(m)
 
 
-def wal_gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence gaps by writer."""
-    return evidence.wal_gaps(tables.wal(spark, sf_dir))
-
-
 def open_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts paired with ends in order; open ones are left."""
     got = evidence.pair_fifo(tables.wal(spark, sf_dir), "click", "view")
@@ -261,7 +256,6 @@ ORACLE = {
     "unavailable_columns": """WITH m AS (SELECT provider, model, role, ts_raw, parent_id FROM messages WHERE entry_type = 'custom'),
       c AS (SELECT count(*) AS n, count(provider) AS a, count(model) AS b, count(role) AS c, count(ts_raw) AS d, count(parent_id) AS e FROM m)
       SELECT unnest(['provider', 'model', 'role', 'ts_raw', 'parent_id']) AS column, unnest([a, b, c, d, e]) AS values, unnest([n >= 2 AND a = 0, n >= 2 AND b = 0, n >= 2 AND c = 0, n >= 2 AND d = 0, n >= 2 AND e = 0]) AS foldable FROM c""",
-    "wal_gap_check": f"WITH {_W} SELECT writer_id, min(writer_sequence) AS first, max(writer_sequence) AS last, count(DISTINCT writer_sequence) AS numbers, max(writer_sequence) - min(writer_sequence) + 1 = count(DISTINCT writer_sequence) AS gap_free FROM w GROUP BY 1",
     "open_intervals": f"""WITH {_W}, s AS (SELECT writer_id, ts, writer_sequence AS q, kind = 'click' AS st FROM w WHERE kind IN ('click', 'view')),
       b AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE -1 END) OVER o AS b, count(*) FILTER (st) OVER o AS ns, count(*) FILTER (NOT st) OVER o AS ne FROM s WINDOW o AS (PARTITION BY writer_id ORDER BY ts, q ROWS UNBOUNDED PRECEDING)),
       l AS (SELECT *, max(greatest(-b, 0)) OVER (PARTITION BY writer_id ORDER BY ts, q ROWS UNBOUNDED PRECEDING) AS lost FROM b),

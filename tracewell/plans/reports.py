@@ -66,14 +66,6 @@ def usage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("session_id", label.alias("label"))
 
 
-def inventory_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inventory by (source, name), first wins, the first 128 names of a source."""
-    d = load(spark, sf_dir, "documents").where("source is not null").select("source", F.coalesce("session_id", F.lit("-")).alias("name"), "doc_id")
-    one = d.groupBy("source", "name").agg(F.min("doc_id").alias("doc_id"))
-    ranked = one.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return ranked.where("r <= 128").select("source", "name", "doc_id")
-
-
 def anonymous_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of deliveries filled from the payload only where the column has none."""
     d = load(spark, sf_dir, "tool_deliveries").select("delivery_id", "run_id", "tool_name")
@@ -122,10 +114,8 @@ ORACLE = {
       SELECT name, CASE WHEN source IN ('local', 'auto', 'builtin', 'sdk') THEN source WHEN regexp_full_match(source, 'npm:(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*(?:@[^@\\s]+)?') THEN regexp_extract(source, '^(npm:(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*)', 1) ELSE 'other' END AS source FROM t""",
     "usage_labels": f"""WITH {_E}, c AS (SELECT session_id, count(*) AS owners, count(tokens) AS n FROM lines GROUP BY 1)
       SELECT session_id, CASE WHEN n = 0 THEN 'not observed' WHEN n < owners THEN n || ' of ' || owners ELSE 'complete' END AS label FROM c""",
-    "inventory_kept": """WITH o AS (SELECT source, coalesce(session_id, '-') AS name, min(doc_id) AS doc_id FROM documents WHERE source IS NOT NULL GROUP BY ALL)
-      SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 128""",
     "anonymous_fill": """SELECT delivery_id, coalesce(run_id, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.message.details.runId') END) AS run_id,
       coalesce(tool_name, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.message.toolName') END) AS tool_name FROM tool_deliveries""",
 }
 
-QUERIES = {f.__name__: f for f in (runs_all, run_containers, subagent_activity, child_projection, errors_with_calls, source_labels, usage_labels, inventory_kept, anonymous_fill, session_reports)}
+QUERIES = {f.__name__: f for f in (runs_all, run_containers, subagent_activity, child_projection, errors_with_calls, source_labels, usage_labels, anonymous_fill, session_reports)}

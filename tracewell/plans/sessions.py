@@ -341,7 +341,7 @@ ORACLE = {
     "usage_field_coverage": f"""WITH {_E} SELECT session_id, count(*) AS owners, count(tokens) AS with_tokens, count(cost) AS with_cost,
       CASE WHEN count(tokens) = 0 THEN 'unavailable' WHEN count(tokens) = count(*) THEN 'complete' ELSE 'partial' END AS tokens_state FROM lines GROUP BY 1""",
     "daily_usage": f"WITH {_E} SELECT *, count(*) OVER (PARTITION BY session_id) > 366 AS truncated FROM dated QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY day DESC) <= 366",
-    "daily_fold": f"WITH {_E} SELECT day, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS {D}) AS cost, CAST(sum(generations) AS BIGINT) AS generations, count(*) AS sessions FROM dated GROUP BY 1",
+    "daily_fold": f"WITH {_E} SELECT day, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS {D}) AS cost, CAST(sum(generations) AS BIGINT) AS generations, count(*) AS sessions FROM dated GROUP BY 1 ORDER BY day DESC LIMIT 366",
     "dated_models": f"""WITH {_E}, x AS (SELECT session_id, day, provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, min(append_ordinal) AS o FROM lines WHERE day IS NOT NULL AND bucket = 'assistant' GROUP BY ALL)
       SELECT * EXCLUDE (o), count(*) OVER (PARTITION BY session_id, day) > 64 AS truncated FROM x QUALIFY row_number() OVER (PARTITION BY session_id, day ORDER BY o) <= 64""",
     "model_summary": f"WITH {_E} SELECT provider, model, count(*) AS generations, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, count(tokens) AS with_usage FROM lines WHERE bucket = 'assistant' GROUP BY ALL",
@@ -392,7 +392,7 @@ ORACLE = {
     "history_page_before": f"WITH {_S} SELECT session_id, epoch_us(seen) AS last_us FROM s WHERE seen > TIMESTAMPTZ '2026-06-01 00:00:00+00' ORDER BY seen ASC NULLS FIRST, session_id DESC LIMIT 50",
     "session_coverage": f"WITH {_R} SELECT count(*) AS inspected, count(*) FILTER (reason IS NULL) AS available, count(*) FILTER (reason IS NOT NULL) AS unavailable, CAST(round(count(*) FILTER (reason IS NULL) / count(*), 4) AS DECIMAL(5,4)) AS ratio FROM r",
     "coverage_reasons": f"WITH {_R} SELECT coalesce(reason, 'available') AS reason, count(*) AS sessions FROM r GROUP BY 1",
-    "global_report": f"WITH {_E}, {_R} SELECT day, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS {D}) AS cost, CAST(sum(generations) AS BIGINT) AS generations, count(*) AS sessions FROM dated WHERE session_id IN (SELECT session_id FROM r WHERE reason IS NULL) GROUP BY 1",
+    "global_report": f"WITH {_E}, {_R} SELECT day, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS {D}) AS cost, CAST(sum(generations) AS BIGINT) AS generations, count(*) AS sessions FROM dated WHERE session_id IN (SELECT session_id FROM r WHERE reason IS NULL) GROUP BY 1 ORDER BY day DESC LIMIT 366",
     "parent_sessions": """WITH o AS (SELECT session_id, max(parent_session) AS parent_session FROM session_headers GROUP BY 1)
       SELECT o.session_id, o.parent_session, p.session_id IS NOT NULL AS resolved FROM o LEFT JOIN o p ON p.session_id = o.parent_session WHERE o.parent_session IS NOT NULL""",
     "dedicated_children": f"""WITH RECURSIVE {_G} SELECT g.session_id, count(*) AS entries FROM g LEFT JOIN up USING (session_id, entry_id) GROUP BY 1

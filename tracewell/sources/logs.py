@@ -45,14 +45,23 @@ def read_lines(spark: SparkSession, path: str, drop_open_tail: bool = False) ->
     return whole.select("session_file", F.posexplode(lines).alias("pos", "raw")).where("trim(raw) <> ''").select("session_file", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("raw"))
 
 
+def open_tails(spark: SparkSession, path: str) -> DataFrame:
+    """(session_file, bytes): files whose last line has no line end, and its size; a writer may still be at it."""
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("session_file"), F.element_at(F.split("value", "\n"), -1).alias("tail"))
+    return whole.where("tail <> ''").select("session_file", F.octet_length("tail").alias("bytes"))
+
+
 def records(lines: DataFrame) -> DataFrame:
     """Lines with ``v``, the parsed object, and ``kind``: header, entry, other or malformed."""
     parsed = lines.withColumn("v", F.try_parse_json("raw"))
     is_object = F.col("v").isNotNull() & F.expr("schema_of_variant(v) LIKE 'OBJECT%'")
+    # a parent is named by a text or by null; no parent field at all is no entry
+    parent = F.expr("schema_of_variant(try_variant_get(v, '$.parentId', 'variant'))")
+    parent_ok = F.coalesce(parent.isin("STRING", "VOID"), F.lit(False))
     kind = (
         F.when(~F.coalesce(is_object, F.lit(False)), "malformed")
         .when((text_at("v", "$.type") == "session") & (F.length(text_at("v", "$.id")) > 0), "header")
-        .when(text_at("v", "$.type").isNotNull() & text_at("v", "$.id").isNotNull() & text_at("v", "$.timestamp").isNotNull(), F.when(text_at("v", "$.type").isin(*ENTRY_TYPES), "entry").otherwise("other"))
+        .when(text_at("v", "$.type").isNotNull() & text_at("v", "$.id").isNotNull() & text_at("v", "$.timestamp").isNotNull() & parent_ok, F.when(text_at("v", "$.type").isin(*ENTRY_TYPES), "entry").otherwise("other"))
         .otherwise("malformed")
     )
     return parsed.withColumn("kind", kind)
@@ -98,14 +107,22 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     return lines.groupBy("session_file").agg(F.count(F.lit(1)).alias("line_count"), F.sha2(F.array_join(F.transform(digests, lambda x: x["d"]), ""), 256).alias("revision"))
 
 
-def read_json_objects(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+def read_json_objects(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]], required: tuple[str, ...] = (), most_bytes: int | None = None) -> DataFrame:
     """Small JSON files (manifests, checkpoints, inventories), one row each; fields of another type are null.
 
-    ``columns`` maps a name to (path, string | bigint | double | boolean).
+    ``columns`` maps a name to (path, string | bigint | double | boolean).  A file
+    that is too large, is no object or lacks a required column is not ``readable``,
+    and all its columns are null.
     """
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"), F.octet_length("value").alias("size"))
     get = {"string": lambda p: text_at("v", p), "boolean": lambda p: flag_at("v", p), "bigint": lambda p: number_at("v", p, "bigint"), "double": lambda p: number_at("v", p)}
-    return whole.select("file", F.col("v").isNotNull().alias("readable"), *[get[t](p).alias(n) for n, (p, t) in columns.items()])
+    typed = whole.select("file", F.expr("schema_of_variant(v)").startswith("OBJECT").alias("readable"), "size", *[get[t](p).alias(n) for n, (p, t) in columns.items()])
+    ok = F.coalesce("readable", F.lit(False))
+    for name in required:
+        ok = ok & F.col(name).isNotNull()
+    if most_bytes is not None:
+        ok = ok & (F.col("size") <= most_bytes)
+    return typed.withColumn("readable", ok).select("file", "readable", *[F.when(F.col("readable"), F.col(n)).alias(n) for n in columns])
 
 
 def wal_records(lines: DataFrame) -> DataFrame:

@@ -122,6 +122,44 @@ def pair_intervals(stream: DataFrame, most_open: int = 64) -> DataFrame:
     return stream.groupBy("subject").applyInPandasWithState(step, "subject string, started_at long, ended_at long, open long, dropped long", "starts array<long>, dropped long", "append", GroupStateTimeout.NoTimeout)
 
 
+def wal_sink(records: DataFrame, path: str, checkpoint: str):
+    """Append write-ahead records (writer_id, day and more) to files by writer and day; one batch, one set of files."""
+    return records.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).partitionBy("writer_id", "day").outputMode("append").trigger(availableNow=True).start()
+
+
+def advance(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(writer_id, cursor) after a checkpoint: cursors only grow, a writer that would go back is refused."""
+    both = old.select("writer_id", F.col("cursor").alias("_old")).join(new.select("writer_id", F.col("cursor").alias("_new")), "writer_id", "full_outer")
+    back = both.where("_new < _old")
+    if not back.isEmpty():
+        raise ValueError(f"cursor of {back.first().writer_id} would go back")
+    return both.select("writer_id", F.coalesce("_new", "_old").alias("cursor"))
+
+
+def refresh(load: Callable[[DataFrame], DataFrame], projections: dict[str, Callable[[DataFrame], DataFrame]], publish: Callable[[str, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: what a batch changed is loaded once and projected for every range; only changed sections are published.
+
+    ``projections`` give (key, etag) sections by name; the sections of the last
+    batch are kept to tell what changed.
+    """
+    last: dict[str, DataFrame] = {}
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        loaded = load(batch).persist()
+        try:
+            for name, project in projections.items():
+                now = batch.sparkSession.createDataFrame(project(loaded).select("key", "etag").toArrow())
+                before = last.get(name, now.limit(0))
+                publish(name, evidence.snapshot_delta(before, now, "key"), batch_id)
+                last[name] = now
+        finally:
+            loaded.unpersist()
+
+    return run
+
+
 def tail_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """New write-ahead segments as a stream of raw lines."""
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select(F.col("_metadata.file_path").alias("session_file"), F.lit(0).alias("line_no"), F.col("value").alias("raw"))
