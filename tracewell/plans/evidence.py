@@ -302,7 +302,7 @@ ORACLE = {
     "report_labels": """SELECT delivery_id, CASE WHEN tool_name IS NULL THEN 'unknown' WHEN octet_length(encode(tool_name)) > 128 OR regexp_matches(tool_name, '(?i)(?:secret|token|password|credential)') THEN '[REDACTED]' ELSE tool_name END AS label,
       coalesce(octet_length(encode(tool_call_id)) <= 128 AND regexp_matches(tool_call_id, '^[A-Za-z0-9][A-Za-z0-9._:/@+-]*$'), false) AS is_token FROM tool_deliveries""",
     "duration_labels": f"""WITH {_W}, m AS (SELECT writer_sequence, amount * 7919 AS ms FROM w)
-      SELECT writer_sequence, CASE WHEN ms < 1000 THEN ms || ' ms' WHEN ms < 60000 THEN printf('%.1f s', ms / 1000.0) WHEN ms < 3600000 THEN printf('%dm %02ds', ms // 60000, (ms // 1000) % 60) ELSE printf('%dh %02dm', ms // 3600000, (ms // 60000) % 60) END AS label FROM m""",
+      SELECT writer_sequence, CASE WHEN ms < 1000 THEN ms || ' ms' WHEN ms < 60000 THEN printf('%d.%d s', (ms + 50) // 1000, ((ms + 50) // 100) % 10) WHEN ms < 3600000 THEN printf('%dm %02ds', ms // 60000, (ms // 1000) % 60) ELSE printf('%dh %02dm', ms // 3600000, (ms // 60000) % 60) END AS label FROM m""",
     "cost_labels": """WITH m AS (SELECT row_id, CAST(cost_total AS DECIMAL(28,12)) AS c, CASE WHEN cost_total < 0 THEN '-' ELSE '' END AS sign FROM messages)
       SELECT row_id, CASE WHEN c = 0 THEN '$0.00' WHEN abs(c) >= 0.01 THEN sign || '$' || CAST(round(abs(c), 2) AS DECIMAL(28,2)) WHEN abs(c) >= 0.0001 THEN sign || '$' || CAST(round(abs(c), 4) AS DECIMAL(28,4)) WHEN c IS NOT NULL THEN sign || '< $0.0001' END AS label FROM m""",
     "local_labels": """SELECT row_id, CASE WHEN regexp_full_match(ts_raw, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}(?::\\d{2}(?:\\.\\d+)?)?(?:Z|[+-]\\d{2}:\\d{2})') AND TRY_CAST(ts_raw AS TIMESTAMPTZ) IS NOT NULL

@@ -310,7 +310,7 @@ d AS (SELECT session_id, tool_call_id AS call_id, (epoch_us(ingested_at) - epoch
   QUALIFY row_number() OVER (PARTITION BY session_id, tool_call_id ORDER BY append_ordinal) = 1)
 """
 _SOURCE = """CASE WHEN {c} IN ('local', 'auto', 'builtin', 'sdk') THEN {c} WHEN regexp_full_match({c}, 'npm:(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*(?:@[^@\\s]+)?') THEN regexp_extract({c}, '^(npm:(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*)', 1) ELSE 'other' END"""
-_DURATION = """(SELECT CASE WHEN t < 1000 THEN t || ' ms' WHEN t < 60000 THEN printf('%.1f s', t / 1000.0) WHEN t < 3600000 THEN printf('%dm %02ds', t // 60000, (t // 1000) % 60) ELSE printf('%dh %02dm', t // 3600000, (t // 60000) % 60) END FROM (SELECT CAST(greatest(0, floor({c} + 0.5)) AS BIGINT) AS t) WHERE {c} IS NOT NULL)"""
+_DURATION = """(SELECT CASE WHEN t < 1000 THEN t || ' ms' WHEN t < 60000 THEN printf('%d.%d s', (t + 50) // 1000, ((t + 50) // 100) % 10) WHEN t < 3600000 THEN printf('%dm %02ds', t // 60000, (t // 1000) % 60) ELSE printf('%dh %02dm', t // 3600000, (t // 60000) % 60) END FROM (SELECT CAST(greatest(0, floor({c} + 0.5)) AS BIGINT) AS t) WHERE {c} IS NOT NULL)"""
 _S = """
 s AS (
   SELECT m.session_id, m.entries, CASE WHEN h.seen IS NULL THEN m.seen WHEN m.seen IS NULL THEN h.seen ELSE greatest(m.seen, h.seen) END AS seen
