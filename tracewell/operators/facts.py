@@ -43,7 +43,7 @@ def active_scope(entries: DataFrame) -> DataFrame:
     """
     marks = entries.groupBy("session_id").agg(F.max_by("entry_id", "append_ordinal").alias("leaf"))
     repeated = entries.groupBy("session_id", "entry_id").agg(F.count(F.lit(1)).alias("copies"), F.min("append_ordinal").alias("append_ordinal"), F.min_by("parent_id", "append_ordinal").alias("parent_id"))
-    nodes = repeated.join(marks, "session_id").withColumn("is_leaf", (F.col("entry_id") == F.col("leaf")).cast("long"))
+    nodes = written(repeated.join(marks, "session_id").withColumn("is_leaf", (F.col("entry_id") == F.col("leaf")).cast("long")).drop("leaf"), "nodes")
     forest = resolve_forest(nodes, size="is_leaf", unique=True)
     way = forest.where("n_below > 0").join(nodes.select("session_id", "entry_id", "copies"), ["session_id", "entry_id"])
     bad = way.groupBy("session_id").agg(F.bool_or(F.col("dangling") | (F.col("copies") > 1)).alias("bad")).where("bad")

@@ -205,14 +205,15 @@ def _typed(columns: Mapping[str, str]) -> list:
     return [F.expr(f"try_cast(get_json_object(body, '$.{p.split(':')[0]}') as {p.split(':')[1]})").alias(name) for name, p in columns.items()]
 
 
-def field_tables(shredded: DataFrame, field: str | None, columns: Mapping[str, str]) -> DataFrame:
-    """The flat table of one kind of element (``results``, ``attempts`` ..), of whole payloads if ``field`` is None.
+def field_tables(shredded: DataFrame, field: str | Sequence[str] | None, columns: Mapping[str, str]) -> DataFrame:
+    """The flat table of one kind of element (``results``, ``attempts`` ..) or of several, of whole payloads if ``field`` is None.
 
     ``columns`` maps a name to ``field:type``.  Fields of another type than asked
     for come out null; the link to the parent is kept.
     """
-    rows = shredded.where("node_no = 0 and child_path = ''") if field is None else elements(shredded).where(F.col("field") == field)
-    return rows.select("record_id", "node_no", "child_path", "parent_path", "ordinal", "object_id", "parent_object_id", *_typed(columns))
+    several = () if field is None or isinstance(field, str) else tuple(field)
+    rows = shredded.where("node_no = 0 and child_path = ''") if field is None else elements(shredded).where(F.col("field").isin(*several) if several else F.col("field") == field)
+    return rows.select("record_id", "node_no", "child_path", "parent_path", "ordinal", *(["field"] if several else []), "object_id", "parent_object_id", *_typed(columns))
 
 
 def with_held(rows: DataFrame, shredded: DataFrame, field: str, columns: Mapping[str, str]) -> DataFrame:

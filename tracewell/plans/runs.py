@@ -22,10 +22,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sub-run of results, completions, children and notices, with status, usage and effort."""
     records = load(spark, sf_dir, "run_records")
     shredded = written(nested.shred_records(records), "shredded")
-    rows = None
-    for field in FIELDS:
-        part = nested.field_tables(shredded, field, RUN).withColumn("field", F.lit(field))
-        rows = part if rows is None else rows.unionByName(part)
+    rows = nested.field_tables(shredded, FIELDS, RUN)
     rows = nested.with_held(rows, shredded, "usage", USAGE)
     rows = nested.with_held(rows, shredded, "progressSummary", {"duration": "durationMs:bigint", "calls": "toolCount:bigint"})
     tokens, cost = gates.child_usage({k: F.col(k) for k in USAGE})
