@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import gates
+from tracewell.session import written
 
 #: Caps of a session's runs and of their sources.
 MOST_RUNS, MOST_SOURCES = 256, 512
@@ -40,6 +41,7 @@ def reconcile(obs: DataFrame, scope: str, identity: Sequence[str], mutable: Sequ
 
     All is aggregation, first by order, then by run; nothing is gathered.
     """
+    obs = written(obs, "observations")
     sources = obs.groupBy(scope, "source").agg(F.count_distinct("public_id").alias("_ids"), F.max("public_id").alias("public_id"))
     kept = sources.where("_ids <= 1").drop("_ids")
     key, public = F.concat(F.lit("s:"), F.col("source")), F.col("public_id")
@@ -78,6 +80,7 @@ def reconcile(obs: DataFrame, scope: str, identity: Sequence[str], mutable: Sequ
     for lo, hi in pairs.values():
         conflicts = conflicts + F.coalesce(lo != hi, F.lit(False)).cast("int")
     out = got.select(scope, "run_key", "public_id", "first_order", "observations", *[F.when(lo == hi, lo).alias(f) for f, (lo, hi) in pairs.items()], status.alias("status"), conflicts.alias("conflicts"))
+    out = written(out, "runs")
     many = out.groupBy(scope).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_runs).select(scope)
     wide = sources.groupBy(scope).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_sources).select(scope)
     return out.join(many.unionByName(wide), scope, "left_anti")
