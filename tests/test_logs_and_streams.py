@@ -54,6 +54,25 @@ def test_logs_to_facts(log):
     assert logs.fingerprints(log).first().line_count == 9
 
 
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    """Files cut into many blocks, with blank lines, carriage returns and an open tail."""
+    texts = {"a": [f"line {i} " + "x" * (i % 50) for i in range(3000)], "b": ["one", "", "  ", "four\r", "é" * 40], "c": ["alone"]}
+    for name, lines in texts.items():
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + ("" if name == "b" else "\n"), encoding="utf-8", newline="")
+    (tmp_path / "empty.jsonl").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for drop in (False, True):
+            got = {(r.session_file[-7:-6], r.line_no): r.raw for r in logs.read_lines(spark, str(tmp_path), drop).collect()}
+            want = {(n, i + 1): x.rstrip("\r") for n, lines in texts.items() for i, x in enumerate(lines) if x.strip() and not (drop and n == "b" and i == 4)}
+            assert got == want
+        assert [(r.session_file[-7:-6], r.bytes) for r in logs.open_tails(spark, str(tmp_path)).collect()] == [("b", 80)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_repeated_calls_bind_to_the_latest(spark):
     schema = "session_id string, append_ordinal long, entry_id string, entry_type string, ts_raw string, role string, tool_call_id string, is_error boolean, calls array<struct<id: string, name: string>>"
     rows = [

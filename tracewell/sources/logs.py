@@ -1,7 +1,6 @@
 """Session logs (JSONL), manifests, checkpoints and write-ahead segments as DataFrames.
 
-Lines are numbered inside a file (``wholetext``): a session log is one row that
-is split in the JVM.  JSON is parsed to VARIANT; typed reads are gated by the
+Lines are numbered inside a file although files are split between tasks.  JSON is parsed to VARIANT; typed reads are gated by the
 JSON type, because a VARIANT would turn the string "1" into the number 1.
 """
 
@@ -10,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.prefix import running_sums
+from tracewell.session import written
+
 #: Entry types that become facts, and the session format.
 ENTRY_TYPES = ("message", "custom", "custom_message", "compaction", "branch_summary", "model_change", "thinking_level_change", "label", "session_info")
 SESSION_VERSION = 3
@@ -32,23 +34,45 @@ def flag_at(v: str, path: str) -> Column:
     return F.expr(f"CASE WHEN schema_of_variant(try_variant_get({v}, '{path}', 'variant')) = 'BOOLEAN' THEN try_variant_get({v}, '{path}', 'boolean') END")
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(session_file, size, line_no, raw): all lines of each file in order.
+
+    Files are split between tasks like any text: a line's number is its place in
+    its block plus the lines of the file's earlier blocks, one row each.
+    """
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("session_file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
+    lines = written(lines, "lines")
+    blocks = lines.groupBy("session_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("session_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return lines.join(blocks, ["session_file", "_block"]).select("session_file", "size", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "raw")
+
+
+def _tails(lines: DataFrame) -> DataFrame:
+    """(session_file, last): the last line's number of files that do not end with a line end: their lines and ends outgrow them by one."""
+    got = lines.groupBy("session_file").agg(F.max("size").alias("size"), F.sum(F.octet_length("raw") + 1).alias("_bytes"), F.max("line_no").alias("last"))
+    return got.where("_bytes = size + 1").select("session_file", "last")
+
+
 def read_lines(spark: SparkSession, path: str, drop_open_tail: bool = False) -> DataFrame:
     """(session_file, line_no, raw): the non-blank lines of each file, numbered from 1.
 
     ``drop_open_tail`` leaves out a last line without a line end (a writer may
     still be at it).
     """
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("session_file"), "value")
-    lines = F.split("value", "\n")
+    lines = _numbered(spark, path)
     if drop_open_tail:
-        lines = F.slice(lines, F.lit(1), F.size(lines) - 1)
-    return whole.select("session_file", F.posexplode(lines).alias("pos", "raw")).where("trim(raw) <> ''").select("session_file", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("raw"))
+        tails = _tails(lines)
+        lines = lines.join(tails, "session_file", "left").where("last is null or line_no < last")
+    return lines.where("trim(raw) <> ''").select("session_file", "line_no", F.regexp_replace("raw", "\r$", "").alias("raw"))
 
 
 def open_tails(spark: SparkSession, path: str) -> DataFrame:
     """(session_file, bytes): files whose last line has no line end, and its size; a writer may still be at it."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("session_file"), F.element_at(F.split("value", "\n"), -1).alias("tail"))
-    return whole.where("tail <> ''").select("session_file", F.octet_length("tail").alias("bytes"))
+    lines = _numbered(spark, path)
+    tail = lines.join(_tails(lines), "session_file").where("line_no = last")
+    return tail.select("session_file", F.octet_length("raw").alias("bytes"))
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -85,7 +109,9 @@ def entries(recs: DataFrame) -> DataFrame:
     """
     heads = headers(recs).select("session_file", "session_id")
     node = recs.where("kind in ('entry', 'other')").join(heads, "session_file", "left").withColumn("session_id", F.coalesce("session_id", "session_file"))
-    ordinal = F.row_number().over(Window.partitionBy("session_file").orderBy("line_no")) - 1
+    # numbered by prefix sums: a file may hold any number of records
+    node = running_sums(node, ["session_file"], [F.col("line_no")], {"nth": F.lit(1)})
+    ordinal = F.col("nth") - 1
     blocks = F.expr("from_json(CASE WHEN schema_of_variant(try_variant_get(v, '$.message.content', 'variant')) LIKE 'ARRAY%' THEN to_json(try_variant_get(v, '$.message.content', 'variant')) END, 'array<struct<type: string, text: string, id: string, name: string>>')")
     calls = F.filter(F.coalesce(blocks, F.array().cast("array<struct<type: string, text: string, id: string, name: string>>")), lambda b: (b["type"] == "toolCall") & b["id"].isNotNull() & b["name"].isNotNull())
     usage = F.when(F.expr("try_variant_get(v, '$.message.usage', 'variant') IS NOT NULL"), F.lit("$.message.usage")).otherwise("$.usage")
