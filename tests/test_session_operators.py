@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracewell.functions import gates
-from tracewell.operators import evidence, facts, runs
+from tracewell.operators import evidence, facts, runs, views
 from tracewell.sources import tables
 
 
@@ -184,3 +184,26 @@ def test_notices_and_parents(spark):
     u = spark.createDataFrame([("failed", 5, 1.0), ("failed", None, None), ("running", None, 0.5), ("succeeded", 7, None)], "status string, tokens long, cost double").withColumn("g", F.lit(1))
     r = runs.usage_breakdown(u, ["g"]).first()
     assert (r.runs, r.with_usage, r.tokens, r.cost, r.failed_cost, r.failed_with_usage, r.failed, r.interrupted) == (4, 3, 12, 1.5, 1.0, 1, 2, 0)
+
+
+def test_views(spark):
+    us = lambda v: tuple(spark.createDataFrame([(v,)], "t string").select(*views.clock(F.col("t"))).first())
+    assert us("2026-01-01T00:00:00.123456789Z") == (1767225600123456, 789) and us("2026-01-01T01:00:00.5+01:00") == (1767225600500000, 0) and us("2026-01-01T00:00:00.1234567Z")[1] == 700 and us("2026-01-01") == (None, None)
+    rows = spark.createDataFrame([("b", "2026-01-01T00:00:00.123456789Z"), ("a", "2026-01-01T00:00:00.123456790Z"), ("d", None), ("c", "x"), ("e", "2026-01-02T00:00:00Z")], "k string, t string")
+    assert [r.k for r in views.newest_first(rows, "t", "k").orderBy("position").collect()] == ["e", "a", "b", "c", "d"]
+    seg = [("w", i, f"2026-01-0{i}", 10, i != 4) for i in range(1, 7)] + [("v", 1, None, 1, True), ("v", 2, "2026-01-01", 1, True), ("u", 1, "2026-01-01", 99, True), ("u", 2, "2026-01-01", 1, True)]
+    s = spark.createDataFrame(seg, "writer_id string, segment long, last_day string, bytes long, folded boolean")
+    plan = lambda **k: sorted((r.writer_id, r.segment) for r in views.prune_plan(s, F.lit("2026-01-06"), **k).collect())
+    assert plan() == [("u", 1), ("u", 2), ("w", 1), ("w", 2), ("w", 3)] and plan(most=2, most_bytes=50) == [("w", 1), ("w", 2)]
+    f = spark.createDataFrame([("g", 1, 5, 1), ("g", 2, 50, 1), ("g", 3, 5, 99), ("g", 4, 6, 1), ("g", 5, 1, 1)], "k string, o long, bytes long, lines long")
+    assert [r.reason for r in views.scan_budget(f, "k", "o", most_files=4, file_bytes=20, most_bytes=10, most_lines=50).orderBy("o").collect()] == [None, "file-too-large", "file-too-long", "budget-exhausted", "too-many-files"]
+    i = spark.createDataFrame([("s", "b", 1), ("s", "a", 2), ("s", "b", 3), ("s", "c", 4), ("t", "x", 9)], "source string, name string, n long")
+    assert {(r.source, r.name, r.n, r.dropped) for r in views.first_rows(i, ["source", "name"], "n", "source", 2).collect()} == {("s", "b", 1, 1), ("s", "a", 2, 1), ("t", "x", 9, 0)}
+    c = spark.createDataFrame([("k", 1, True), ("k", 2, None), ("k", -1, False), ("k", 4, False)], "g string, n long, t boolean")
+    r = evidence.counted(c, ["g"], ["n"], ["t"]).first()
+    assert (r.rows, r.rejected, r.n, r.t) == (2, 2, 5, True)
+    d = views.discover(spark.createDataFrame([(x,) for x in "cab"], "k string"), "k", 2).collect()
+    assert [(r.k, r.limited) for r in d] == [("a", True), ("b", True)]
+    g = lambda *n: spark.createDataFrame([("w", x) for x in n], "writer_id string, writer_sequence long")
+    cp = spark.createDataFrame([("w", 3)], "writer_id string, cursor long")
+    assert evidence.wal_gaps(g(1, 2, 3)).first().gap_free and not evidence.wal_gaps(g(2, 3)).first().gap_free and evidence.wal_gaps(g(2, 4, 5, 5), cp).first().gap_free and not evidence.wal_gaps(g(5, 6), cp).first().gap_free

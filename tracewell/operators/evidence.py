@@ -193,6 +193,22 @@ def integration_counts(calls: DataFrame, custom: DataFrame, registry: Sequence[I
     return both.select("session_id", "integration", F.greatest("tool_calls", "custom_entries").alias("calls"), F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"))
 
 
+def counted(rows: DataFrame, keys: Sequence[str], sums: Sequence[str], flags: Sequence[str] = ()) -> DataFrame:
+    """Sums of counters and OR of flags over the rows that have all of them; a row that lacks one, or holds an unsafe count, is rejected whole and counted."""
+    fine = F.lit(True)
+    for c in sums:
+        fine = fine & gates.safe_count(F.col(c)).isNotNull()
+    for c in flags:
+        fine = fine & F.col(c).isNotNull()
+    whole = lambda c: F.when(fine, F.col(c))
+    return rows.groupBy(*keys).agg(F.count_if(fine).alias("rows"), F.count_if(~fine).alias("rejected"), *[gates.bounded_sum(whole(c)).alias(c) for c in sums], *[F.bool_or(whole(c)).alias(c) for c in flags])
+
+
+def vocabulary_counts(rows: DataFrame, keys: Sequence[str], value: str, words: Sequence[str]) -> DataFrame:
+    """How often each word of a closed vocabulary is set; other values count as unknown, nulls not at all."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, F.when(F.col(value).isin(*words), F.col(value)).otherwise("unknown").alias("mode")).agg(F.count(F.lit(1)).alias("entries"))
+
+
 def presence(observed: Column, hooked: Column, inventory_readable: Column) -> Column:
     """Observation outranks hooks; absent needs a readable inventory."""
     return F.when(observed | hooked, "present").when(inventory_readable, "absent").otherwise("unknown")

@@ -176,8 +176,8 @@ def shred_records(df: DataFrame, record: str = "record_id", payload: str = "payl
     element ('' and the whole payload's identity if there is none), and
     ``holder_no`` the object that directly holds it.  Keys with dots may give
     equal paths; ``(record_id, node_no)`` still tells occurrences apart where
-    record ids are unique.  Null, empty and damaged payloads give no rows; of a
-    key repeated in one object the last value counts; arrays inside arrays are
+    record ids are unique.  Null, empty and damaged payloads, and those
+    nested deeper than Python's parser goes, give no rows; of a key repeated in one object the last value counts; arrays inside arrays are
     walked, their objects are elements too; other columns are not read, so they
     may have any names.  A payload that is an array has elements ``[0]``,
     ``[1]``..  Without ``bodies`` the column ``body`` is left out.

@@ -94,3 +94,24 @@ def health(sources: Mapping[str, tuple[DataFrame, Column, Column]]) -> DataFrame
         out = part if out is None else out.unionByName(part)
     state = F.when(F.col("observed") == 0, "unavailable").when(F.col("missing") == 0, "complete").otherwise("partial")
     return out.withColumns({c: F.least(F.col(c), F.lit(gates.SAFE_MAX)) for c in ("observed", "missing")}).withColumn("state", state)
+
+
+def discover(manifests: DataFrame, key: str, most: int = 206) -> DataFrame:
+    """The first ``most`` manifests by key, with ``limited``: were there more."""
+    size = F.count(F.lit(1))
+    return manifests.orderBy(key).limit(most).withColumn("limited", manifests.agg((size > most).alias("x")).scalar())
+
+
+#: Budgets of a scan of child files.
+CHILD_FILES, CHILD_FILE_BYTES, CHILD_BYTES, CHILD_LINES = 64, 4 * 1024 * 1024, 32 * 1024 * 1024, 10_000
+
+
+def scan_budget(files: DataFrame, group: str, order: str, most_files: int = CHILD_FILES, file_bytes: int = CHILD_FILE_BYTES, most_bytes: int = CHILD_BYTES, most_lines: int = CHILD_LINES) -> DataFrame:
+    """``files`` (group, order, bytes, lines) with ``reason``: null if a serial scan of the group still reads the file.
+
+    A file that is too large or too long is passed over and uses up nothing but
+    its place; the others are read in order while files and bytes last.
+    """
+    reason = F.when(F.col("bytes") > file_bytes, "file-too-large").when(F.col("lines") > most_lines, "file-too-long")
+    upto = running_sums(files.withColumn("_own", reason), [group], [F.col(order)], {"_n": F.lit(1), "_sum": F.when(F.col("_own").isNull(), F.col("bytes")).otherwise(0)})
+    return upto.withColumn("reason", F.when(F.col("_n") > most_files, "too-many-files").when(F.col("_own").isNotNull(), F.col("_own")).when(F.col("_sum") > most_bytes, "budget-exhausted")).drop("_own", "_n", "_sum")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import gates
 from tracewell.operators import dated, drift, evidence, facts, views
 from tracewell.plans import sessions
+from tracewell.plans.evidence import _CUSTOM
 from tracewell.plans.sessions import _E, _S, _T, _TIMED
 from tracewell.session import load, written
 from tracewell.sources import logs, tables
@@ -146,11 +147,41 @@ def evidence_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.health(sources)
 
 
+def history_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions a history looks at, and whether there are more."""
+    return views.discover(tables.headers(spark, sf_dir).select("session_id").distinct(), "session_id")
+
+
+def child_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files of a producer a bounded scan reads."""
+    s = _segments(spark, sf_dir).select("writer_id", "segment", "bytes", F.col("records").alias("lines"))
+    return views.scan_budget(s, "writer_id", "segment")
+
+
+def skill_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of exactly one with a valid name, in the order of their session."""
+    c = tables.counters(spark, sf_dir).where("amount = 1").where(gates.bounded_token(F.col("counter"), 64))
+    return c.select("session_id", "append_ordinal", F.col("counter").alias("skill"))
+
+
+def compaction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retries summed and cache flags joined over the lines that carry both, by producer."""
+    got = drift.ingest(load(spark, sf_dir, "log_lines"), drift.TARGET | {"message.details.retryCount": "number", "message.details.cached": "boolean"})
+    rows = got.where("readable and v_message__role = 'toolResult'").select("producer", F.when(F.col("v_message__details__retryCount") % 1 == 0, F.col("v_message__details__retryCount").cast("bigint")).alias("retries"), F.col("v_message__details__cached").alias("cached"))
+    return evidence.counted(rows, ["producer"], ["retries"], ["cached"])
+
+
+def mode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thinking levels set in messages, by producer, over a closed vocabulary."""
+    got = drift.ingest(load(spark, sf_dir, "log_lines"), drift.TARGET | {"message.thinking": "string"})
+    return evidence.vocabulary_counts(got.where("v_message__role = 'assistant'"), ["producer"], "v_message__thinking", ("off", "minimal", "low", "medium", "high"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         filtered_sets, clock_order, history_page_rows, coverage_merged, range_truncation, global_inventory, inventory_kept, inventory_hash, file_fingerprints, wal_gap_check, wal_budgets, prune_plan, error_kinds,
-        result_texts, reportable_rows, checkpoint_totals, evidence_health,
+        result_texts, reportable_rows, checkpoint_totals, evidence_health, history_discovery, child_scan, skill_invocations, compaction_counters, mode_counts,
     )
 }
 
@@ -196,4 +227,16 @@ ORACLE = {
         SELECT 'usage' AS source, count(tokens) AS observed, count(*) - count(tokens) AS missing FROM lines UNION ALL SELECT 'tools', count(*) FILTER (status <> 'interrupted'), count(*) FILTER (status = 'interrupted') FROM z
         UNION ALL SELECT 'durations', count(duration_ms), count(*) - count(duration_ms) FROM z UNION ALL SELECT 'clocks', count(ts), count(*) - count(ts) FROM e UNION ALL SELECT 'headers', count(version), count(*) - count(version) FROM session_headers)
       SELECT *, CASE WHEN observed = 0 THEN 'unavailable' WHEN missing = 0 THEN 'complete' ELSE 'partial' END AS state FROM h""",
+    "history_discovery": "WITH h AS (SELECT DISTINCT session_id FROM session_headers) SELECT session_id, (SELECT count(*) > 206 FROM h) AS limited FROM h ORDER BY session_id LIMIT 206",
+    "child_scan": f"""WITH {_SEG}, o AS (SELECT writer_id, segment, bytes, records AS lines, CASE WHEN bytes > 4194304 THEN 'file-too-large' WHEN records > 10000 THEN 'file-too-long' END AS own FROM g),
+      u AS (SELECT *, count(*) OVER w AS n, sum(CASE WHEN own IS NULL THEN bytes ELSE 0 END) OVER w AS upto FROM o WINDOW w AS (PARTITION BY writer_id ORDER BY segment ROWS UNBOUNDED PRECEDING))
+      SELECT writer_id, segment, bytes, lines, CASE WHEN n > 64 THEN 'too-many-files' WHEN own IS NOT NULL THEN own WHEN upto > 33554432 THEN 'budget-exhausted' END AS reason FROM u""",
+    "skill_invocations": f"WITH {_CUSTOM} SELECT session_id, append_ordinal, counter AS skill FROM co WHERE amount = 1 AND octet_length(encode(counter)) <= 64 AND regexp_full_match(counter, '[A-Za-z0-9][A-Za-z0-9._:/@+-]*')",
+    "compaction_counters": """WITH l AS (SELECT producer, trim(ltrim(raw, chr(65279)), chr(13) || chr(10)) AS t FROM log_lines),
+      k AS (SELECT producer, CASE WHEN json_type(t, '$.message.details.retryCount') IN ('BIGINT', 'UBIGINT') THEN CAST(t ->> '$.message.details.retryCount' AS BIGINT) END AS r, CASE WHEN json_type(t, '$.message.details.cached') = 'BOOLEAN' THEN t ->> '$.message.details.cached' = 'true' END AS c
+        FROM l WHERE json_valid(t) AND json_type(t) = 'OBJECT' AND json_type(t, '$.message.role') = 'VARCHAR' AND t ->> '$.message.role' = 'toolResult')
+      SELECT producer, count(*) FILTER (r >= 0 AND c IS NOT NULL) AS rows, count(*) - count(*) FILTER (r >= 0 AND c IS NOT NULL) AS rejected, CAST(sum(r) FILTER (r >= 0 AND c IS NOT NULL) AS BIGINT) AS retries, bool_or(c) FILTER (r >= 0 AND c IS NOT NULL) AS cached FROM k GROUP BY 1""",
+    "mode_counts": """WITH l AS (SELECT producer, trim(ltrim(raw, chr(65279)), chr(13) || chr(10)) AS t FROM log_lines),
+      k AS (SELECT producer, CASE WHEN json_type(t, '$.message.thinking') = 'VARCHAR' THEN t ->> '$.message.thinking' END AS m FROM l WHERE json_valid(t) AND json_type(t) = 'OBJECT' AND json_type(t, '$.message.role') = 'VARCHAR' AND t ->> '$.message.role' = 'assistant')
+      SELECT producer, CASE WHEN m IN ('off', 'minimal', 'low', 'medium', 'high') THEN m ELSE 'unknown' END AS mode, count(*) AS entries FROM k WHERE m IS NOT NULL GROUP BY ALL""",
 }
