@@ -99,9 +99,10 @@ def surplus_deliveries(df: DataFrame, order: str = "delivery_id", payload: str =
     """
     keys = [f"_tw_id{i}" for i in range(len(names))]
     keyed = with_identifiers(df, payload, names, fallback, "_tw_id").select(order, *keys)
-    matched = _matched(keyed, keys, order)
-    later = matched.where(F.col("_tw_n").isNotNull() & ~F.col(order).eqNullSafe(F.col("_tw_first"))).select(order)
-    alike = _tied(matched, keys, order).select(F.explode(F.array_repeat(F.col("_tw_first"), (F.col("_tw_ties") - 1).cast("int"))).alias(order))
+    # only the repeated groups, and of them numbers and identifiers
+    many = written(_matched(keyed, keys, order).where("_tw_n is not null"), "copies")
+    later = many.where(~F.col(order).eqNullSafe(F.col("_tw_first"))).select(order)
+    alike = _tied(many, keys, order).select(F.explode(F.array_repeat(F.col("_tw_first"), (F.col("_tw_ties") - 1).cast("int"))).alias(order))
     return later.unionByName(alike)
 
 
