@@ -207,3 +207,15 @@ def test_views(spark):
     g = lambda *n: spark.createDataFrame([("w", x) for x in n], "writer_id string, writer_sequence long")
     cp = spark.createDataFrame([("w", 3)], "writer_id string, cursor long")
     assert evidence.wal_gaps(g(1, 2, 3)).first().gap_free and not evidence.wal_gaps(g(2, 3)).first().gap_free and evidence.wal_gaps(g(2, 4, 5, 5), cp).first().gap_free and not evidence.wal_gaps(g(5, 6), cp).first().gap_free
+
+
+def test_presence_and_effective_counters(spark):
+    calls = spark.createDataFrame([("s", "context", 3, 3), ("t", "context", 1, 0), ("s", "mode", 2, 0)], "session_id string, integration string, calls long, tool_calls long")
+    inv = lambda *n: evidence.inventory_presence(spark.createDataFrame([(x,) for x in n], "name string"))
+    rows = {r.integration: (r.state, r.presence, r.calls, r.sessions) for r in evidence.integration_rows(calls, inv("read", "lsp_hover")).collect()}
+    # a readable inventory without its tools outranks the evidence; one that has no tools at all is promoted by it
+    assert rows["context"] == ("supported", "absent", 4, 2) and rows["mode"] == ("supported", "present", 2, 1) and rows["lens"] == ("unobserved", "present", None, 0) and rows["mcp"][1] == "absent"
+    assert {r.presence for r in evidence.integration_rows(calls, inv()).where("integration in ('mcp', 'lens', 'files')").collect()} == {"unknown"}
+    assert [r.integration for r in evidence.integration_rows(calls.limit(0)).orderBy("position").collect()] == [i.key for i in evidence.REGISTRY]
+    states = spark.createDataFrame([("full", 5, 1), ("full", 5, None), ("aggregate-only", 5, None), ("aggregate-only", None, 2), ("aggregate-only", None, None), ("expired", 1, 1), ("inconsistent", 1, 1)], "state string, kept long, live long")
+    assert [r.x for r in states.select(evidence.effective(F.col("state"), F.col("kept"), F.col("live")).alias("x")).collect()] == [1, None, 5, 2, None, None, None]

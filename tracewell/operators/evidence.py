@@ -214,12 +214,34 @@ def presence(observed: Column, hooked: Column, inventory_readable: Column) -> Co
     return F.when(observed | hooked, "present").when(inventory_readable, "absent").otherwise("unknown")
 
 
-def integration_rows(counts: DataFrame, registry: Sequence[Integration] = REGISTRY) -> DataFrame:
-    """One row per declared integration in declaration order, with its totals."""
+def integration_rows(counts: DataFrame, known: DataFrame | None = None, registry: Sequence[Integration] = REGISTRY) -> DataFrame:
+    """One row per declared integration in declaration order, with its totals, state and presence.
+
+    Counters make an integration supported.  A definite presence (``known``:
+    integration, presence) outranks evidence; evidence makes an unknown one present.
+    """
     spark = counts.sparkSession
     declared = spark.createDataFrame([(i, x.key) for i, x in enumerate(registry)], "position int, integration string")
     total = counts.groupBy("integration").agg(F.sum("calls").alias("calls"), F.count(F.lit(1)).alias("sessions"))
-    return F.broadcast(declared).join(total, "integration", "left").select("position", "integration", F.when(F.col("calls").isNotNull(), "supported").otherwise("unobserved").alias("state"), "calls", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+    rows = F.broadcast(declared).join(total, "integration", "left")
+    rows = rows.join(known, "integration", "left") if known is not None else rows.withColumn("presence", F.lit(None).cast("string"))
+    seen = F.col("calls").isNotNull()
+    definite = F.when(F.col("presence").isin("present", "absent"), F.col("presence"))
+    return rows.select(
+        "position", "integration", F.when(seen, "supported").otherwise("unobserved").alias("state"), F.coalesce(definite, F.when(seen, "present").otherwise("unknown")).alias("presence"), "calls", F.coalesce("sessions", F.lit(0)).alias("sessions")
+    )
+
+
+def inventory_presence(inventory: DataFrame, registry: Sequence[Integration] = REGISTRY) -> DataFrame:
+    """(integration, presence) that an inventory of tools (name) tells: absent needs a readable inventory and an integration that has tools."""
+    hits = inventory.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.bool_or(i.is_tool(F.col("name"))), F.lit(False)).alias(f"h{k}") for k, i in enumerate(registry)])
+    each = F.array(*[F.struct(F.lit(i.key).alias("integration"), F.when(F.col(f"h{k}"), "present").when((F.col("n") > 0) & F.lit(bool(i.names or i.prefixes)), "absent").otherwise("unknown").alias("presence")) for k, i in enumerate(registry)])
+    return hits.select(F.explode(each).alias("x")).select("x.*")
+
+
+def effective(state: Column, folded: Column, live: Column) -> Column:
+    """The counter a report may show: live detail while it is whole, else what was folded and what came since; nothing where no boundary can be trusted."""
+    return F.when(state == "full", live).when(state == "aggregate-only", F.when(folded.isNotNull() | live.isNotNull(), F.coalesce(folded, F.lit(0)) + F.coalesce(live, F.lit(0))))
 
 
 # -- economics, health, snapshots ---------------------------------------------

@@ -68,8 +68,16 @@ def integration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per declared integration."""
-    return evidence.integration_rows(integration_counts(spark, sf_dir))
+    """One row per declared integration with its presence in the inventory."""
+    return evidence.integration_rows(integration_counts(spark, sf_dir), evidence.inventory_presence(tables.inventory(spark, sf_dir)))
+
+
+def effective_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report may show of a session's counters, given what is left of it."""
+    start = F.col("custom_type") == "inspector:start"
+    sums = tables.counters(spark, sf_dir).groupBy("session_id").agg(F.sum(F.when(start, F.col("amount"))).alias("kept"), F.sum(F.when(~start, F.col("amount"))).alias("live"))
+    got = retained_aggregates(spark, sf_dir).select("session_id", "state").join(sums, "session_id", "left")
+    return got.select("session_id", "state", evidence.effective(F.col("state"), F.col("kept"), F.col("live")).alias("amount"))
 
 
 def presence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +280,16 @@ ORACLE = {
       SELECT *, CASE WHEN folded IS NULL THEN 'expired' WHEN sealed IS NOT NULL OR has_folded THEN 'aggregate-only' ELSE 'full' END AS state FROM b""",
     "integration_observations": f"WITH {_CUSTOM} SELECT * FROM ob",
     "integration_counts": f"WITH {_INT} SELECT * FROM n",
-    "integration_rows": f"""WITH {_INT}, d AS (SELECT unnest([0, 1, 2, 3, 4, 5])::INT AS position, unnest(['context', 'mode', 'lens', 'mcp', 'subagents', 'files']) AS integration), s AS (SELECT integration, CAST(sum(calls) AS BIGINT) AS calls, count(*) AS sessions FROM n GROUP BY 1)
-      SELECT position, d.integration, CASE WHEN s.calls IS NULL THEN 'unobserved' ELSE 'supported' END AS state, s.calls, coalesce(s.sessions, 0) AS sessions FROM d LEFT JOIN s USING (integration)""",
+    "integration_rows": f"""WITH {_INT}, d AS (SELECT unnest([0, 1, 2, 3, 4, 5])::INT AS position, unnest(['context', 'mode', 'lens', 'mcp', 'subagents', 'files']) AS integration), s AS (SELECT integration, CAST(sum(calls) AS BIGINT) AS calls, count(*) AS sessions FROM n GROUP BY 1),
+      v AS (SELECT DISTINCT tool_name AS name FROM tool_deliveries WHERE tool_name IS NOT NULL), k AS (SELECT (SELECT count(*) FROM v) > 0 AS readable)
+      SELECT position, d.integration, CASE WHEN s.calls IS NULL THEN 'unobserved' ELSE 'supported' END AS state,
+        CASE WHEN CASE d.integration WHEN 'context' THEN EXISTS (SELECT 1 FROM v WHERE starts_with(name, 'ctx_')) WHEN 'lens' THEN EXISTS (SELECT 1 FROM v WHERE name = 'lens' OR starts_with(name, 'lens_') OR starts_with(name, 'lsp_') OR starts_with(name, 'ast_grep'))
+            WHEN 'mcp' THEN EXISTS (SELECT 1 FROM v WHERE name = 'mcp' OR starts_with(name, 'mcp__')) WHEN 'subagents' THEN EXISTS (SELECT 1 FROM v WHERE name IN ('subagent', 'subagent_wait')) WHEN 'files' THEN EXISTS (SELECT 1 FROM v WHERE name IN ('read', 'write', 'edit', 'apply_patch', 'list_dir')) ELSE false END THEN 'present'
+          WHEN readable AND d.integration <> 'mode' THEN 'absent' WHEN s.calls IS NOT NULL THEN 'present' ELSE 'unknown' END AS presence, s.calls, coalesce(s.sessions, 0) AS sessions FROM d LEFT JOIN s USING (integration), k""",
+    "effective_counters": f"""WITH {_CUSTOM}, b AS (SELECT session_id, max(append_ordinal) FILTER (custom_type = 'inspector:start') AS folded, count(*) FILTER (custom_type = 'inspector:start') > 1 AS sealed, coalesce(bool_or(custom_type = 'inspector:start' AND json_array_length(cs) > 0), false) AS has_folded FROM cu GROUP BY 1),
+      st AS (SELECT session_id, CASE WHEN folded IS NULL THEN 'expired' WHEN sealed OR has_folded THEN 'aggregate-only' ELSE 'full' END AS state FROM b),
+      a AS (SELECT session_id, CAST(sum(amount) FILTER (custom_type = 'inspector:start') AS BIGINT) AS kept, CAST(sum(amount) FILTER (custom_type <> 'inspector:start') AS BIGINT) AS live FROM co GROUP BY 1)
+      SELECT st.session_id, state, CASE WHEN state = 'full' THEN live WHEN state = 'aggregate-only' AND (kept IS NOT NULL OR live IS NOT NULL) THEN coalesce(kept, 0) + coalesce(live, 0) END AS amount FROM st LEFT JOIN a USING (session_id)""",
     "presence_rows": f"""WITH {_CALLS.format(src='messages')}, a AS (SELECT session_id, bool_or(tool LIKE 'subagent%') AS seen FROM c GROUP BY 1), h AS (SELECT session_id, coalesce(bool_or(tool_name LIKE 'subagent%'), false) AS hooked FROM messages GROUP BY 1),
       r AS (SELECT session_id, bool_or(version = 3) AS readable FROM session_headers GROUP BY 1)
       SELECT h.session_id, CASE WHEN coalesce(seen, false) OR hooked THEN 'present' WHEN coalesce(readable, false) THEN 'absent' ELSE 'unknown' END AS presence FROM h LEFT JOIN a USING (session_id) LEFT JOIN r USING (session_id)""",

@@ -87,6 +87,16 @@ def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("session_id", doc.alias("report"))
 
 
+def session_report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the session reports, read back from their JSON."""
+    at = lambda p, t: F.get_json_object("report", f"$.{p}").cast(t)
+    r = session_reports(spark, sf_dir)
+    return r.select(
+        "session_id", (F.get_json_object("report", "$.session_id") == F.col("session_id")).alias("named"), at("tokens", "bigint").alias("tokens"), at("cost", "double").alias("cost"), at("coverage.owners", "bigint").alias("owners"), at("coverage.tokens_state", "string").alias("tokens_state"),
+        at("graph.nodes", "bigint").alias("nodes"), at("graph.orphans", "bigint").alias("orphans"), F.json_array_length(F.get_json_object("report", "$.tools")).alias("tools"), at("tools[0].tool", "string").alias("first_tool"), at("tools[0].failed", "bigint").alias("first_failed"),
+    )
+
+
 _FE = "e AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY session_id, entry_id ORDER BY append_ordinal) = 1)"
 _W = "w AS (SELECT user_id AS writer_id, event_id AS writer_sequence, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS amount FROM events)"
 
@@ -101,6 +111,11 @@ _R = f"""{NESTED_SQL}, r AS (SELECT record_id, path AS child_path, parent_path,
   FROM w WHERE is_elem AND field IN ('results', 'completions', 'children'))"""
 
 ORACLE = {
+    "session_report_fields": f"""WITH {_E}, {_T}, i AS (SELECT session_id, entry_id, count(*) AS c FROM messages GROUP BY ALL),
+      orph AS (SELECT m.session_id, count(*) AS orphans FROM messages m WHERE nullif(parent_id, '') IS NOT NULL AND NOT EXISTS (SELECT 1 FROM i WHERE i.session_id = m.session_id AND i.entry_id = m.parent_id) GROUP BY 1),
+      g AS (SELECT session_id, CAST(sum(c) AS BIGINT) AS nodes FROM i GROUP BY 1), ul AS (SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS DOUBLE) AS cost, count(*) AS owners, CASE WHEN count(tokens) = 0 THEN 'unavailable' WHEN count(tokens) = count(*) THEN 'complete' ELSE 'partial' END AS tokens_state FROM lines GROUP BY 1),
+      tl AS (SELECT session_id, tool, count(*) FILTER (status = 'failed') AS failed FROM t GROUP BY ALL), ts AS (SELECT session_id, CAST(count(*) AS INT) AS tools, min(tool) AS first_tool, arg_min(failed, tool) AS first_failed FROM tl GROUP BY 1)
+      SELECT g.session_id, true AS named, tokens, cost, owners, tokens_state, nodes, coalesce(orphans, 0) AS orphans, tools, first_tool, first_failed FROM g LEFT JOIN orph USING (session_id) LEFT JOIN ul USING (session_id) LEFT JOIN ts USING (session_id)""",
     "runs_all": f"WITH RECURSIVE {_R} SELECT * FROM r",
     "run_containers": f"""WITH RECURSIVE {_R}, g AS (SELECT record_id, parent_path, count(*) AS children, count(*) FILTER (status = 'failed') AS failed FROM r WHERE parent_path <> '' GROUP BY ALL HAVING count(*) >= 2)
       SELECT record_id, parent_path, CAST(row_number() OVER (PARTITION BY record_id ORDER BY parent_path) AS INT) AS container_no, children, failed FROM g""",
@@ -118,4 +133,4 @@ ORACLE = {
       coalesce(tool_name, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.message.toolName') END) AS tool_name FROM tool_deliveries""",
 }
 
-QUERIES = {f.__name__: f for f in (runs_all, run_containers, subagent_activity, child_projection, errors_with_calls, source_labels, usage_labels, anonymous_fill, session_reports)}
+QUERIES = {f.__name__: f for f in (runs_all, run_containers, subagent_activity, child_projection, errors_with_calls, source_labels, usage_labels, anonymous_fill, session_reports, session_report_fields)}

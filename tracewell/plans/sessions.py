@@ -260,11 +260,14 @@ def forest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching entries and their ancestors as context."""
-    from tracewell.operators.hierarchy import resolve_forest
+    from tracewell.operators.hierarchy import first_nodes, resolve_forest
 
     e = load(spark, sf_dir, "graph_entries").select("session_id", "entry_id", "parent_id", "append_ordinal", (F.col("entry_type") == "compaction").cast("long").alias("hit"))
-    f = resolve_forest(e, size="hit", marks=["hit"])
-    return f.where("n_below > 0").select("session_id", "entry_id", "depth", F.col("n_below").alias("hits"))
+    nodes = written(first_nodes(e, "session_id", "entry_id", "parent_id", "append_ordinal", ["hit"]).withColumnsRenamed({"grp0": "session_id", "node0": "entry_id", "parent0": "parent_id", "ord": "append_ordinal"}), "nodes")
+    kept = resolve_forest(nodes, size="hit", unique=True).where("n_below > 0")
+    own = nodes.where("hit = 1").select("session_id", "entry_id", F.lit(True).alias("match"))
+    got = kept.join(own, ["session_id", "entry_id"], "left")
+    return got.select("session_id", "entry_id", "depth", F.col("n_below").alias("hits"), F.when(F.col("match"), "match").otherwise("context").alias("kept_as"))
 
 
 _E = """
@@ -400,7 +403,7 @@ ORACLE = {
     "forest_counts": f"""WITH RECURSIVE {_G} SELECT g.session_id, count(*) FILTER (depth = 0) AS roots, CAST(max(coalesce(depth, -1)) AS BIGINT) AS deepest,
       CASE WHEN count(depth) > 0 THEN count(*) FILTER (depth IS NOT NULL AND g.entry_type = 'message') END AS messages_in_trees, count(*) FILTER (depth IS NULL) AS looped FROM g LEFT JOIN up USING (session_id, entry_id) GROUP BY 1""",
     "forest_filter": f"""WITH RECURSIVE {_G}, a AS (SELECT session_id, entry_id FROM up WHERE entry_type = 'compaction' UNION ALL SELECT a.session_id, k.pid FROM a JOIN k USING (session_id, entry_id) WHERE k.pid IS NOT NULL)
-      SELECT session_id, entry_id, CAST(depth AS BIGINT) AS depth, count(*) AS hits FROM a JOIN up USING (session_id, entry_id) GROUP BY ALL""",
+      SELECT session_id, entry_id, CAST(depth AS BIGINT) AS depth, count(*) AS hits, CASE WHEN up.entry_type = 'compaction' THEN 'match' ELSE 'context' END AS kept_as FROM a JOIN up USING (session_id, entry_id) GROUP BY ALL""",
 }
 
 #: Exact decimals leave as doubles, the type every consumer compares alike.
