@@ -48,11 +48,12 @@ def search(text: str, columns: Sequence[str]) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])), F.lit(text.lower()))
 
 
-def unavailable_columns(df: DataFrame) -> DataFrame:
-    """(column, values, foldable): columns without any value, if there are two rows or more."""
-    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("values"), ((F.col("rows") >= 2) & (F.col(f"c{i}") == 0)).alias("foldable")) for i, c in enumerate(df.columns)])
-    return counts.select(F.explode(each).alias("x")).select("x.*")
+def unavailable_columns(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, column, values, foldable): columns without any value, if the group has two rows or more."""
+    names = [c for c in df.columns if c not in keys]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("values"), ((F.col("_rows") >= 2) & (F.col(f"_c{i}") == 0)).alias("foldable")) for i, c in enumerate(names)])
+    return counts.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
 
 
 # -- write-ahead logs and counters ------------------------------------------

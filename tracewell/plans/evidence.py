@@ -17,10 +17,13 @@ def run_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.unique_both_ways(d, "call_key", "run_id")
 
 
+#: Columns of a table of entries.
+SHOWN = ("entry_id", "parent_id", "ts_raw", "role", "tool_call_id", "tool_name", "is_error", "provider", "model", "total_tokens", "cost_total")
+
+
 def unavailable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns without any value."""
-    m = load(spark, sf_dir, "messages").where("entry_type = 'custom'").select("provider", "model", "role", "ts_raw", "parent_id")
-    return evidence.unavailable_columns(m)
+    """Columns that have no value for any entry of a type."""
+    return evidence.unavailable_columns(load(spark, sf_dir, "messages").select("entry_type", *SHOWN), ["entry_type"])
 
 
 def open_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,9 +264,8 @@ _REUSE = """SELECT * REPLACE (CAST(input_cost AS DOUBLE) AS input_cost, CAST(out
 ORACLE = {
     "run_aliases": """WITH d AS (SELECT DISTINCT concat_ws('/', session_id, tool_call_id) AS call_key, run_id FROM tool_deliveries WHERE run_id IS NOT NULL)
       SELECT call_key, run_id FROM d QUALIFY count(*) OVER (PARTITION BY call_key) = 1 AND count(*) OVER (PARTITION BY run_id) = 1""",
-    "unavailable_columns": """WITH m AS (SELECT provider, model, role, ts_raw, parent_id FROM messages WHERE entry_type = 'custom'),
-      c AS (SELECT count(*) AS n, count(provider) AS a, count(model) AS b, count(role) AS c, count(ts_raw) AS d, count(parent_id) AS e FROM m)
-      SELECT unnest(['provider', 'model', 'role', 'ts_raw', 'parent_id']) AS column, unnest([a, b, c, d, e]) AS values, unnest([n >= 2 AND a = 0, n >= 2 AND b = 0, n >= 2 AND c = 0, n >= 2 AND d = 0, n >= 2 AND e = 0]) AS foldable FROM c""",
+    "unavailable_columns": f"""WITH c AS (SELECT entry_type, count(*) AS n, [{', '.join(f'count({c})' for c in SHOWN)}] AS v FROM messages GROUP BY 1), u AS (SELECT entry_type, n, unnest({list(SHOWN)}) AS "column", unnest(v) AS "values" FROM c)
+      SELECT entry_type, "column", "values", n >= 2 AND "values" = 0 AS foldable FROM u""",
     "open_intervals": f"""WITH {_W}, s AS (SELECT writer_id, ts, writer_sequence AS q, kind = 'click' AS st FROM w WHERE kind IN ('click', 'view')),
       b AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE -1 END) OVER o AS b, count(*) FILTER (st) OVER o AS ns, count(*) FILTER (NOT st) OVER o AS ne FROM s WINDOW o AS (PARTITION BY writer_id ORDER BY ts, q ROWS UNBOUNDED PRECEDING)),
       l AS (SELECT *, max(greatest(-b, 0)) OVER (PARTITION BY writer_id ORDER BY ts, q ROWS UNBOUNDED PRECEDING) AS lost FROM b),
