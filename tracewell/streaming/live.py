@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.operators import delivery, evidence
+from tracewell.session import written
 
 
 class StateTable:
@@ -150,7 +151,7 @@ def refresh(load: Callable[[DataFrame], DataFrame], projections: dict[str, Calla
         loaded = load(batch).persist()
         try:
             for name, project in projections.items():
-                now = batch.sparkSession.createDataFrame(project(loaded).select("key", "etag").toArrow())
+                now = written(project(loaded).select("key", "etag"), "sections")
                 before = last.get(name, now.limit(0))
                 publish(name, evidence.snapshot_delta(before, now, "key"), batch_id)
                 last[name] = now
