@@ -138,13 +138,25 @@ def parts_of(token: str) -> list[str]:
     return token.lower().split("-")
 
 
-def _counter(listed: dict[str, set[str]]):
+def _lexicons(batch: pa.RecordBatch, shared: Mapping[str, set[str]] | None) -> Iterator[tuple[pa.RecordBatch, Mapping[str, set[str]]]]:
+    """(rows, terms they are searched with): the shared ones, or those that each row brings in ``terms``."""
+    if shared is not None:
+        yield batch, shared
+        return
+    for i, terms in enumerate(batch.column("terms")):
+        own: dict[str, set[str]] = {}
+        for t in terms.as_py() or ():
+            own.setdefault(t["term"], set()).add(t["slot"])
+        yield batch.slice(i, 1), own
+
+
+def _counter(shared: Mapping[str, set[str]] | None):
     """mapInArrow step: (term, other, slot, n): occurrences of terms, and of terms beside listed names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter[tuple] = Counter()
-            for text in _texts(batch):
+            for text, listed in ((t, own) for part, own in _lexicons(batch, shared) for t in _texts(part)):
                 words = [p for w in TOKEN.findall(text) for p in (w.lower().split("-") if "-" in w else (w.lower(),))]
                 n.update((w, "", "") for w in words)
                 if listed.keys().isdisjoint(words):
@@ -189,24 +201,28 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str]:
         yield from (t for t in (texts.as_py() or ()) if t is not None)
 
 
-def disclosure(rows: DataFrame, names: DataFrame) -> DataFrame:
+def disclosure(rows: DataFrame, names: DataFrame, most: int = LEXICON_TERMS) -> DataFrame:
     """(term, slot, n, share, bits): how strongly each term of the corpus reveals a person.
 
     ``rows`` has content and texts; ``names`` is the reference list (name_kind,
     name).  First the listed names are weighed by how often they stand beside
-    each other; the reliable ones are the seeds that weigh all other terms.
+    each other; the reliable ones are the seeds that weigh all other terms.  A
+    list of more than ``most`` names is not held by the workers: each row gets the
+    listed names it holds by a join.
     """
-    reference = names.where("name is not null").select("name", "name_kind").distinct().limit(LEXICON_TERMS + 1).collect()
-    if len(reference) > LEXICON_TERMS:
-        raise ValueError(f"more than {LEXICON_TERMS} reference names")
-    listed: dict[str, set[str]] = {}
-    for r in reference:
-        listed.setdefault(r["name"].lower(), set()).add(r["name_kind"])
-    counted = rows.select("content", "texts").mapInArrow(_counter(listed), "term string, other string, slot string, n long")
+    listing = names.where("name is not null").select(F.lower("name").alias("term"), F.col("name_kind").alias("listed")).distinct()
+    schema = "term string, other string, slot string, n long"
+    reference = listing.limit(most + 1).collect()
+    if len(reference) <= most:
+        listed: dict[str, set[str]] = {}
+        for r in reference:
+            listed.setdefault(r["term"], set()).add(r["listed"])
+        counted = rows.select("content", "texts").mapInArrow(_counter(listed), schema)
+    else:
+        counted = with_own_terms(rows, listing.withColumnRenamed("listed", "slot")).mapInArrow(_counter(None), schema)
     table = written(counted.groupBy("term", "other", "slot").agg(F.sum("n").alias("n")), "terms")
     total = table.where("slot = ''").select("term", F.col("n").alias("total"))
     beside = table.where("slot <> ''")
-    listing = names.where("name is not null").select(F.lower("name").alias("term"), F.col("name_kind").alias("listed")).distinct()
     own = beside.join(listing.withColumnRenamed("listed", "slot"), ["term", "slot"]).groupBy("term").agg(F.sum("n").alias("near"))
     seeds = listing.join(total, "term").join(own, "term", "left").where((F.coalesce("near", F.lit(0)) + 1) / (F.col("total") + 2) >= SLOT_SHARE).select("term", "listed")
     seeds = written(seeds, "seeds")
@@ -289,16 +305,7 @@ def _searcher(shared, clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            if shared is not None:
-                groups = [(batch, shared.value)]
-            else:
-                groups = []
-                for i, terms in enumerate(batch.column("terms")):
-                    own: dict[str, set[str]] = {}
-                    for t in terms.as_py() or ():
-                        own.setdefault(t["term"], set()).add(t["slot"])
-                    groups.append((batch.slice(i, 1), own))
-            for part, lexicon in groups:
+            for part, lexicon in _lexicons(batch, shared.value if shared is not None else None):
                 for rid, no, text in _units(part):
                     spans = find_spans(text, lexicon)
                     if clean:
@@ -324,9 +331,16 @@ def text_units(messages: DataFrame) -> DataFrame:
     return messages.select(F.col("row_id").cast("long").alias("row_id"), "content", F.transform("blocks", lambda b: b["text"]).alias("texts"))
 
 
+def with_own_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row_id, content, texts, terms): each row with those of the terms (term, slot) that its texts hold."""
+    rows = written(rows.select("row_id", "content", "texts").withColumn("unit", F.monotonically_increasing_id()), "units")
+    own = rows.mapInArrow(_own_terms, "unit long, term string").join(terms, "term").groupBy("unit").agg(F.collect_list(F.struct("term", "slot")).alias("terms"))
+    return rows.join(own, "unit", "left").select("row_id", "content", "texts", "terms")
+
+
 def _search(messages: DataFrame, names: DataFrame, lexicon_terms: int, clean: bool) -> DataFrame:
     rows = text_units(messages)
-    terms = written(name_terms(disclosure(rows, names)), "lexicon")
+    terms = written(name_terms(disclosure(rows, names, lexicon_terms)), "lexicon")
     columns = CLEAN if clean else FOUND
     schema = ", ".join(f"{c} {t}" for c, (t, _) in columns.items())
     if terms.count() <= lexicon_terms:
@@ -335,10 +349,8 @@ def _search(messages: DataFrame, names: DataFrame, lexicon_terms: int, clean: bo
             lexicon.setdefault(r["term"], set()).add(r["slot"])
         shared = messages.sparkSession.sparkContext.broadcast(lexicon)
         return rows.mapInArrow(_searcher(shared, clean), schema)
-    # each row gets the terms it holds by a join, then the same search runs
-    rows = written(rows.withColumn("unit", F.monotonically_increasing_id()), "units")
-    own = rows.mapInArrow(_own_terms, "unit long, term string").join(terms, "term").groupBy("unit").agg(F.collect_list(F.struct("term", "slot")).alias("terms"))
-    return rows.join(own, "unit", "left").select("row_id", "content", "texts", "terms").mapInArrow(_searcher(None, clean), schema)
+    # the same search, each row with its own terms
+    return with_own_terms(rows, terms).mapInArrow(_searcher(None, clean), schema)
 
 
 def find_personal(messages: DataFrame, names: DataFrame, lexicon_terms: int = LEXICON_TERMS) -> DataFrame:
